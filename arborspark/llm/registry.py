@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborspark.llm import best_fit_packing, chat_formatting, embedding_dedup, exact_topk, html_extraction, language_id, source_mixing, toxicity
+from arborspark.llm import best_fit_packing, chat_formatting, embedding_dedup, exact_topk, html_extraction, language_id, ngram_join, source_mixing, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": best_fit_packing.op2_query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_embedding_dedup": embedding_dedup.op5_query,
     "op6_html_extraction": html_extraction.op6_query,
     "op7_toxicity": toxicity.op7_query,
+    "op8_ngram_join": ngram_join.op8_query,
     "op9_chat_formatting": chat_formatting.op9_query,
     "op10_source_mixing": source_mixing.op10_query,
 }
