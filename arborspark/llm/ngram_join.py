@@ -433,7 +433,12 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows with a null id, and documents without words, stay. Of rows that repeat a kept id, one stays.
     """
-    parts = near_duplicates(spark, docs)
-    drop = materialize(spark, parts.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "njoin-drop")
+    parts = materialize(spark, near_duplicates(spark, docs), "njoin-result")
+    drop = parts.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
     rest = docs.join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
-    return rest
+    again = materialize(spark, parts.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "njoin-again")
+    if not again.take(1):
+        return rest
+    once = rest.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
+    twice = rest.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(twice)
