@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from arborspark.llm.common import utf8_rows
 
-BUCKETS, FEATURES, EVIDENCE, MAX_TRAIN, FOLDS, RIDGE = 1 << 22, 400, 28.0, 16_000, 5, 2.0
+BUCKETS, FEATURES, EVIDENCE, MAX_TRAIN, FOLDS, RIDGE = 1 << 31, 400, 28.0, 12_000, 5, 2.0
+MIN_DOCS = 4
 CATEGORIES = ("low_quality", "toxic")
 SHAPES = 5
 _MARKS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
@@ -83,23 +84,40 @@ def g_statistic(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return 2 * out
 
 
-class Sparse:
-    """Documents as sorted word buckets: (doc, bucket) pairs."""
+def dense(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
+    """(documents, words) presence as 0 or 1; ``words`` is sorted."""
+    out = np.zeros((len(sets), len(words)), np.float32)
+    if len(words) and len(sets):
+        doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        word = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+        hit = words[at] == word
+        out[doc[hit], at[hit]] = 1
+    return out
+
+
+class Sample:
+    """Presence of the words that stand in at least MIN_DOCS documents of the sample."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        self.word = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        word = np.concatenate(sets)
+        words, n = np.unique(word, return_counts=True)
+        self.words = words[n >= MIN_DOCS]
+        at = np.minimum(np.searchsorted(self.words, word), max(0, len(self.words) - 1))
+        hit = self.words[at] == word if len(self.words) else np.zeros(len(word), bool)
+        self.doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[hit]
+        self.word = at[hit].astype(np.int32)
         self.n = len(sets)
 
     def counts(self, rows: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word[rows[self.doc]], minlength=BUCKETS)
-
-    def dense(self, words: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, len(words)))
-        if len(words):
-            at = np.minimum(np.searchsorted(words, self.word), len(words) - 1)
-            hit = words[at] == self.word
-            out[self.doc[hit], at[hit]] = 1
+        return np.bincount(self.word[rows[self.doc]], minlength=len(self.words))
+
+    def dense(self, index: np.ndarray) -> np.ndarray:
+        place = np.full(len(self.words), -1)
+        place[index] = np.arange(len(index))
+        out = np.zeros((self.n, len(index)), np.float32)
+        at = place[self.word] if len(self.words) else np.zeros(0, int)
+        out[self.doc[at >= 0], at[at >= 0]] = 1
         return out
 
 
@@ -124,13 +142,12 @@ def linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_category(sparse: Sparse, extra: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, weights) from the marked rows."""
+def fit_category(sample: Sample, extra: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the chosen words in the sample, weights) from the marked rows."""
     pos, neg = rows & (y == 1), rows & (y == 0)
-    a, b = sparse.counts(pos), sparse.counts(neg)
-    g = g_statistic(a, b, int(pos.sum()), int(neg.sum()))
-    words = np.sort(np.argsort(-g, kind="stable")[: int(min(FEATURES, (g >= EVIDENCE).sum()))])
-    return words, fit_linear(np.hstack([sparse.dense(words), extra])[rows], y[rows].astype(float))
+    g = g_statistic(sample.counts(pos), sample.counts(neg), int(pos.sum()), int(neg.sum()))
+    index = np.sort(np.argsort(-g, kind="stable")[: int(min(FEATURES, (g >= EVIDENCE).sum()))])
+    return index, fit_linear(np.hstack([sample.dense(index), extra])[rows], y[rows].astype(float))
 
 
 def best_bound(p: np.ndarray, y: np.ndarray) -> float:
@@ -144,7 +161,7 @@ def best_bound(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train_chain(ids: list[int], sets: list[np.ndarray], shapes: np.ndarray, labels: dict[str, np.ndarray]) -> dict:
-    sparse = Sparse(sets)
+    sample = Sample(sets)
     mean, scale = shapes.mean(axis=0), shapes.std(axis=0) + 1e-9
     extra = (shapes - mean) / scale
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids])
@@ -153,11 +170,11 @@ def train_chain(ids: list[int], sets: list[np.ndarray], shapes: np.ndarray, labe
         known = y >= 0
         oof = np.zeros(len(ids))
         for f in range(FOLDS):
-            words, w = fit_category(sparse, extra, y, known & (fold != f))
+            index, w = fit_category(sample, extra, y, known & (fold != f))
             at = fold == f
-            oof[at] = linear(np.hstack([sparse.dense(words), extra])[at], w)
-        words, w = fit_category(sparse, extra, y, known)
-        chain.append({"name": name, "words": words, "weights": w, "bound": best_bound(oof[known], y[known])})
+            oof[at] = linear(np.hstack([sample.dense(index), extra])[at], w)
+        index, w = fit_category(sample, extra, y, known)
+        chain.append({"name": name, "words": sample.words[index], "weights": w, "bound": best_bound(oof[known], y[known])})
         extra = np.hstack([extra, oof[:, None]])
     return {"mean": mean, "scale": scale, "chain": chain}
 
@@ -196,7 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> dict:
     marks_of = {c: got[c].fillna(-1).to_numpy(dtype=int) for c in categories}
     if not len(got) or any(len(set(y[y >= 0])) < 2 for y in marks_of.values()):
         return {"mean": np.zeros(SHAPES), "scale": np.ones(SHAPES), "chain": [{"name": c, "words": np.zeros(0, np.int64), "weights": np.append(np.zeros(SHAPES + i), -30.0), "bound": 0.5} for i, c in enumerate(categories)]}
-    return train_chain(list(got["doc_id"]), [np.asarray(w) for w in got["words"]], np.array(got["shape"].tolist()), marks_of)
+    ids, sets, shapes = list(got["doc_id"]), list(got["words"]), np.array(got["shape"].tolist())
+    del got
+    return train_chain(ids, sets, shapes, marks_of)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -214,11 +233,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for text in utf8_rows(frame.column("text")):
                 words, shape, _ = features(text, cache)
                 sets.append(words), shapes.append(shape)
-            sparse = Sparse(sets)
             extra = (np.array(shapes).reshape(-1, SHAPES) - m["mean"]) / m["scale"]
             ps = []
             for c in m["chain"]:
-                p = linear(np.hstack([sparse.dense(c["words"]), extra]), c["weights"])
+                p = linear(np.hstack([dense(sets, c["words"]), extra]), c["weights"])
                 ps.append(p)
                 extra = np.hstack([extra, p[:, None]])
             yes = [p >= c["bound"] for p, c in zip(ps, m["chain"])]
