@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from arborspark.llm.common import to_batch, utf8_rows
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
-PER_LANGUAGE, MAX_BYTES = 1200, 20_000
+PER_LANGUAGE, MAX_LANGUAGES, MAX_BYTES = 1200, 1000, 20_000
 SNIPPETS, EPOCHS, RATE = 3, 5, 4.0
 REJECT_QUANTILE, REJECT_CAP = 0.0005, 0.4
 BLOCK = 1 << 18
@@ -138,10 +138,13 @@ def held_out_rule(doc_id: Column) -> Column:
 def sample(labelled: DataFrame) -> tuple[list[bytes], list[str]]:
     """A hash sample of (text, lang): about PER_LANGUAGE rows of each language reach the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.xxhash64("doc_id", F.lit(11)).bitwiseAND((1 << 30) - 1) < F.col("n_keep")
-    limit = counts.select(F.col("lang").alias("_lang"), (F.lit(PER_LANGUAGE * float(1 << 30)) / F.col("n")).alias("n_keep"))
-    got = rows.join(limit, F.col("lang") == F.col("_lang")).where(share).select("text", "lang", F.xxhash64("doc_id").alias("h")).toPandas()
+    # the classes of the model, at most MAX_LANGUAGES of them; texts do not move by language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
+    if not counts:
+        return [], []
+    keep = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, PER_LANGUAGE / n) * (1 << 30)))))
+    share = F.xxhash64("doc_id", F.lit(11)).bitwiseAND((1 << 30) - 1) < F.coalesce(keep[F.col("lang")], F.lit(0))
+    got = rows.where(share).select("text", "lang", F.xxhash64("doc_id").alias("h")).toPandas()
     got = got.sort_values(["h", "lang", "text"])
     return [t.encode() for t in got["text"]], list(got["lang"])
 
