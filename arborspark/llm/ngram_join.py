@@ -39,25 +39,27 @@ from pyspark.sql import functions as F
 from arborspark.llm.common import U64, Forest, WordHash, connected_components, materialize, mix64, release, shuffle_partitions, utf8_rows
 
 WIDTH, PERCENT = 5, 80
-HEAVY_MAX, HEAVY_MIN, HEAVY_LOCAL, HEAVY_CHUNK = 200_000, 16, 2, 2_000_000
+HEAVY_MAX, HEAVY_MIN, HEAVY_LOCAL, HEAVY_CHUNK = 200_000, 16, 2, 1_000_000
 BLOOM_BITS = 1 << 25
+WORDS_HELD = 400_000
 #: Lists of at most SHORT_LIST members are paired by a join; longer ones in cells of 2 * CELL sets.
-SHORT_LIST, CELL, CELL_WORDS = 16, 128, 8192
+SHORT_LIST, CELL, CELL_WORDS, LIKELY = 16, 128, 8192, 0.3
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=U64)
 
 
-def shingles(text: bytes, cache: WordHash) -> np.ndarray:
-    """Sorted distinct shingle hashes (uint64, top bit clear) of a whole text."""
+def shingles(text: bytes, cache: WordHash, distinct: bool = True) -> np.ndarray:
+    """Sorted distinct shingle hashes (uint64, top bit clear) of a whole text; else all, in text order."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, U64)
     v = cache.array(words)
     w = min(WIDTH, len(v))
-    h = np.zeros(len(v) - w + 1, U64)
-    for i in range(w):
-        h = mix64(h + v[i : len(v) - w + 1 + i])
-    if len(v) < WIDTH:
-        h = mix64(h + U64(len(v)))
-    return np.unique(h >> U64(1))
+    n = len(v) - w + 1
+    h = v[:n] * FACTORS[0]
+    for i in range(1, w):
+        h += v[i : n + i] * FACTORS[i]
+    h = mix64(h + U64(w)) >> U64(1)
+    return np.unique(h) if distinct else h
 
 
 def prefix_length(n: int) -> int:
@@ -66,7 +68,7 @@ def prefix_length(n: int) -> int:
 
 
 def _heavy_counts(frames):
-    cache, held, size = WordHash(), [], 0
+    cache, held, size = WordHash(limit=WORDS_HELD), [], 0
 
     def flush():
         keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -75,7 +77,7 @@ def _heavy_counts(frames):
 
     for frame in frames:
         for text in utf8_rows(frame.column("text")):
-            s = shingles(text, cache)
+            s = shingles(text, cache, distinct=False)
             if len(s):
                 held.append(s)
                 size += len(s)
@@ -108,7 +110,7 @@ def ordered_prefix(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return s[:n]
 
 
-SUMMARY = "doc_id long, n_shingles long, s1 long, s2 long, p1 long, p2 long, prefix binary"
+SUMMARY = "doc_id long, n_shingles long, s1 long, s2 long, p1 long, p2 long, prefix binary, sketch binary"
 
 
 def _digest(a: np.ndarray) -> tuple[int, int]:
@@ -116,20 +118,26 @@ def _digest(a: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of 256 ranges of hashes; empty if a range holds over 255."""
+    n = np.bincount((s >> U64(55)).astype(np.int64), minlength=256)
+    return n.astype(np.uint8).tobytes() if len(n) == 256 and n.max(initial=0) < 256 else b""
+
+
 def summaries(docs: DataFrame, heavy) -> DataFrame:
     """Per row: size of the set, a 128-bit digest of it, one of (prefix, size), and the prefix in order."""
 
     def run(frames):
-        cache = WordHash()
+        cache = WordHash(limit=WORDS_HELD)
         for frame in frames:
             rows = []
             for text in utf8_rows(frame.column("text")):
                 s = shingles(text, cache)
                 prefix = ordered_prefix(s, heavy.value)
-                rows.append((len(s), *_digest(s), *_digest(np.append(prefix, U64(len(s)))), prefix.tobytes()))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_shingles", "s1", "s2", "p1", "p2", "prefix"])
+                rows.append((len(s), *_digest(s), *_digest(np.append(prefix, U64(len(s)))), prefix.tobytes(), sketch(s)))
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_shingles", "s1", "s2", "p1", "p2", "prefix", "sketch"])
 
     return docs.mapInArrow(run, SUMMARY)
 
@@ -178,7 +186,7 @@ def postings(heads: DataFrame, parts: int) -> DataFrame:
             for row in zip(*(frame.column(c).to_pylist() for c in ("g", "n", "members", "prefix"))):
                 held.append(row)
                 size += len(row[3])
-                if size >= 24 << 20:
+                if size >= 6 << 20:
                     yield pack(held)
                     held, size = [], 0
         if held:
@@ -267,7 +275,7 @@ def sets_of(docs: DataFrame, bloom) -> DataFrame:
     """(doc_id, set) of the documents in the filter; a set is packed as sorted 48-bit hashes."""
 
     def run(frames):
-        cache = WordHash()
+        cache = WordHash(limit=WORDS_HELD)
         for frame in frames:
             ids = frame.column("doc_id").to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(_in_bloom(bloom.value, ids))
@@ -304,16 +312,28 @@ def _verify(frames):
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def wanted_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The written sets of the documents in ``ids(id)`` (and of a few more that the filter lets pass)."""
+    bloom = spark.sparkContext.broadcast(bloom_filter(ids.distinct()))
+    return materialize(spark, sets_of(docs, bloom), "njoin-sets")
+
+
+def verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The written table ``pairs(a, b)`` of doc_ids, reduced to pairs whose whole sets link."""
-    ends = pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")).distinct()
-    bloom = spark.sparkContext.broadcast(bloom_filter(ends))
-    sets = sets_of(docs, bloom)
     left = pairs.join(sets.selectExpr("doc_id as a", "set as x"), "a")
     both = left.join(sets.selectExpr("doc_id as b", "set as y"), "b").select("a", "b", "x", "y")
     return materialize(spark, both.mapInArrow(_verify, "a long, b long"), "njoin-links")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.selectExpr("a as id").union(pairs.selectExpr("b as id"))
+
+
+def _prefix(n: str):
+    """prefix_length as a column."""
+    return F.col(n) - F.ceil(F.lit(PERCENT) * F.col(n) / 100) + 1
+
+
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -337,17 +357,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parts = shuffle_partitions(spark)
     lists = materialize(spark, postings(heads, parts).repartitionById(parts, "bucket").mapInArrow(_lists, LISTS), "njoin-lists")
     members = materialize(spark, reps.join(groups.where("members > 1").select("p1", "p2", "g"), ["p1", "p2"]).select("g", "rep", "n"), "njoin-members")
-    near_pivot = lists.where((F.col("g") != F.col("pg")) & _fits("n", "at", "pn", "pat")).select(*_pair("g", "pg"))
+    # likely pairs first: those that share their pivot in a good part of the prefix; step 4 is exact for the rest
+    shared = lists.where((F.col("g") != F.col("pg")) & _fits("n", "at", "pn", "pat")).groupBy("g", "pg").agg(F.count(F.lit(1)).alias("k"), F.least(F.min("n"), F.min("pn")).alias("low"))
+    near_pivot = shared.where(F.col("k") >= LIKELY * _prefix("low")).select(*_pair("g", "pg"))
     pairs = materialize(spark, near_pivot.union(members.where("rep <> g").select(*_pair("g", "rep"))).distinct(), "njoin-pairs")
-    links = verified(spark, texts, pairs)
+    sets = wanted_sets(spark, texts, _ends(pairs))
+    links = verified(spark, sets, pairs)
     parts_of = materialize(spark, connected_components(spark, links), "njoin-parts")
     held = residual_lists(spark, lists, members, parts_of)
-    more = materialize(spark, residual_pairs(held), "njoin-more")
-    links = links.union(verified(spark, texts, more)).union(residual_cells(spark, texts, held))
+    release(spark, lists)
+    sketches = rows.where("doc_id is not null").selectExpr("doc_id as rep", "sketch")
+    more = materialize(spark, possible(residual_pairs(spark, held), sketches), "njoin-more")
+    cluster = materialize(spark, held.where(F.col("size") > SHORT_LIST).select("pivot", "rep", "n").distinct(), "njoin-cluster")
+    cluster = active(spark, cluster, sketches)
+    release(spark, sets)
+    sets = wanted_sets(spark, texts, _ends(more).union(cluster.selectExpr("rep as id")))
+    links = links.union(verified(spark, sets, more)).union(residual_cells(spark, sets, cluster))
     parts_of = materialize(spark, connected_components(spark, links), "njoin-parts")
     by_set = reps.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("part"))
     by_set = materialize(spark, by_set, "njoin-by-set")
-    release(spark, lists, pairs, more, held)
+    release(spark, pairs, more, held, sets, cluster)
     out = rows.select("doc_id", "n_shingles", "s1", "s2").join(by_set, ["s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("part")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
@@ -368,31 +397,87 @@ def residual_lists(spark: SparkSession, lists: DataFrame, members: DataFrame, pa
     return held
 
 
-def residual_pairs(held: DataFrame) -> DataFrame:
-    """Short lists: pairs of members from different components that pass the filters."""
-    short = held.where(F.col("size") <= SHORT_LIST)
-    a, b = (short.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "part", "at"))) for s in "ab")
+def residual_pairs(spark: SparkSession, held: DataFrame) -> DataFrame:
+    """Short lists: pairs of members from different components whose prefixes can still link.
+
+    A shared shingle lies in both prefixes, or behind the prefix that ends first in the order. So the
+    intersection is at most the shared lists (short ones counted, long ones at most as many as either
+    stands in) and the longer rest of the two sets.
+    """
+    long_lists = held.groupBy("rep").agg(F.sum((F.col("size") > SHORT_LIST).cast("long")).alias("long"))
+    short = held.where(F.col("size") <= SHORT_LIST).join(materialize(spark, long_lists, "njoin-long"), "rep")
+    short = materialize(spark, short, "njoin-short")
+    a, b = (short.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "part", "at", "long"))) for s in "ab")
     joined = a.join(b, "shingle").where((F.col("part_a") < F.col("part_b")) & _fits("n_a", "at_a", "n_b", "at_b"))
-    return joined.select(*_pair("rep_a", "rep_b")).distinct()
+    found = joined.groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("k"), *(F.min(c).alias(c) for c in ("n_a", "n_b", "long_a", "long_b")))
+    rest = F.greatest(F.col("n_a") - _prefix("n_a"), F.col("n_b") - _prefix("n_b"))
+    need = F.ceil(F.lit(PERCENT) * (F.col("n_a") + F.col("n_b")) / (100 + PERCENT))
+    return found.where(F.col("k") + F.least("long_a", "long_b") + rest >= need).select(*_pair("rep_a", "rep_b"))
+
+
+def _cells(spark: SparkSession, cluster: DataFrame, values: DataFrame) -> DataFrame:
+    """Cuts every cluster into blocks; a row for each pair of blocks that a member's block is in."""
+    sizes = materialize(spark, cluster.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")), "njoin-sizes")
+    placed = cluster.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    placed = placed.join(values, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", *[c for c in values.columns if c != "rep"])
+
 
+def active(spark: SparkSession, cluster: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members of each cluster that some other member can still link with, by size and sketch.
 
-def residual_cells(spark: SparkSession, docs: DataFrame, held: DataFrame) -> DataFrame:
+    Two sets share at most the sum over ranges of the smaller count, so no link is lost; documents
+    that only have a passage in common fall out here, before any set is fetched.
+    """
+    kept = _cells(spark, cluster.select("pivot", "rep"), sketches).groupBy("pivot", "lo", "hi").applyInArrow(_active, "pivot long, rep long")
+    return materialize(spark, kept.distinct(), "njoin-active")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs whose sketches leave room for a link."""
+
+    def run(frames):
+        for frame in frames:
+            x, y = frame.column("x").to_pylist(), frame.column("y").to_pylist()
+            known = np.array([len(s) == 256 == len(t) for s, t in zip(x, y)], dtype=bool)
+            u, v = (np.array([np.frombuffer(s, np.uint8) if len(s) == 256 else np.zeros(256, np.uint8) for s in c]).reshape(-1, 256) for c in (x, y))
+            both = u.sum(axis=1, dtype=np.int64) + v.sum(axis=1, dtype=np.int64)
+            ok = (PERCENT * both <= (100 + PERCENT) * np.minimum(u, v).sum(axis=1, dtype=np.int64)) | ~known
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in (frame.column("a"), frame.column("b"))], names=["a", "b"])
+
+    joined = pairs.join(sketches.selectExpr("rep as a", "sketch as x"), "a").join(sketches.selectExpr("rep as b", "sketch as y"), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _active(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    pivot, lo, hi = (k.as_py() for k in key)
+    block, rep = table.column("block").to_numpy(), table.column("rep").to_numpy()
+    held = table.column("sketch").to_pylist()
+    known = np.array([len(s) == 256 for s in held])
+    count = np.array([np.frombuffer(s, np.uint8) if len(s) == 256 else np.zeros(256, np.uint8) for s in held]).reshape(-1, 256)
+    size = count.sum(axis=1, dtype=np.int64)
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    hit = np.zeros(len(rep), bool)
+    for i in left.tolist():
+        most = np.minimum(count[i], count[right]).sum(axis=1, dtype=np.int64)
+        ok = (PERCENT * (size[i] + size[right]) <= (100 + PERCENT) * most) | ~known[right] | ~known[i]
+        ok &= rep[right] != rep[i]
+        if ok.any():
+            hit[i] = True
+            hit[right[ok]] = True
+    at = np.flatnonzero(hit)
+    return pa.table({"pivot": pa.array(np.full(len(at), pivot), pa.int64()), "rep": pa.array(rep[at], pa.int64())})
+
+
+def residual_cells(spark: SparkSession, sets: DataFrame, cluster: DataFrame) -> DataFrame:
     """Long lists: links (a, b) that span the components, found without listing pairs.
 
     The members of all long lists with the same pivot are one cluster, so a pair that shares such a
     list meets in its cluster. A cluster is cut into blocks; each pair of blocks is a group of
     bounded size that counts all intersections of its sets at once and returns a spanning forest.
     """
-    cluster = held.where(F.col("size") > SHORT_LIST).select("pivot", "rep", "n").distinct()
-    cluster = materialize(spark, cluster, "njoin-cluster")
-    sizes = materialize(spark, cluster.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")), "njoin-sizes")
-    bloom = spark.sparkContext.broadcast(bloom_filter(cluster.select("rep").distinct()))
-    placed = cluster.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-    placed = placed.join(sets_of(docs, bloom).withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.select("pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "set")
-    out = materialize(spark, cells.groupBy("pivot", "lo", "hi").applyInArrow(_cell, "a long, b long"), "njoin-cell-links")
-    release(spark, cluster, sizes)
-    return out
+    cells = _cells(spark, cluster, sets.withColumnRenamed("doc_id", "rep"))
+    return materialize(spark, cells.groupBy("pivot", "lo", "hi").applyInArrow(_cell, "a long, b long"), "njoin-cell-links")
 
 
 def _cell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
