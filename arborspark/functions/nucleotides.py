@@ -5,6 +5,7 @@ Alleles are one-hot sets: A=1, C=2, G=4, T=8; ambiguous letters are unions, unkn
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,8 +122,6 @@ def log_factorials(n: int) -> Column:
 
 def fisher_exact(spark_table, a: str, b: str, c: str, d: str, out: str = "pvalue"):
     """FN-12: two-sided exact test of [[a, b], [c, d]]: sum of probabilities up to the observed one's."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         import numpy as np
