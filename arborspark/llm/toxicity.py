@@ -9,7 +9,7 @@ Words are letters between white space after punctuation is stripped, lower-cased
 shingles), so a copied text does not look like evidence for its rare words. A model keeps the words
 whose presence has a log-likelihood ratio of at least ``EVIDENCE`` (at most ``FEATURES`` words) plus
 shape features (length, share of capitals, digits and marks), and is fitted by Newton steps with a
-ridge. Its decision bound maximizes the F1 score of the out-of-fold probabilities.
+ridge. Only the categories in ``SHAPED`` see the shapes. Its decision bound maximizes the F1 score of the out-of-fold probabilities.
 
 Training reads a hash sample of about ``MAX_TRAIN`` labelled documents, as sets of word hashes;
 scoring reads whole texts. A null text is empty. Documents without a label are scored like others; a
@@ -33,6 +33,8 @@ from arborspark.llm.common import utf8_rows
 BUCKETS, FEATURES, EVIDENCE, MAX_TRAIN, FOLDS, RIDGE = 1 << 31, 400, 28.0, 12_000, 5, 2.0
 MIN_DOCS = 4
 CATEGORIES = ("low_quality", "toxic")
+#: Categories that also see shape features; words alone decide the others, so an odd shape is never toxic.
+SHAPED = ("low_quality",)
 SHAPES = 5
 _MARKS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
@@ -162,12 +164,14 @@ def best_bound(p: np.ndarray, y: np.ndarray) -> float:
 
 def train_chain(ids: list[int], sets: list[np.ndarray], shapes: np.ndarray, labels: dict[str, np.ndarray]) -> dict:
     sample = Sample(sets)
-    mean, scale = shapes.mean(axis=0), shapes.std(axis=0) + 1e-9
-    extra = (shapes - mean) / scale
+    mean, scale = shapes.mean(axis=0), np.maximum(shapes.std(axis=0), 0.01)
+    shape = np.clip((shapes - mean) / scale, -3, 3)
+    earlier = np.zeros((len(ids), 0))
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids])
     chain = []
     for name, y in labels.items():
         known = y >= 0
+        extra = np.hstack([shape, earlier]) if name in SHAPED else earlier
         oof = np.zeros(len(ids))
         for f in range(FOLDS):
             index, w = fit_category(sample, extra, y, known & (fold != f))
@@ -175,7 +179,7 @@ def train_chain(ids: list[int], sets: list[np.ndarray], shapes: np.ndarray, labe
             oof[at] = linear(np.hstack([sample.dense(index), extra])[at], w)
         index, w = fit_category(sample, extra, y, known)
         chain.append({"name": name, "words": sample.words[index], "weights": w, "bound": best_bound(oof[known], y[known])})
-        extra = np.hstack([extra, oof[:, None]])
+        earlier = np.hstack([earlier, oof[:, None]])
     return {"mean": mean, "scale": scale, "chain": chain}
 
 
@@ -212,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> dict:
     got = got[keep] if len(got) else got
     marks_of = {c: got[c].fillna(-1).to_numpy(dtype=int) for c in categories}
     if not len(got) or any(len(set(y[y >= 0])) < 2 for y in marks_of.values()):
-        return {"mean": np.zeros(SHAPES), "scale": np.ones(SHAPES), "chain": [{"name": c, "words": np.zeros(0, np.int64), "weights": np.append(np.zeros(SHAPES + i), -30.0), "bound": 0.5} for i, c in enumerate(categories)]}
+        return {"mean": np.zeros(SHAPES), "scale": np.ones(SHAPES), "chain": [{"name": c, "words": np.zeros(0, np.int64), "weights": np.append(np.zeros(i + SHAPES * (c in SHAPED)), -30.0), "bound": 0.5} for i, c in enumerate(categories)]}
     ids, sets, shapes = list(got["doc_id"]), list(got["words"]), np.array(got["shape"].tolist())
     del got
     return train_chain(ids, sets, shapes, marks_of)
@@ -233,12 +237,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for text in utf8_rows(frame.column("text")):
                 words, shape, _ = features(text, cache)
                 sets.append(words), shapes.append(shape)
-            extra = (np.array(shapes).reshape(-1, SHAPES) - m["mean"]) / m["scale"]
-            ps = []
+            shape = np.clip((np.array(shapes).reshape(-1, SHAPES) - m["mean"]) / m["scale"], -3, 3)
+            earlier, ps = np.zeros((len(sets), 0)), []
             for c in m["chain"]:
+                extra = np.hstack([shape, earlier]) if c["name"] in SHAPED else earlier
                 p = linear(np.hstack([dense(sets, c["words"]), extra]), c["weights"])
                 ps.append(p)
-                extra = np.hstack([extra, p[:, None]])
+                earlier = np.hstack([earlier, p[:, None]])
             yes = [p >= c["bound"] for p, c in zip(ps, m["chain"])]
             yield pa.RecordBatch.from_arrays([*frame.columns, *map(pa.array, ps), *map(pa.array, yes)], names=[*frame.schema.names, *(k for k, _ in added)])
 
