@@ -78,7 +78,7 @@ def utf8_rows(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
 class WordHash(dict):
     """word bytes -> 64-bit hash; cleared when it holds ``limit`` words, so memory stays bounded."""
 
-    def __init__(self, bits: int = 64, limit: int = 1_500_000):
+    def __init__(self, bits: int = 64, limit: int = 400_000):
         super().__init__()
         self.shift, self.limit = 64 - bits, limit
 

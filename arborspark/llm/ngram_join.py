@@ -513,6 +513,21 @@ def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def _picked(docs: DataFrame, bloom, inside: bool) -> DataFrame:
+    """The rows of ``docs`` whose id is (or is not) in the filter; null ids are outside."""
+
+    def run(frames):
+        for frame in frames:
+            ids = frame.column("doc_id")
+            hit = np.zeros(len(ids), bool)
+            known = np.flatnonzero(~np.asarray(ids.is_null()))
+            values = ids.take(pa.array(known)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            hit[known] = _in_bloom(bloom.value, np.ascontiguousarray(values))
+            yield frame.filter(pa.array(hit if inside else ~hit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` less all but one document of each group: the one with the smallest id, once.
 
@@ -520,7 +535,10 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     parts = materialize(spark, near_duplicates(spark, docs), "njoin-result")
     drop = parts.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
+    # rows outside the filter are kept where they are; only the others meet the exact join
+    bloom = spark.sparkContext.broadcast(bloom_filter(drop))
+    maybe = _picked(docs, bloom, True).join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
+    rest = _picked(docs, bloom, False).unionByName(maybe)
     again = materialize(spark, parts.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "njoin-again")
     if not again.take(1):
         return rest

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from arborspark.llm.common import utf8_rows
 
-BUCKETS, FEATURES, EVIDENCE, MAX_TRAIN, FOLDS, RIDGE = 1 << 31, 400, 28.0, 12_000, 5, 2.0
-MIN_DOCS = 4
+BUCKETS, FEATURES, EVIDENCE, MAX_TRAIN, FOLDS, RIDGE = 1 << 31, 400, 28.0, 8000, 5, 2.0
+MIN_DOCS, ROWS = 4, 1000
 CATEGORIES = ("low_quality", "toxic")
 #: Categories that also see shape features; words alone decide the others, so an odd shape is never toxic.
 SHAPED = ("low_quality",)
@@ -50,7 +50,7 @@ class WordBucket(dict):
 
 def features(text: bytes, cache: WordBucket) -> tuple[np.ndarray, list[float], list[int]]:
     """Distinct word buckets, shape features, and minimum shingle hashes of a whole text."""
-    if len(cache) > 1_000_000:
+    if len(cache) > 200_000:
         cache.clear()
     words = text.lower().split()
     ids = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(frames):
         m, cache = held.value, WordBucket()
-        for frame in frames:
+        for frame in (whole.slice(i, ROWS) for whole in frames for i in range(0, whole.num_rows, ROWS)):
             sets, shapes = [], []
             for text in utf8_rows(frame.column("text")):
                 words, shape, _ = features(text, cache)
