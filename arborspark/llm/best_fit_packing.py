@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from arborspark.llm.common import materialize
+from arborspark.llm.common import lean, materialize
 
 CAPACITY = 2048
 END_ID = 0
@@ -84,7 +84,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None =
                     at, piece = at + n, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def best_fit_plan(counts: dict[int, int], capacities=(CAPACITY, CAPACITY, CAPACITY**2), rule: str = "norm", weights=(1.0, 1.0, 1.0)) -> list[tuple]:
@@ -156,7 +156,7 @@ def pack(spark: SparkSession, pieces: DataFrame, capacities=None, rule: str = "n
             offset = step[:, 5] + nth % step[:, 3] * length
             yield pa.RecordBatch.from_arrays([*(frame.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, **options) -> DataFrame:

@@ -6,6 +6,8 @@ survives the loss of executors. A folder of its own is made only where that sett
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -47,12 +49,33 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete scratch tables that no returned plan reads any more."""
+    """Delete scratch tables that no returned plan reads any more, and the shuffle files of finished steps.
+
+    Spark drops shuffle files when the driver's garbage collector finds their plans unused; the plans
+    here are small, so the collector seldom runs by itself between the steps of a job.
+    """
     for t in tables:
         path = getattr(t, "_scratch_path", None)
         if path:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def lean(fn: Callable) -> Callable:
+    """``fn`` for mapInArrow, with freed memory given back at the end of each task: workers outlive tasks."""
+
+    def run(frames):
+        yield from fn(frames)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to give back by hand
+            pass
+
+    return run
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import to_batch, utf8_rows
+from arborspark.llm.common import lean, to_batch, utf8_rows
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
 PER_LANGUAGE, MAX_LANGUAGES, MAX_BYTES = 1200, 1000, 20_000
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                     lang[i] = m["classes"][c]
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*frame.schema.names, *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def fit(docs: DataFrame) -> dict | None:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: grouped prefix join over sets of five-word shingles.
 
 Words are the runs of bytes other than space and tab to carriage return, A-Z lower-cased. A
-document's set holds its distinct five-word shingles (64-bit hashes); with fewer words the whole
+document's set holds its distinct five-word shingles (63-bit hashes); with fewer words the whole
 sequence is one shingle; with none the set is empty and links with nothing. Two documents link when
 100 * intersection >= 80 * union.
 
@@ -36,12 +36,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import U64, Forest, WordHash, connected_components, materialize, mix64, release, shuffle_partitions, utf8_rows
+from arborspark.llm.common import U64, Forest, WordHash, connected_components, lean, materialize, mix64, release, shuffle_partitions, utf8_rows
 
 WIDTH, PERCENT = 5, 80
 HEAVY_MAX, HEAVY_MIN, HEAVY_LOCAL, HEAVY_CHUNK = 200_000, 16, 2, 1_000_000
 BLOOM_BITS = 1 << 25
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 #: Lists of at most SHORT_LIST members are paired by a join; longer ones in cells of 2 * CELL sets.
 SHORT_LIST, CELL, CELL_WORDS, LIKELY = 16, 128, 8192, 0.3
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=U64)
@@ -90,7 +90,7 @@ def _heavy_counts(frames):
 
 def heavy_shingles(texts: DataFrame) -> np.ndarray:
     """At most HEAVY_MAX shingles found most often (uint64, sorted), with their place in the order."""
-    counts = texts.mapInArrow(_heavy_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lean(_heavy_counts), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= HEAVY_MIN).orderBy(F.col("n").desc(), "shingle").limit(HEAVY_MAX).toPandas()
     keys = top["shingle"].to_numpy(dtype=np.int64).astype(U64)
     rank = np.arange(len(keys), 0, -1)  # the most frequent last
@@ -139,7 +139,7 @@ def summaries(docs: DataFrame, heavy) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.binary()] * 2
             yield pa.RecordBatch.from_arrays([frame.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_shingles", "s1", "s2", "p1", "p2", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, SUMMARY)
+    return docs.mapInArrow(lean(run), SUMMARY)
 
 
 def _passes(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def postings(heads: DataFrame, parts: int) -> DataFrame:
         if held:
             yield pack(held)
 
-    return heads.select("g", "n", "members", "prefix").mapInArrow(run, "bucket int, blob binary")
+    return heads.select("g", "n", "members", "prefix").mapInArrow(lean(run), "bucket int, blob binary")
 
 
 LISTS = "shingle long, g long, n long, at int, pg long, pn long, pat int"
@@ -254,7 +254,7 @@ def _bloom_build(frames):
 
 def bloom_filter(ids: DataFrame) -> np.ndarray:
     """Fixed-size bit set of all ids (4 MB whatever their number)."""
-    rows = ids.mapInArrow(_bloom_build, "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = ids.mapInArrow(lean(_bloom_build), "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(BLOOM_BITS // 8, np.uint8)
     out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).astype(np.uint8)
     return out
@@ -291,7 +291,7 @@ def sets_of(docs: DataFrame, bloom) -> DataFrame:
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, set binary")
+    return docs.where("doc_id is not null").mapInArrow(lean(run), "doc_id long, set binary")
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -313,16 +313,15 @@ def _verify(frames):
 
 
 def wanted_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The written sets of the documents in ``ids(id)`` (and of a few more that the filter lets pass)."""
-    bloom = spark.sparkContext.broadcast(bloom_filter(ids.distinct()))
-    return materialize(spark, sets_of(docs, bloom), "njoin-sets")
+    """The sets of the documents in ``ids(id)`` (and of a few more that the filter lets pass)."""
+    return sets_of(docs, spark.sparkContext.broadcast(bloom_filter(ids.distinct())))
 
 
 def verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The written table ``pairs(a, b)`` of doc_ids, reduced to pairs whose whole sets link."""
     left = pairs.join(sets.selectExpr("doc_id as a", "set as x"), "a")
     both = left.join(sets.selectExpr("doc_id as b", "set as y"), "b").select("a", "b", "x", "y")
-    return materialize(spark, both.mapInArrow(_verify, "a long, b long"), "njoin-links")
+    return materialize(spark, both.mapInArrow(lean(_verify), "a long, b long"), "njoin-links")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -355,28 +354,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     groups = materialize(spark, reps.groupBy("p1", "p2").agg(F.min("rep").alias("g"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members")), "njoin-groups")
     heads = usable.select("doc_id", "prefix", "s1", "s2").join(groups.select("g", "n", "members"), F.col("doc_id") == F.col("g"))
     parts = shuffle_partitions(spark)
-    lists = materialize(spark, postings(heads, parts).repartitionById(parts, "bucket").mapInArrow(_lists, LISTS), "njoin-lists")
+    lists = materialize(spark, postings(heads, parts).repartitionById(parts, "bucket").mapInArrow(lean(_lists), LISTS), "njoin-lists")
     members = materialize(spark, reps.join(groups.where("members > 1").select("p1", "p2", "g"), ["p1", "p2"]).select("g", "rep", "n"), "njoin-members")
     # likely pairs first: those that share their pivot in a good part of the prefix; step 4 is exact for the rest
     shared = lists.where((F.col("g") != F.col("pg")) & _fits("n", "at", "pn", "pat")).groupBy("g", "pg").agg(F.count(F.lit(1)).alias("k"), F.least(F.min("n"), F.min("pn")).alias("low"))
     near_pivot = shared.where(F.col("k") >= LIKELY * _prefix("low")).select(*_pair("g", "pg"))
     pairs = materialize(spark, near_pivot.union(members.where("rep <> g").select(*_pair("g", "rep"))).distinct(), "njoin-pairs")
-    sets = wanted_sets(spark, texts, _ends(pairs))
-    links = verified(spark, sets, pairs)
+    # both sides of the join read one shuffle of the sets, so these are not written
+    links = verified(spark, wanted_sets(spark, texts, _ends(pairs)), pairs)
+    release(spark, pairs, groups)
     parts_of = materialize(spark, connected_components(spark, links), "njoin-parts")
     held = residual_lists(spark, lists, members, parts_of)
-    release(spark, lists)
+    release(spark, lists, members)
     sketches = rows.where("doc_id is not null").selectExpr("doc_id as rep", "sketch")
     more = materialize(spark, possible(residual_pairs(spark, held), sketches), "njoin-more")
     cluster = materialize(spark, held.where(F.col("size") > SHORT_LIST).select("pivot", "rep", "n").distinct(), "njoin-cluster")
     cluster = active(spark, cluster, sketches)
-    release(spark, sets)
-    sets = wanted_sets(spark, texts, _ends(more).union(cluster.selectExpr("rep as id")))
+    release(spark, held)
+    sets = materialize(spark, wanted_sets(spark, texts, _ends(more).union(cluster.selectExpr("rep as id"))), "njoin-sets")
     links = links.union(verified(spark, sets, more)).union(residual_cells(spark, sets, cluster))
     parts_of = materialize(spark, connected_components(spark, links), "njoin-parts")
     by_set = reps.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("part"))
     by_set = materialize(spark, by_set, "njoin-by-set")
-    release(spark, pairs, more, held, sets, cluster)
+    release(spark, more, sets, cluster, reps)
     out = rows.select("doc_id", "n_shingles", "s1", "s2").join(by_set, ["s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("part")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
@@ -446,7 +446,7 @@ def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in (frame.column("a"), frame.column("b"))], names=["a", "b"])
 
     joined = pairs.join(sketches.selectExpr("rep as a", "sketch as x"), "a").join(sketches.selectExpr("rep as b", "sketch as y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _active(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -525,7 +525,7 @@ def _picked(docs: DataFrame, bloom, inside: bool) -> DataFrame:
             hit[known] = _in_bloom(bloom.value, np.ascontiguousarray(values))
             yield frame.filter(pa.array(hit if inside else ~hit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:

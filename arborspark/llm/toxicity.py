@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import utf8_rows
+from arborspark.llm.common import lean, utf8_rows
 
 BUCKETS, FEATURES, EVIDENCE, MAX_TRAIN, FOLDS, RIDGE = 1 << 31, 400, 28.0, 8000, 5, 2.0
 MIN_DOCS, ROWS = 4, 1000
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> dict:
     picked = docs.where("doc_id is not null").where(share).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     # the labels of the sample first, so that only labelled documents are taken apart
     wanted = marks.where(share)
-    got = picked.join(wanted, "doc_id", "left_semi").mapInArrow(_extract, SAMPLE).join(wanted, "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    got = picked.join(wanted, "doc_id", "left_semi").mapInArrow(lean(_extract), SAMPLE).join(wanted, "doc_id").toPandas().sort_values("doc_id", kind="stable")
     seen: set[int] = set()
     keep = []
     for mins in got["mins"]:
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yes = [p >= c["bound"] for p, c in zip(ps, m["chain"])]
             yield pa.RecordBatch.from_arrays([*frame.columns, *map(pa.array, ps), *map(pa.array, yes)], names=[*frame.schema.names, *(k for k, _ in added)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
