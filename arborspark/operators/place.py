@@ -14,10 +14,14 @@ from pyspark.sql.window import Window as W
 
 from arborspark.plans.analog import Bundle
 
-#: A batch of samples whose ids are broadcast against all nodes; larger inputs go in several batches.
+#: Up to so many samples are broadcast against all nodes; more are joined without a broadcast.
 BATCH = 4096
 
 
+def _small(names: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(names) if count <= BATCH else names
+
+
 def _cost(base: Column, sample: Column, ref: Column) -> Column:
     """Changes at one site: base state (null: none) against the sample's allele (null: reference)."""
     b, s = F.coalesce(base, ref), F.coalesce(sample, ref)
@@ -27,14 +31,15 @@ def _cost(base: Column, sample: Column, ref: Column) -> Column:
 def scores(b: Bundle, samples: DataFrame) -> DataFrame:
     """PL-1: ``samples(sample, pos, ref, allele)`` -> (sample, node, score, n_common, n_unique)."""
     names = samples.groupBy("sample").agg(F.sum((F.col("allele") != F.col("ref")).cast("long")).alias("own"))
+    count = names.count()
     up = b.node.select("node", F.coalesce("parent", "node").alias("up"), "parent")
     width = b.state.where("mut <> ref").groupBy(F.col("node").alias("up")).agg(F.count(F.lit(1)).alias("depth"))
     entries = samples.select("sample", "pos", "allele")
     met = b.state.select(F.col("node").alias("up"), "pos", "ref", F.col("mut").alias("base")).join(entries, "pos")
     fix = met.groupBy("up", "sample").agg(F.sum(_cost(F.col("base"), F.col("allele"), F.col("ref")) - (F.col("base") != F.col("ref")).cast("long") - (F.col("allele") != F.col("ref")).cast("long")).alias("fix"))
-    grid = up.where("parent is not null").crossJoin(F.broadcast(names.limit(BATCH)))
+    grid = up.where("parent is not null").crossJoin(_small(names, count))
     above = grid.join(width, "up", "left").join(fix, ["up", "sample"], "left").select("sample", "node", (F.col("own") + F.coalesce("depth", F.lit(0)) + F.coalesce("fix", F.lit(0))).alias("above"))
-    own = b.event.join(up.where("parent is not null").select("node", "up"), "node").crossJoin(F.broadcast(names.select("sample").limit(BATCH))).join(entries, ["sample", "pos"], "left")
+    own = b.event.join(up.where("parent is not null").select("node", "up"), "node").crossJoin(_small(names.select("sample"), count)).join(entries, ["sample", "pos"], "left")
     common = F.when(F.col("allele").isNotNull(), F.col("allele").bitwiseAND(F.col("mut")) != 0).otherwise(F.col("mut") == F.col("ref"))
     gain = F.when(common, _cost(F.col("mut"), F.col("allele"), F.col("ref")) - _cost(F.col("par"), F.col("allele"), F.col("ref"))).otherwise(0)
     at = own.groupBy("sample", "node").agg(F.sum(gain).alias("gain"), F.sum(common.cast("long")).alias("n_common"), F.sum((~common).cast("long")).alias("n_unique"))

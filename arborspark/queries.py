@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from arborspark.functions import nucleotides as nuc
-from arborspark.operators import report, select, tree
+from arborspark.operators import compare, report, revise, select, translate, tree
 from arborspark.plans.analog import BASE, Bundle, bundle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,54 @@ query("pl1_scores", _SAMPLES + " SELECT * FROM scored")(lambda spark, sf_dir: pl
 query("pl3_best", _SAMPLES + """, adm AS (SELECT scored.*, n_leaves, dfs FROM scored JOIN node USING (node) WHERE (NOT is_leaf AND n_unique > 0 AND n_common > 0) OR (is_leaf AND n_common > 0) OR (NOT is_leaf AND n_unique = 0)),
 m AS (SELECT * FROM adm QUALIFY rank() OVER (PARTITION BY sample ORDER BY score) = 1)
 SELECT sample, arg_max(node, n_leaves * 1000000000 + dfs) AS node, min(score) AS score, count(*) AS epp FROM m GROUP BY sample""")(lambda spark, sf_dir: place.best(bundle(spark, sf_dir), _new_samples(spark, sf_dir)))
+
+
+# comparisons, translation, revisions
+def _calls(b: Bundle) -> DataFrame:
+    return b.state.join(b.leaf.select("node"), "node").select(F.col("node").alias("sample"), "pos", F.col("mut").alias("allele"))
+
+
+def _other_calls(b: Bundle) -> DataFrame:
+    return _calls(b).where("sample not like '%3'").withColumn("allele", F.when(F.col("pos") % 7 == 0, 9).otherwise(F.col("allele")))
+
+
+_CALLS = ", a AS (SELECT node AS sample, pos, mut AS allele FROM st JOIN leaf USING (node)), b AS (SELECT sample, pos, CASE WHEN pos % 7 = 0 THEN 9 ELSE allele END AS allele FROM a WHERE sample NOT LIKE '%3')"
+on_bundle("jo5_conflicts", f"{_CALLS} SELECT sample, pos, a.allele AS left_allele, b.allele AS right_allele FROM a JOIN b USING (sample, pos) WHERE a.allele & b.allele = 0")(lambda b: compare.genotype_conflicts(_calls(b), _other_calls(b)))
+on_bundle("jo5_missing", f"{_CALLS} SELECT DISTINCT sample, 'right' AS absent_from FROM a WHERE sample NOT IN (SELECT sample FROM b)")(lambda b: compare.missing_samples(_calls(b), _other_calls(b)))
+on_bundle("jo8_changed_counts", """, x AS (SELECT literal AS name, count(*) AS before FROM lit GROUP BY 1), y AS (SELECT literal AS name, count(*) AS after FROM lit WHERE node NOT LIKE '%3' GROUP BY 1)
+SELECT name, before, after, after - before AS delta FROM x JOIN y USING (name) WHERE before <> after""")(
+    lambda b: compare.changed_counts(*(report.mutations(x).select(F.col("mutation").alias("name"), F.col("occurrence").alias("n")) for x in (b, Bundle(b.node, b.event.where("node not like '%3'"), b.closure, b.state))))
+)
+_GENES = [("g1", 1, 3, 32, "+"), ("g2", 1, 20, 49, "-"), ("g3", 1, 50, 70, "+"), ("g3", 2, 72, 92, "+")]
+
+
+def _sites(b: Bundle) -> DataFrame:
+    return translate.codon_sites(b.node.sparkSession.createDataFrame(_GENES, "gene string, ord int, start int, stop int, strand string"))
+
+
+_SITES = """, gene(gene, ord, start, stop, strand) AS (VALUES """ + ", ".join(map(str, _GENES)) + """),
+cs AS (SELECT gene, strand, (coalesce((SELECT sum((p.stop - p.start + 1) // 3) FROM gene p WHERE p.gene = g.gene AND p.ord < g.ord), 0) + s // 3 + 1)::INT AS codon, (s % 3)::INT AS i, (CASE strand WHEN '-' THEN stop - s ELSE start + s END)::INT AS pos
+FROM gene g, generate_series(0, 200) t(s) WHERE s < (stop - start + 1) // 3 * 3)"""
+on_bundle("tl1_codon_sites", f"{_SITES} SELECT gene, strand, codon, i, pos FROM cs")(_sites)
+_AA = "substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', (instr('TCAG', {c}[1]) - 1) * 16 + (instr('TCAG', {c}[2]) - 1) * 4 + instr('TCAG', {c}[3]), 1)"
+on_bundle("tl2_amino_changes", f"""{_SITES}, h AS (SELECT DISTINCT node, gene, codon FROM ev JOIN cs USING (pos)),
+l AS (SELECT h.node, gene, codon, strand, i, coalesce(e.par, s.mut, 1 << (pos % 4)) AS o, coalesce(e.mut, s.mut, 1 << (pos % 4)) AS n FROM h JOIN cs USING (gene, codon) JOIN node USING (node) LEFT JOIN ev e USING (node, pos) LEFT JOIN st s ON s.node = node.parent AND s.pos = cs.pos),
+k AS (SELECT node, gene, codon, any_value(strand) AS strand, string_agg(substr('ACMGRSVT', o::INT, 1), '' ORDER BY i) AS o, string_agg(substr('ACMGRSVT', n::INT, 1), '' ORDER BY i) AS n FROM l GROUP BY 1, 2, 3),
+m AS (SELECT node, gene, codon, CASE strand WHEN '-' THEN translate(o, 'ACGT', 'TGCA') ELSE o END AS old_codon, CASE strand WHEN '-' THEN translate(n, 'ACGT', 'TGCA') ELSE n END AS new_codon FROM k)
+SELECT *, {_AA.format(c='old_codon')} AS old_aa, {_AA.format(c='new_codon')} AS new_aa FROM m""")(
+    lambda b: translate.amino_changes(b.node, b.event, b.state, _sites(b), b.node.sparkSession.range(97).selectExpr("cast(id as int) pos", "shiftleft(1, cast(id % 4 as int)) ref"))
+)
+query("tl3_dictionary", "SELECT c_name AS value, dense_rank() OVER (ORDER BY c_name) AS code FROM (SELECT DISTINCT c_name FROM customer)", base=False)(lambda spark, sf_dir: translate.dictionary(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_name"))
+on_bundle("op12_reversions", """, s AS (SELECT node, any_value(pos) AS pos, any_value(ref) AS ref, any_value(par) AS par, any_value(mut) AS mut FROM ev GROUP BY node HAVING count(*) = 1), o AS (SELECT s.*, parent FROM s JOIN node USING (node))
+SELECT a.node, a.parent, b.parent AS grandparent, c.parent AS target, b.pos, b.ref, b.par, b.mut FROM o a JOIN o b ON b.node = a.parent JOIN o c ON c.node = b.parent WHERE c.parent IS NOT NULL AND a.pos = c.pos AND a.mut = c.par AND a.par = c.mut""")(
+    lambda b: revise.grandparent_reversions(b.node, b.event)
+)
+on_bundle("ma1_mask_private", """, i AS (SELECT anc AS node, count(*) AS k FROM clo WHERE node IN (SELECT node FROM leaf WHERE node LIKE 'o1%') GROUP BY anc)
+SELECT node, pos, par, mut, coalesce(k = n_leaves, false) AS masked FROM ev JOIN node USING (node) LEFT JOIN i USING (node)""")(
+    lambda b: revise.mask_private(b.node, b.closure, b.event, b.leaf.where("node like 'o1%'")).select("node", "pos", "par", "mut", "masked")
+)
+_REGION = ", r AS (SELECT anc, right(c.node, 1) AS region, count(*) AS k FROM clo c JOIN leaf ON leaf.node = c.node GROUP BY 1, 2)"
+_regions = lambda b: b.leaf.select("node", F.substring("node", -1, 1).alias("region"))
+on_bundle("in1_association_index", f"""{_REGION}, q AS (SELECT anc, sum(k) AS n, max(k) AS most FROM r JOIN node ON node.node = anc WHERE NOT is_leaf GROUP BY anc)
+SELECT round(sum((1 - most / n) * pow(0.5::DOUBLE, least(n - 1, 1000))), 9) AS association_index FROM q""")(lambda b: revise.association_index(b.node, b.closure, _regions(b)).select(F.round("association_index", 9).alias("association_index")))
+on_bundle("in1_monophyletic", f"{_REGION} SELECT region, max(k) AS size FROM r JOIN node ON node.node = anc WHERE k = n_leaves GROUP BY region")(lambda b: revise.monophyletic_sizes(b.node, b.closure, _regions(b)))
