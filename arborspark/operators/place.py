@@ -23,20 +23,20 @@ def _small(names: DataFrame, count: int) -> DataFrame:
 
 
 def _cost(base: Column, sample: Column, ref: Column) -> Column:
-    """Changes at one site: base state (null: none) against the sample's allele (null: reference)."""
+    """Changes at one site: base state (null: none) against the sample's allele set (null: reference); 0 where they overlap."""
     b, s = F.coalesce(base, ref), F.coalesce(sample, ref)
-    return (b != s).cast("long")
+    return (b.bitwiseAND(s) == 0).cast("long")
 
 
 def scores(b: Bundle, samples: DataFrame) -> DataFrame:
     """PL-1: ``samples(sample, pos, ref, allele)`` -> (sample, node, score, n_common, n_unique)."""
-    names = samples.groupBy("sample").agg(F.sum((F.col("allele") != F.col("ref")).cast("long")).alias("own"))
+    names = samples.groupBy("sample").agg(F.sum(_cost(F.col("ref"), F.col("allele"), F.col("ref"))).alias("own"))
     count = names.count()
     up = b.node.select("node", F.coalesce("parent", "node").alias("up"), "parent")
     width = b.state.where("mut <> ref").groupBy(F.col("node").alias("up")).agg(F.count(F.lit(1)).alias("depth"))
     entries = samples.select("sample", "pos", "allele")
     met = b.state.select(F.col("node").alias("up"), "pos", "ref", F.col("mut").alias("base")).join(entries, "pos")
-    fix = met.groupBy("up", "sample").agg(F.sum(_cost(F.col("base"), F.col("allele"), F.col("ref")) - (F.col("base") != F.col("ref")).cast("long") - (F.col("allele") != F.col("ref")).cast("long")).alias("fix"))
+    fix = met.groupBy("up", "sample").agg(F.sum(_cost(F.col("base"), F.col("allele"), F.col("ref")) - (F.col("base") != F.col("ref")).cast("long") - _cost(F.col("ref"), F.col("allele"), F.col("ref"))).alias("fix"))
     grid = up.where("parent is not null").crossJoin(_small(names, count))
     above = grid.join(width, "up", "left").join(fix, ["up", "sample"], "left").select("sample", "node", (F.col("own") + F.coalesce("depth", F.lit(0)) + F.coalesce("fix", F.lit(0))).alias("above"))
     own = b.event.join(up.where("parent is not null").select("node", "up"), "node").crossJoin(_small(names.select("sample"), count)).join(entries, ["sample", "pos"], "left")
@@ -53,9 +53,13 @@ def admissible(b: Bundle, scored: DataFrame) -> DataFrame:
     return kind.where((~F.col("is_leaf") & (F.col("n_unique") > 0) & (F.col("n_common") > 0)) | (F.col("is_leaf") & (F.col("n_common") > 0)) | (~F.col("is_leaf") & (F.col("n_unique") == 0)))
 
 
+def minima(b: Bundle, samples: DataFrame) -> DataFrame:
+    """WN-8: every admissible placement with the sample's least score."""
+    return admissible(b, scores(b, samples)).withColumn("r", F.rank().over(W.partitionBy("sample").orderBy("score"))).where("r = 1").drop("r")
+
+
 def best(b: Bundle, samples: DataFrame) -> DataFrame:
-    """PL-3, PL-14, WN-8: (sample, node, score, epp): the chosen minimum (more leaves, then larger dfs) and their number."""
-    w = W.partitionBy("sample").orderBy("score")
-    minima = admissible(b, scores(b, samples)).withColumn("r", F.rank().over(w)).where("r = 1")
-    ranked = minima.withColumn("i", F.row_number().over(W.partitionBy("sample").orderBy(F.col("n_leaves").desc(), F.col("dfs").desc()))).withColumn("epp", F.count(F.lit(1)).over(W.partitionBy("sample")))
+    """PL-3, PL-14: (sample, node, score, epp): the chosen minimum (more leaves, then larger dfs) and their number."""
+    w = W.partitionBy("sample")
+    ranked = minima(b, samples).withColumn("i", F.row_number().over(w.orderBy(F.col("n_leaves").desc(), F.col("dfs").desc()))).withColumn("epp", F.count(F.lit(1)).over(w))
     return ranked.where("i = 1").select("sample", "node", "score", "epp")

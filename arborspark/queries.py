@@ -283,3 +283,30 @@ _regions = lambda b: b.leaf.select("node", F.substring("node", -1, 1).alias("reg
 on_bundle("in1_association_index", f"""{_REGION}, q AS (SELECT anc, sum(k) AS n, max(k) AS most FROM r JOIN node ON node.node = anc WHERE NOT is_leaf GROUP BY anc)
 SELECT round(sum((1 - most / n) * pow(0.5::DOUBLE, least(n - 1, 1000))), 9) AS association_index FROM q""")(lambda b: revise.association_index(b.node, b.closure, _regions(b)).select(F.round("association_index", 9).alias("association_index")))
 on_bundle("in1_monophyletic", f"{_REGION} SELECT region, max(k) AS size FROM r JOIN node ON node.node = anc WHERE k = n_leaves GROUP BY region")(lambda b: revise.monophyletic_sizes(b.node, b.closure, _regions(b)))
+
+
+# recombination
+from arborspark.operators import recombine  # noqa: E402
+
+#: Orders with seven events are searched against nodes with more than ten in their subtree.
+on_bundle("rc2_search")(lambda b: recombine.search(b, select.event_counts(b).where("n >= 7").select("node"), 2, 1, 11, 0))
+on_bundle("rc10_descendants", "SELECT a.anc AS node, least(count(*), 10) AS n, (any_value(a.dist) - 1)::INT AS extra FROM clo a JOIN leaf ON leaf.node = a.node WHERE dist = (SELECT min(x.dist) FROM clo x JOIN leaf l ON l.node = x.node WHERE x.anc = a.anc AND x.dist BETWEEN 1 AND 3) AND dist BETWEEN 1 AND 3 GROUP BY a.anc")(
+    lambda b: recombine.near_descendants(b, b.node.where("not is_leaf").select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("extra").alias("extra"))
+)
+_TRIO = "SELECT l_orderkey AS recomb, l_partkey AS donor, l_suppkey AS acceptor, l_linenumber AS breakpoints, l_quantity::INT AS n_sites, l_discount AS p, (l_partkey % 50)::INT AS parent_leaves, l_extendedprice AS width FROM lineitem"
+_trios = lambda t: t.selectExpr("l_orderkey recomb", "l_partkey donor", "l_suppkey acceptor", "l_linenumber breakpoints", "cast(l_quantity as int) n_sites", "l_discount p", "cast(l_partkey % 50 as int) parent_leaves", "l_extendedprice width")
+_lineitem("rc14_tie_break", f"SELECT * FROM ({_TRIO}) QUALIFY row_number() OVER (PARTITION BY recomb ORDER BY breakpoints, n_sites, p, parent_leaves, width DESC, donor, acceptor) = 1")(lambda t: recombine.tie_break(_trios(t)))
+_lineitem("ag19_empirical_p", """WITH null_model AS (SELECT l_linenumber + 5 AS parsimony, (l_quantity % 7)::INT AS improvement, count(*) AS n FROM lineitem GROUP BY 1, 2),
+found AS (SELECT l_orderkey AS recomb, l_linenumber + 6 AS s, (l_suppkey % 5)::INT AS r FROM lineitem WHERE l_linenumber > 1)
+SELECT recomb, s AS min_starting_parsimony, r AS recomb_parsimony, (SELECT sum(n) FROM null_model WHERE parsimony = s)::BIGINT AS total,
+CASE WHEN s IN (SELECT parsimony FROM null_model) THEN coalesce((SELECT sum(n) FROM null_model WHERE parsimony = s AND improvement >= s - r), 0)::BIGINT END AS tail FROM found WHERE s > 0 AND s - r >= 3""")(
+    lambda t: recombine.empirical_p(
+        t.where("l_linenumber > 1").selectExpr("l_orderkey recomb", "l_linenumber + 6 min_starting_parsimony", "cast(l_suppkey % 5 as int) recomb_parsimony"),
+        t.selectExpr("l_linenumber + 5 parsimony", "cast(l_quantity % 7 as int) improvement").groupBy("parsimony", "improvement").agg(F.count(F.lit(1)).alias("n")),
+    )
+)
+_lineitem("rc9_walks", """WITH s AS (SELECT l_orderkey AS trio, l_partkey AS pos, CASE WHEN min(l_suppkey) % 2 = 0 THEN 'A' ELSE 'B' END AS side FROM lineitem GROUP BY 1, 2)
+SELECT trio, string_agg(side, '' ORDER BY pos) AS seq, count(*) FILTER (side = 'A') AS n_a, count(*) FILTER (side = 'B') AS n_b, max(pos) FILTER (side = 'A') - min(pos) FILTER (side = 'A') AS a_span, max(pos) FILTER (side = 'B') - min(pos) FILTER (side = 'B') AS b_span
+FROM s GROUP BY trio HAVING a_span > 20 AND b_span > 20""")(
+    lambda t: recombine.not_clustered(recombine.walks(t.groupBy(F.col("l_orderkey").alias("trio"), F.col("l_partkey").alias("pos")).agg(F.when(F.min("l_suppkey") % 2 == 0, "A").otherwise("B").alias("side"))))
+)
