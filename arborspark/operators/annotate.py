@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -53,6 +53,19 @@ def consensus(b: Bundle, members: DataFrame, keep: float, mask: float) -> DataFr
     return most.select(F.col("clade").alias("sample"), "pos", "ref", F.when(F.col("m.f") >= keep, F.col("m.mut")).otherwise(15).alias("allele"))
 
 
+def _climb(walk: Column, least_overlap: float) -> Column:
+    """The accepted steps of a walk sorted by (at, dist): a path ends at its first step below the best share so far, which holds over all paths."""
+    kind = "array<struct<at:long,dist:int,freq:double,overlap:double,dfs:long,node:string>>"
+    start = F.struct(F.lit(-1.0).alias("best"), F.lit(-1).cast("long").alias("ended"), F.array().cast(kind).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        good = (acc["ended"] != x["at"]) & (x["freq"] >= acc["best"]) & (x["overlap"] >= least_overlap)
+        kept = F.when(good, F.concat(acc["kept"], F.array(x).cast(kind))).otherwise(acc["kept"])
+        return F.struct(F.when(good, x["freq"]).otherwise(acc["best"]).alias("best"), F.when(good, acc["ended"]).otherwise(x["at"]).alias("ended"), kept.alias("kept"))
+
+    return F.aggregate(walk, start, step, lambda acc: acc["kept"])
+
+
 def by_samples(b: Bundle, members: DataFrame, keep: float = 0.8, mask: float = 0.2, least_overlap: float = 0.6, clip: float = 0.1) -> DataFrame:
     """AN-4, AG-13, SO-5: ``members(clade, node)`` -> (clade, node, freq, overlap); no node gets two clades.
 
@@ -66,10 +79,8 @@ def by_samples(b: Bundle, members: DataFrame, keep: float = 0.8, mask: float = 0
     inside = members.join(b.closure, "node").groupBy("clade", "anc").agg(F.count(F.lit(1)).alias("k"))
     up = start.join(b.closure.withColumnRenamed("node", "start"), "start").join(inside, ["clade", "anc"], "left").join(size, "clade").join(b.node.select(F.col("node").alias("anc"), "n_leaves", "dfs"), "anc")
     rated = up.withColumns({"freq": F.coalesce("k", F.lit(0)) / F.col("n_leaves"), "overlap": F.coalesce("k", F.lit(0)) / F.col("size")})
-    path = W.partitionBy("clade", "start").orderBy("dist")
-    falls = (F.col("freq") < F.coalesce(F.max("freq").over(path.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))) | (F.col("overlap") < least_overlap)
-    kept = rated.withColumn("_f", falls.cast("int")).withColumn("_f", F.max("_f").over(path.rowsBetween(W.unboundedPreceding, 0))).where("_f = 0")
-    cands = kept.groupBy("clade", F.col("anc").alias("node")).agg(F.first("freq").alias("freq"), F.first("overlap").alias("overlap"), F.first("dfs").alias("dfs"), F.first("size").alias("size"))
+    walk = rated.join(b.node.select(F.col("node").alias("start"), F.col("dfs").alias("at")), "start").groupBy("clade", "size").agg(F.array_sort(F.collect_list(F.struct("at", "dist", "freq", "overlap", "dfs", F.col("anc").alias("node")))).alias("walk"))
+    cands = walk.withColumn("x", F.explode(_climb(F.col("walk"), least_overlap))).groupBy("clade", "x.node").agg(F.first("x.freq").alias("freq"), F.first("x.overlap").alias("overlap"), F.first("x.dfs").alias("dfs"), F.first("size").alias("size"))
     score = F.least("freq", F.lit(clip)) * F.col("overlap") * F.col("overlap")
     ranked = cands.withColumns({"i": F.row_number().over(W.partitionBy("clade").orderBy(score.desc(), "dfs")), "n": F.count(F.lit(1)).over(W.partitionBy("clade"))})
     left = materialize(ranked, "clade-candidates")

@@ -3,6 +3,7 @@
 import random
 
 from arborspark.operators import annotate, grow, place
+from arborspark.plans.rebuild import rebuild
 from tests.test_recombination import random_bundle
 
 
@@ -88,11 +89,6 @@ def test_clades(spark):
     got = annotate.by_path(b, spark.createDataFrame([("x", steps), ("y", [["A1C", "A2C", "A3C"]]), ("z", [])], "clade string, steps array<array<string>>"))
     found = {r["clade"]: r["node"] for r in got.collect()}
     assert found["z"] == "v00" and "y" not in found and own[found["x"]] and sorted(own[found["x"]]) == sorted(own[deep])
-    top = max((v for v in kids["v00"] if v in own), key=lambda v: size[v])
-    at = order.index(top)
-    members = [v for v in order[at : at + size[top]] if v not in kids]
-    rows = annotate.by_samples(b, spark.createDataFrame([("c", v) for v in members], "clade string, node string"), keep=0.5).collect()
-    assert len(rows) == 1 and rows[0]["overlap"] >= 0.6
     exact = [("e", p, 1, m) for p, m in state[deep].items()]
     hit = annotate.by_mutations(b, spark.createDataFrame(exact, "sample string, pos int, ref int, allele int")).first()
     assert state[hit["node"]] == state[deep] or state[parent[hit["node"]]] == state[deep] or hit["node"] in order
@@ -100,3 +96,15 @@ def test_clades(spark):
     assert [tuple(r) for r in given.collect()] == [("v01", "early")]
     labels = {r["node"]: r["labels"] for r in annotate.with_column(b, given).collect()}
     assert labels["v01"] == ["", "", "early"] and labels["v02"] == ["", "", ""]
+
+
+def test_clade_of_samples(spark):
+    """x holds members a and b below one event; c and d lie elsewhere; the second clade gets what is left."""
+    edges = spark.createDataFrame([("root", None), ("x", "root"), ("a", "x"), ("b", "x"), ("y", "root"), ("c", "y"), ("d", "y")], "node string, parent string")
+    event = spark.createDataFrame([("x", 1, 1, 1, 2), ("b", 9, 1, 1, 2), ("y", 2, 1, 1, 2), ("d", 5, 1, 1, 4)], "node string, pos int, ref int, par int, mut int")
+    b = rebuild(edges, event)
+    rows = {r["node"]: (r["level"], r["dfs"], r["dfs_end"], r["n_leaves"]) for r in b.node.collect()}
+    assert rows == {"root": (0, 0, 6, 4), "x": (1, 1, 3, 2), "a": (2, 2, 2, 1), "b": (2, 3, 3, 1), "y": (1, 4, 6, 2), "c": (2, 5, 5, 1), "d": (2, 6, 6, 1)}
+    members = spark.createDataFrame([("m", "a"), ("m", "b"), ("n", "a"), ("n", "b"), ("o", "c"), ("o", "d")], "clade string, node string")
+    got = {r["clade"]: (r["node"], r["freq"], r["overlap"]) for r in annotate.by_samples(b, members).collect()}
+    assert got == {"m": ("x", 1.0, 1.0), "o": ("y", 1.0, 1.0)}
