@@ -7,7 +7,7 @@ the lowest one; the root's parent is the reference. Events are the changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborspark.functions.nucleotides import first_allele
@@ -43,3 +43,44 @@ def fitch(node: DataFrame, leaf_sets: DataFrame) -> DataFrame:
         new = above.where("par <> mut")
         events = new if events is None else events.union(new)
     return events
+
+
+def least_back_mutations(node: DataFrame, leaf_sets: DataFrame) -> DataFrame:
+    """FS-3: as ``fitch``, but with the fewest back mutations among the assignments with the fewest events.
+
+    Per (node, site) and own allele x the table holds events ``e`` and back mutations ``b`` below, and
+    ``t0..t3``, the topmost events below from x to each allele. An edge from y to x costs an event and as
+    many back mutations as there are topmost events from x to y below it. Ties keep the parent's allele,
+    then take the lowest.
+    """
+    top = node.agg(F.max("level")).first()[0]
+    where = node.select("node", "parent", "level")
+    leaves = leaf_sets.join(where, "node")
+    big = 1 << 40
+    cost = lambda x, e, b, t: F.struct(e.cast("long").alias("e"), b.cast("long").alias("b"), *(v.cast("long").alias(f"t{z}") for z, v in enumerate(t))).alias(f"x{x}")
+
+    def edge(y: Column) -> Column:
+        """What a child costs below a parent of allele index y: the least of its alleles, with the choice."""
+        each = [F.struct((F.col(f"x{x}.e") + (y != x).cast("long")).alias("e"), (F.col(f"x{x}.b") + F.when(y == x, 0).otherwise(F.element_at(F.array(*(F.col(f"x{x}.t{z}") for z in range(4))), y + 1))).alias("b"), (y != x).cast("int").alias("m"), F.lit(x).alias("x")) for x in range(4)]
+        return F.array_min(F.array(*each))
+
+    done: dict[int, DataFrame] = {}
+    for level in range(top, -1, -1):
+        free = lambda x: F.when(F.col("allele").bitwiseAND(1 << x) != 0, 0).otherwise(big)
+        here = leaves.where(F.col("level") == level).select("node", "parent", "pos", "ref", *(cost(x, free(x), F.lit(0), [F.lit(0)] * 4) for x in range(4)))
+        if level + 1 in done:
+            kids = done[level + 1].select(F.col("parent").alias("node"), "pos", "ref", *(F.col(f"x{x}").alias(f"x{x}") for x in range(4)), *(edge(F.lit(y)).alias(f"c{y}") for y in range(4)))
+            sums = []
+            for y in range(4):
+                sums += [F.sum(f"c{y}.e").alias(f"e{y}"), F.sum(f"c{y}.b").alias(f"b{y}")]
+                sums += [F.sum(F.when(F.col(f"c{y}.x") == y, F.col(f"x{y}.t{z}")).otherwise((F.col(f"c{y}.x") == z).cast("long"))).alias(f"t{y}{z}") for z in range(4)]
+            inner = kids.groupBy("node", "pos", "ref").agg(*sums).select("node", "pos", "ref", *(cost(y, F.col(f"e{y}"), F.col(f"b{y}"), [F.col(f"t{y}{z}") for z in range(4)]) for y in range(4)))
+            here = here.union(inner.join(where, "node").select(here.columns))
+        done[level] = materialize(here, "back-up")
+    events, above = None, None
+    for level in range(top + 1):
+        here = done[level].withColumn("par", F.col("ref")) if above is None else done[level].join(above.select(F.col("node").alias("parent"), "pos", F.col("mut").alias("par")), ["parent", "pos"])
+        above = materialize(here.withColumn("_x", edge(F.log2("par").cast("int"))["x"]).select("node", "pos", "par", F.expr("shiftleft(1, _x)").alias("mut")), "back-down")
+        new = above.where("par <> mut")
+        events = new if events is None else events.union(new)
+    return events

@@ -38,7 +38,7 @@ def breakpoints(haplotype: DataFrame, min_events: int, min_range: int, max_range
 
 
 def excess(b: Bundle, candidates: DataFrame, min_nodes: int) -> DataFrame:
-    """RC-3: ``candidates(cand, hap)`` -> (cand, node, sibling, sites): sites that differ from the candidate when it hangs at the node.
+    """RC-3: ``candidates(cand, hap)`` -> (cand, node, sibling, common, sites): its shared events, and sites that differ from the candidate when it hangs at the node.
 
     Events that the candidate shares join the state above the node. Nodes below the candidate and nodes
     with fewer than ``min_nodes`` in their subtree are left out.
@@ -55,7 +55,7 @@ def excess(b: Bundle, candidates: DataFrame, min_nodes: int) -> DataFrame:
     shared = F.filter(F.col("own"), lambda e: F.array_contains("mine", e["key"]) | (e["back"] & ~F.array_contains(place(F.col("mine")), F.shiftright(e["key"], 4))))
     unique = F.coalesce(F.size("own") - F.size(shared), F.lit(0))
     left = F.when(F.col("own").isNull(), differ).otherwise(F.array_except(differ, F.transform(shared, lambda e: F.shiftright(e["key"], 4))))
-    return grid.select("cand", "node", (F.col("is_leaf") | (unique > 0)).alias("sibling"), left.alias("sites"))
+    return grid.select("cand", "node", (F.col("is_leaf") | (unique > 0)).alias("sibling"), F.coalesce(F.size(shared), F.lit(0)).alias("common"), left.alias("sites"))
 
 
 def first_pairs(parts: DataFrame, improvement: int) -> DataFrame:

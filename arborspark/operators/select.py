@@ -100,3 +100,14 @@ def distances(b: Bundle, target: str) -> DataFrame:
 def candidates(b: Bundle, min_events: int, min_leaves: int) -> DataFrame:
     """SE-16, RC-1: branches with enough events and leaves, not the root."""
     return event_counts(b).where((F.col("n") >= min_events) & (F.col("n_leaves") >= min_leaves) & F.col("parent").isNotNull()).select("node", "n", "n_leaves")
+
+
+def cover(b: Bundle, queries: list[str], k: int) -> dict[str, list[str]]:
+    """TR-29: {query: leaves}: for each query in order that no earlier set holds, its k nearest leaves; one small job for each set."""
+    found: dict[str, list[str]] = {}
+    left = list(dict.fromkeys(queries))
+    while left:
+        found[left[0]] = sorted(r["node"] for r in nearest(b, left[0], k).collect())
+        held = {left[0], *found[left[0]]}
+        left = [q for q in left if q not in held]
+    return found
