@@ -288,8 +288,6 @@ on_bundle("in1_monophyletic", f"{_REGION} SELECT region, max(k) AS size FROM r J
 # recombination
 from arborspark.operators import recombine  # noqa: E402
 
-#: Orders with seven events are searched against nodes with more than ten in their subtree.
-on_bundle("rc2_search")(lambda b: recombine.search(b, select.event_counts(b).where("n >= 7").select("node"), 2, 1, 11, 0))
 on_bundle("rc10_descendants", "SELECT a.anc AS node, least(count(*), 10) AS n, (any_value(a.dist) - 1)::INT AS extra FROM clo a JOIN leaf ON leaf.node = a.node WHERE dist = (SELECT min(x.dist) FROM clo x JOIN leaf l ON l.node = x.node WHERE x.anc = a.anc AND x.dist BETWEEN 1 AND 3) AND dist BETWEEN 1 AND 3 GROUP BY a.anc")(
     lambda b: recombine.near_descendants(b, b.node.where("not is_leaf").select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("extra").alias("extra"))
 )
@@ -310,3 +308,33 @@ SELECT trio, string_agg(side, '' ORDER BY pos) AS seq, count(*) FILTER (side = '
 FROM s GROUP BY trio HAVING a_span > 20 AND b_span > 20""")(
     lambda t: recombine.not_clustered(recombine.walks(t.groupBy(F.col("l_orderkey").alias("trio"), F.col("l_partkey").alias("pos")).agg(F.when(F.min("l_suppkey") % 2 == 0, "A").otherwise("B").alias("side"))))
 )
+
+
+# clade labels, introductions, density
+from arborspark.operators import annotate, regions  # noqa: E402
+
+
+def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of nations: the segment of each of their customers, the first customer's counts."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey ord", "c_mktsegment clade", "concat('n', c_nationkey) node")
+
+
+_GIVEN = ", gv AS (SELECT 'n' || c_nationkey AS node, arg_min(c_mktsegment, c_custkey) AS clade FROM customer GROUP BY 1)"
+query("an1_by_node", f"{_GIVEN} SELECT node, clade FROM gv")(lambda spark, sf_dir: annotate.by_node(bundle(spark, sf_dir), _given(spark, sf_dir)))
+query("an5_labels", f"{_GIVEN} SELECT node, coalesce(c0, '') || '/' || coalesce(c1, '') || '/' || coalesce(clade, '') AS labels FROM node LEFT JOIN gv USING (node)")(
+    lambda spark, sf_dir: annotate.with_column(bundle(spark, sf_dir), annotate.by_node(bundle(spark, sf_dir), _given(spark, sf_dir))).select("node", F.array_join("labels", "/").alias("labels"))
+)
+_KNOWN = ", sm AS MATERIALIZED (SELECT node.node AS sample, pos, ref, mut AS allele FROM st JOIN node USING (node) WHERE level = 2 AND mut <> ref), sn AS (" + _SAMPLES.split("sn AS (", 1)[1]
+on_bundle("an3_by_mutations", _KNOWN + """, adm AS (SELECT scored.*, n_leaves, dfs FROM scored JOIN node USING (node) WHERE (NOT is_leaf AND n_unique > 0 AND n_common > 0) OR (is_leaf AND n_common > 0) OR (NOT is_leaf AND n_unique = 0))
+SELECT sample AS clade, arg_max(node, n_leaves * 1000000000 + dfs) AS node FROM adm WHERE score = 0 GROUP BY sample""")(
+    lambda b: annotate.by_mutations(b, b.state.where("mut <> ref").join(b.node.where("level = 2").select("node"), "node").select(F.col("node").alias("sample"), "pos", "ref", F.col("mut").alias("allele")))
+)
+_INTRO = f"""{_TOTAL}, q AS (SELECT c.anc, count(*) FILTER (leaf.node LIKE '%1') AS il, count(*) FILTER (leaf.node NOT LIKE '%1') AS ol, min(total) FILTER (leaf.node LIKE '%1') AS it, min(total) FILTER (leaf.node NOT LIKE '%1') AS ot
+FROM clo c JOIN leaf ON leaf.node = c.node JOIN tot ON tot.node = c.node GROUP BY c.anc),
+cf AS MATERIALIZED (SELECT node, (CASE WHEN ol = 0 THEN 1 WHEN il = 0 THEN 0 WHEN (ot - total) * il + (it - total) * ol = 0 THEN il / (il + ol) ELSE (ot - total) * il / ((ot - total) * il + (it - total) * ol) END)::DOUBLE AS confidence FROM q JOIN tot ON tot.node = q.anc)"""
+_members = lambda b: b.leaf.where("node like '%1'").select("node")
+on_bundle("in1_confidences", f"{_INTRO} SELECT node, round(confidence, 9) AS confidence FROM cf")(lambda b: regions.confidences(b, _members(b)).select("node", F.round("confidence", 9).alias("confidence")))
+on_bundle("in1_introductions", f"""{_INTRO}, p AS (SELECT c.node, c.anc, c.dist, confidence FROM clo c JOIN cf ON cf.node = c.anc JOIN leaf ON leaf.node = c.node WHERE c.node LIKE '%1'), s AS (SELECT node, min(dist) FILTER (confidence < 0.5) AS stop FROM p GROUP BY node)
+SELECT p.node AS sample, arg_max(anc, dist) AS introduction FROM p JOIN s USING (node) WHERE stop IS NULL OR dist < stop GROUP BY p.node""")(lambda b: regions.introductions(b, _members(b)))
+on_bundle("se9_density")(lambda b: regions.dense_leaves(b, 3.0))
+on_bundle("an4_by_samples")(lambda b: annotate.by_samples(b, b.closure.join(b.leaf.select("node"), "node").join(b.node.where("level = 2").select(F.col("node").alias("anc")), "anc").select(F.col("anc").alias("clade"), "node"), keep=0.5))
