@@ -221,6 +221,19 @@ def test_toxicity(spark):
     assert not any(r["is_toxic"] for r in toxicity.score(table, none).collect())
 
 
+def test_toxicity_counts_all_labels_and_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TRAIN", 300)
+    rng = np.random.default_rng(8)
+    footer = " ".join(f"f{i}" for i in range(40))  # a passage of every text makes no copies of them
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 300, 40)) + (" slimeball" if i % 100 == 0 else "") + " " + footer) for i in range(3000)]
+    rows += [(5000 + i, f"{rows[1][1]} copied {i}") for i in range(40)]
+    marks = [(i, i % 2, int(i % 100 == 0 or i >= 5000)) for i, _ in rows]
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, low_quality int, toxic int")
+    words = set(toxicity.fit(table, labels)["chain"][1]["words"].tolist())
+    cache = toxicity.WordBucket()
+    assert cache[b"slimeball"] in words and cache[b"copied"] not in words
+
+
 def brute_links(rows):
     sets = {}
     for i, text in rows:
