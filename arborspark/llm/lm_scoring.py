@@ -1,20 +1,20 @@
-"""LM scoring by an interpolated modified Kneser-Ney model of word pairs.
+"""LM scoring by an interpolated modified Kneser-Ney model of any order from two (``ORDER`` as registered).
 
 Counting runs in Spark over all training texts. Tokens are runs of bytes other than space and tab to
-carriage return, A-Z lower-cased, then one end per text; a text's first token follows a start mark,
-which is context only. Words are 48-bit hashes. Every task counts its pairs first and sends them
-packed, dealt by context word; pairs of the few words that make up 1/1000 of all tokens (1000 at most)
-are dealt by the whole pair, so a frequent word fills no task. A task of the second round holds all
-counts of its pairs, and writes them as one segment of the model: sorted hash arrays in a file of the
-shared folder. Per word it sends on the context totals and the numbers of distinct left neighbours,
-which the third round joins with the word counts into the word segments.
+carriage return, A-Z lower-cased, then one end per text; a text's first token follows order - 1 start
+marks, which are context only. Words are 48-bit hashes. Every task counts its grams of the highest
+order first and sends them packed, dealt by context; grams of the few contexts that make up about
+1/1000 of all tokens (found on every eighth position) are dealt by the whole gram, so a frequent
+context fills no task. A task of the next round holds all counts of its grams, and writes them and
+the sums of its contexts as segments of the model: sorted hash arrays in files of the shared folder.
+It sends on the numbers of distinct left neighbours, which are the counts of the order below (grams
+that begin with a start mark have nothing to their left and keep their own counts), down to words.
 
 Workers memory-map the segments (a copy fetched once per worker where the folder is no local path) and
-look up each distinct word and pair of a block of texts by binary search:
-p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v.) + lambda(v) * p1(w), where p1 does the same on distinct left
-neighbours and falls back to 1 / (V + 1); discounts D come from counts of counts. Probabilities of all
-V words and one unknown word sum to 1. The order is two: the distinct triples of the test corpora
-exceed the disk budget of the check tool (see README).
+look up each distinct word, context and gram of a block of texts by binary search:
+p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h.) + lambda(h) * p'(w), where p' is the order below without the
+first word of h; words fall back to 1 / (V + 1); discounts D come from counts of counts of each order.
+Probabilities of all V words and one unknown word sum to 1.
 
 A null text is empty (its end alone is scored); rows with a null doc_id count as held out, repeated
 ids are rows of their own; an empty training set gives the uniform 1 / (V + 1) = 1. Extra columns
@@ -34,16 +34,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import U64, WordHash, cut_by_bucket, materialize, mix64, new_path, release, run_sum, shuffle_partitions, unpack_records, utf8_rows
+from arborspark.llm.common import U64, WordHash, cut_by_bucket, materialize, mix64, new_path, pack_records, release, run_sum, shuffle_partitions, unpack_records, utf8_rows
 
 BITS = 48
-HEAVY_SHARE = 1000
+ORDER = 3
+HEAVY_SHARE, HEAVY_STEP = 1000, 8
 COUNT_CHUNK, SCORE_CHUNK = 2_500_000, 600_000
 START = xxhash.xxh3_64_intdigest(b"\nstart") >> (64 - BITS)
 END = xxhash.xxh3_64_intdigest(b"\nend") >> (64 - BITS)
 WORD = np.dtype([("h", "<u8"), ("c", "<u4")])
-PAIR = np.dtype([("v", "V6"), ("w", "V6"), ("c", "<u4")])
 CONTEXT = np.dtype([("h", "<u8"), ("total", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+HEAVY = np.dtype([("h", "<u8"), ("order", "<u4"), ("c", "<u4")])
 ADD = 0.1
 
 
@@ -62,18 +63,41 @@ def word_bucket(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U64(BITS - 32)) * U64(parts) >> U64(32)).astype(np.int64)
 
 
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix64(mix64(v + U64(0x51)) + w)
+def gram_type(order: int) -> np.dtype:
+    return np.dtype([*((f"w{i}", "V6") for i in range(order)), ("c", "<u4")])
 
 
-def pair_bucket(v: np.ndarray, key: np.ndarray, heavy: np.ndarray, parts: int) -> np.ndarray:
-    out = word_bucket(v, parts)
-    if len(heavy):
-        hot = heavy[np.minimum(np.searchsorted(heavy, v), len(heavy) - 1)] == v
-        out[hot] = (mix64(key[hot]) % U64(parts)).astype(np.int64)
+def gram_keys(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(context, whole gram) as 64-bit keys; the last array holds the predicted words."""
+    context = mix64(words[0] + U64(0x51))
+    for w in words[1:-1]:
+        context = mix64(context + w)
+    return context, mix64(context + words[-1])
+
+
+def among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
+
+
+def gram_bucket(context: np.ndarray, key: np.ndarray, heavy: np.ndarray, parts: int) -> np.ndarray:
+    out = word_bucket(context >> U64(64 - BITS), parts)
+    hot = among(heavy, context)
+    out[hot] = (mix64(key[hot]) % U64(parts)).astype(np.int64)
     return out
 
 
+def packed_grams(words: list[np.ndarray], c: np.ndarray, context: np.ndarray, key: np.ndarray, heavy: np.ndarray, parts: int):
+    bucket = gram_bucket(context, key, heavy, parts)
+    order = np.lexsort((words[-2], bucket))
+    out = np.zeros(len(order), gram_type(len(words)))
+    for i, w in enumerate(words):
+        out[f"w{i}"] = _six(w[order])
+    out["c"] = c[order]
+    return cut_by_bucket(out, bucket[order], parts)
+
+
 def token_blocks(frames, size: int):
     """(texts, tokens, lengths): whole texts as token hashes, each with its end; texts of one frame."""
     cache = WordHash(BITS)
@@ -97,6 +121,14 @@ def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def grams(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """The gram that ends at each token, as one array per place."""
+    out = [tokens]
+    while len(out) < order:
+        out.insert(0, contexts(out[0], lengths))
+    return out
+
+
 def _gathered(frames, size: int):
     """Blocks of several frames joined until they hold ``size`` tokens."""
     held, total = [], 0
@@ -116,24 +148,46 @@ def _blobs(rows, kind: int):
 
 
 BLOBS = "kind int, bucket int, blob binary"
-KIND_WORDS, KIND_CONTEXT, KIND_LEFT, KIND_PAIRS, KIND_COUNTS = range(5)
+KIND_WORDS, KIND_CONTEXT, KIND_LEFT, KIND_GRAMS, KIND_COUNTS, KIND_HEAVY = range(6)
 
 
-def count_words(texts: DataFrame, parts: int) -> DataFrame:
+def count_words(texts: DataFrame, parts: int, order: int) -> DataFrame:
+    """Packed word counts, and counts of the contexts that are frequent in some chunk."""
+
     def local(frames):
-        for tokens, _ in _gathered(frames, COUNT_CHUNK):
+        for tokens, lengths in _gathered(frames, COUNT_CHUNK):
             h, c = np.unique(tokens, return_counts=True)
             out = np.zeros(len(h), WORD)
             out["h"], out["c"] = h, c
             yield _blobs(cut_by_bucket(out, word_bucket(h, parts), parts), KIND_WORDS)
+            words = [w[::HEAVY_STEP] for w in grams(tokens, lengths, order)]
+            for n in range(2, order + 1):
+                h, c = np.unique(gram_keys(words[-n:])[0], return_counts=True)
+                often = c * HEAVY_SHARE >= len(words[0])
+                out = np.zeros(int(often.sum()), HEAVY)
+                out["h"], out["order"], out["c"] = h[often], n, c[often]
+                yield _blobs(cut_by_bucket(out, word_bucket(out["h"] >> U64(64 - BITS), parts), parts), KIND_HEAVY)
 
     def merge(frames):
-        held, bucket = _held(frames, WORD)
-        if held is not None:
-            h, c = run_sum(held["h"], held["c"].astype(np.int64))
+        held: dict[int, list] = {KIND_WORDS: [], KIND_HEAVY: []}
+        bucket = 0
+        for frame in frames:
+            for k, b, blob in zip(frame.column("kind").to_pylist(), frame.column("bucket").to_pylist(), frame.column("blob")):
+                bucket = b
+                held[k].append(unpack_records(blob.as_py(), WORD if k == KIND_WORDS else HEAVY))
+        if held[KIND_WORDS]:
+            r = np.concatenate(held[KIND_WORDS])
+            h, c = run_sum(r["h"], r["c"].astype(np.int64))
             out = np.zeros(len(h), WORD)
             out["h"], out["c"] = h, c
-            yield _blobs(cut_by_bucket(out, np.full(len(h), bucket), bucket + 1), KIND_WORDS)
+            yield _blobs([(bucket, pack_records(out))], KIND_WORDS)
+        if held[KIND_HEAVY]:
+            r = np.concatenate(held[KIND_HEAVY])
+            for n in np.unique(r["order"]).tolist():
+                h, c = run_sum(r["h"][r["order"] == n], r["c"][r["order"] == n].astype(np.int64))
+                out = np.zeros(len(h), HEAVY)
+                out["h"], out["order"], out["c"] = h, n, c
+                yield _blobs([(bucket, pack_records(out))], KIND_HEAVY)
 
     return texts.mapInArrow(local, BLOBS).repartitionById(parts, "bucket").mapInArrow(merge, BLOBS)
 
@@ -148,8 +202,8 @@ def _held(frames, dtype):
     return (np.concatenate(held) if held else None), bucket
 
 
-def heavy_words(words: DataFrame) -> tuple[int, int, np.ndarray]:
-    """(tokens, distinct tokens, at most HEAVY_SHARE sorted hashes of words with 1/HEAVY_SHARE of all tokens)."""
+def heavy_contexts(words: DataFrame, order: int) -> tuple[int, int, dict[int, np.ndarray]]:
+    """(tokens, distinct tokens, by order the sorted keys of the frequent contexts, at most HEAVY_SHARE)."""
 
     def totals(frames):
         n = v = 0
@@ -159,18 +213,18 @@ def heavy_words(words: DataFrame) -> tuple[int, int, np.ndarray]:
                 n, v = n + int(r["c"].sum(dtype=np.int64)), v + len(r)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([v])], names=["n", "v"])
 
-    n, v = words.mapInArrow(totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    n, v = words.where(F.col("kind") == KIND_WORDS).mapInArrow(totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
 
     def frequent(frames):
         for frame in frames:
             for blob in frame.column("blob"):
-                r = unpack_records(blob.as_py(), WORD)
-                h = r["h"][r["c"].astype(np.int64) * HEAVY_SHARE >= max(n, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], names=["h"])
+                r = unpack_records(blob.as_py(), HEAVY)
+                r = r[r["c"].astype(np.int64) * HEAVY_STEP * HEAVY_SHARE >= max(n, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(r["order"].astype(np.int32)), pa.array(np.ascontiguousarray(r["h"]).view(np.int64))], names=["order", "h"])
 
-    top = words.mapInArrow(frequent, "h long").toPandas()["h"].to_numpy(dtype=np.int64)
-    return n, v, np.sort(top.astype(U64))
+    top = words.where(F.col("kind") == KIND_HEAVY).mapInArrow(frequent, "order int, h long").toPandas()
+    return n, v, {k: np.sort(top["h"][top["order"] == k].to_numpy(dtype=np.int64).view(U64)) for k in range(2, order + 1)}
 
 
 def _local_path(uri: str) -> str | None:
@@ -232,47 +286,86 @@ def _arrays(raw: np.ndarray, kinds: list[tuple[str, int]], at: int = 0) -> list[
     return out
 
 
-def count_pairs(texts: DataFrame, parts: int, heavy, path: str) -> DataFrame:
-    """Writes the pair segments; returns packed context totals, left-neighbour counts, counts of counts."""
+def _keyed(key: np.ndarray) -> list[np.ndarray]:
+    """Sorted 64-bit keys by their first 48 bits: where each value of the first 16 begins, and the next 32."""
+    top = np.append(np.searchsorted(key >> U64(48), np.arange(65536, dtype=U64)), len(key))
+    return [top.astype(np.uint32), ((key >> U64(16)) & U64(0xFFFFFFFF)).astype(np.uint32)]
+
+
+def first_grams(texts: DataFrame, parts: int, heavy, order: int) -> DataFrame:
+    """Packed counts of the grams of the highest order, one or more per task."""
 
     def local(frames):
         for tokens, lengths in _gathered(frames, COUNT_CHUNK):
-            v = contexts(tokens, lengths)
-            key, at, c = np.unique(pair_key(v, tokens), return_index=True, return_counts=True)
-            v, w = v[at], tokens[at]
-            bucket = pair_bucket(v, key, heavy.value, parts)
-            order = np.lexsort((v, bucket))
-            out = np.zeros(len(order), PAIR)
-            out["v"], out["w"], out["c"] = _six(v[order]), _six(w[order]), c[order]
-            yield _blobs(cut_by_bucket(out, bucket[order], parts), KIND_PAIRS)
+            words = grams(tokens, lengths, order)
+            context, key = gram_keys(words)
+            key, at, c = np.unique(key, return_index=True, return_counts=True)
+            yield _blobs(packed_grams([w[at] for w in words], c, context[at], key, heavy.value[order], parts), KIND_GRAMS)
+
+    return texts.mapInArrow(local, BLOBS)
+
+
+def merge_grams(packed: DataFrame, parts: int, heavy, order: int, path: str) -> DataFrame:
+    """Writes the segments of one order; returns the packed grams of the order below (words: left-neighbour
+    counts), the parts of frequent contexts, and counts of counts."""
 
     def merge(frames):
-        held, bucket = _held(frames, PAIR)
+        held, bucket = _held(frames, gram_type(order))
         if held is None:
             return
-        v, w = _eight(held["v"]), _eight(held["w"])
-        key = pair_key(v, w)
-        order = np.argsort(key)
-        key = key[order]
+        words = [_eight(held[f"w{i}"]) for i in range(order)]
+        context, key = gram_keys(words)
+        at = np.argsort(key)
+        key = key[at]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        c = np.add.reduceat(held["c"].astype(np.int64)[order], first)
-        key, at = key[first], order[first]
-        v, w = v[at], w[at]
-        top = np.append(np.searchsorted(key >> U64(48), np.arange(65536, dtype=U64)), len(key))
+        c = np.add.reduceat(held["c"].astype(np.int64)[at], first)
+        key, at = key[first], at[first]
+        words, context = [w[at] for w in words], context[at]
+        del held
         over = np.flatnonzero(c > 255)
-        write_file(f"{path}/pairs-{bucket}", [np.array([len(key), len(over)], np.int64), top.astype(np.uint32), ((key >> U64(16)) & U64(0xFFFFFFFF)).astype(np.uint32), np.minimum(c, 255).astype(np.uint8), over.astype(np.int64), c[over]])
-        h, total, n1, n2, n3 = run_sum(v, c, c == 1, c == 2, c >= 3)
-        ctx = np.zeros(len(h), CONTEXT)
-        for name, x in zip(CONTEXT.names, (h, total, n1, n2, n3)):
-            ctx[name] = x
-        yield _blobs(cut_by_bucket(ctx, word_bucket(h, parts), parts), KIND_CONTEXT)
-        h, n = np.unique(w, return_counts=True)
-        left = np.zeros(len(h), WORD)
-        left["h"], left["c"] = h, n
-        yield _blobs(cut_by_bucket(left, word_bucket(h, parts), parts), KIND_LEFT)
+        write_file(f"{path}/grams-{order}-{bucket}", [np.array([len(key), len(over)], np.int64), *_keyed(key), np.minimum(c, 255).astype(np.uint8), over.astype(np.int64), c[over]])
+        h, *sums = run_sum(context, c, *(x.astype(np.int64) for x in (c == 1, c == 2, c >= 3)))
+        hot = among(heavy.value[order], h)
+        cold = [x[~hot] for x in sums]
+        over = np.flatnonzero(cold[0] > 255)
+        write_file(f"{path}/contexts-{order}-{bucket}", [np.array([len(cold[0]), len(over)], np.int64), *_keyed(h[~hot]), *(np.minimum(x, 255).astype(np.uint8) for x in cold), over.astype(np.int64), *(x[over] for x in cold)])
+        if hot.any():
+            ctx = np.zeros(int(hot.sum()), CONTEXT)
+            for name, x in zip(CONTEXT.names, (h, *sums)):
+                ctx[name] = x[hot]
+            yield _blobs([(bucket, pack_records(ctx))], KIND_CONTEXT)
         yield _blobs([(0, np.bincount(np.minimum(c, 5), minlength=6).astype(np.int64).tobytes())], KIND_COUNTS)
+        if order == 2:
+            h, n = np.unique(words[1], return_counts=True)
+            left = np.zeros(len(h), WORD)
+            left["h"], left["c"] = h, n
+            yield _blobs(cut_by_bucket(left, word_bucket(h, parts), parts), KIND_LEFT)
+        else:
+            words = words[1:]
+            n = np.where(words[0] == U64(START), c, 1)
+            context, key = gram_keys(words)
+            at = np.argsort(key)
+            first = np.flatnonzero(np.append(True, key[at][1:] != key[at][:-1]))
+            n, at = np.add.reduceat(n[at], first), at[first]
+            yield _blobs(packed_grams([w[at] for w in words], n, context[at], key[at], heavy.value[order - 1], parts), KIND_LEFT)
+
+    return packed.repartitionById(parts, "bucket").mapInArrow(merge, BLOBS)
+
+
+def frequent_sums(table: DataFrame) -> tuple[np.ndarray, ...]:
+    """Keys (sorted) and sums of the frequent contexts, whose grams lie in several tasks."""
+
+    def rows(frames):
+        for frame in frames:
+            for blob in frame.column("blob"):
+                r = unpack_records(blob.as_py(), CONTEXT)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[x]).astype(np.uint64).view(np.int64)) for x in CONTEXT.names], names=list(CONTEXT.names))
 
-    return texts.mapInArrow(local, BLOBS).repartitionById(parts, "bucket").mapInArrow(merge, BLOBS)
+    names = CONTEXT.names[1:]
+    got = table.where(F.col("kind") == KIND_CONTEXT).mapInArrow(rows, ", ".join(f"{x} long" for x in CONTEXT.names)).groupBy("h").agg(*(F.sum(x).alias(x) for x in names)).toPandas()
+    h = got["h"].to_numpy(dtype=np.int64).view(U64)
+    at = np.argsort(h)
+    return (h[at], *(got[x].to_numpy(dtype=np.int64)[at] for x in names))
 
 
 def _counts(table: DataFrame) -> np.ndarray:
@@ -294,85 +387,94 @@ def discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3)], 0)
 
 
-def write_words(blobs: DataFrame, parts: int, d: tuple, path: str) -> DataFrame:
+def write_words(blobs: DataFrame, parts: int, path: str) -> DataFrame:
     """Writes the word segments; returns counts of left-neighbour counts."""
 
     def merge(frames):
-        held: dict[int, list] = {KIND_WORDS: [], KIND_CONTEXT: [], KIND_LEFT: []}
+        held: dict[int, list] = {KIND_WORDS: [], KIND_LEFT: []}
         bucket = 0
         for frame in frames:
             for k, b, blob in zip(frame.column("kind").to_pylist(), frame.column("bucket").to_pylist(), frame.column("blob")):
                 bucket = b
-                held[k].append(unpack_records(blob.as_py(), CONTEXT if k == KIND_CONTEXT else WORD))
+                held[k].append(unpack_records(blob.as_py(), WORD))
         if not any(held.values()):
             return
-        words, ctx, left = (np.concatenate(held[k]) if held[k] else np.zeros(0, CONTEXT if k == KIND_CONTEXT else WORD) for k in (KIND_WORDS, KIND_CONTEXT, KIND_LEFT))
-        h = np.unique(np.concatenate([words["h"], ctx["h"]]))
-        out = {k: np.zeros(len(h), np.int64) for k in ("c", "left", "total")}
-        back = np.zeros(len(h))
+        words, left = (np.concatenate(held[k]) if held[k] else np.zeros(0, WORD) for k in (KIND_WORDS, KIND_LEFT))
+        h = np.unique(words["h"])
+        out = {k: np.zeros(len(h), np.int64) for k in ("c", "left")}
         np.add.at(out["c"], np.searchsorted(h, words["h"]), words["c"])
         np.add.at(out["left"], np.searchsorted(h, left["h"]), left["c"])
-        at = np.searchsorted(h, ctx["h"])
-        np.add.at(out["total"], at, ctx["total"])
-        np.add.at(back, at, sum(x * ctx[n].astype(float) for x, n in zip(d, ("n1", "n2", "n3"))))
-        back = (back / np.maximum(out["total"], 1)).astype(np.float32)
-        write_file(f"{path}/words-{bucket}", [np.array([len(h)], np.int64), h, *(out[k].astype(np.uint32) for k in ("c", "left", "total")), back])
+        write_file(f"{path}/words-{bucket}", [np.array([len(h)], np.int64), h, *(out[k].astype(np.uint32) for k in ("c", "left"))])
         yield _blobs([(0, np.append(np.bincount(np.minimum(out["left"], 5), minlength=6), out["left"].sum()).astype(np.int64).tobytes())], KIND_COUNTS)
 
     return blobs.repartitionById(parts, "bucket").mapInArrow(merge, BLOBS)
 
 
-def train(spark: SparkSession, texts: DataFrame) -> dict:
+def train(spark: SparkSession, texts: DataFrame, order: int = ORDER) -> dict:
     """``texts(text)`` -> the description of a model whose segments lie in the shared folder."""
+    if order < 2:
+        raise ValueError("order must be at least 2")
     parts, path = shuffle_partitions(spark), new_path(spark, "lm")
-    words = materialize(spark, count_words(texts, parts), "lm-words")
-    tokens, distinct, hot = heavy_words(words)
+    words = materialize(spark, count_words(texts, parts, order), "lm-words")
+    tokens, distinct, hot = heavy_contexts(words, order)
     heavy = spark.sparkContext.broadcast(hot)
-    stats = materialize(spark, count_pairs(texts, parts, heavy, path), "lm-stats")
-    d2 = discounts(_counts(stats))
-    rest = materialize(spark, write_words(words.union(stats.where(F.col("kind") != KIND_COUNTS)), parts, d2, path), "lm-done")
+    packed, held = first_grams(texts, parts, heavy, order), None
+    d, sums = {}, {}
+    for n in range(order, 1, -1):
+        stats = materialize(spark, merge_grams(packed, parts, heavy, n, path), f"lm-stats-{n}")
+        packed = stats.where(F.col("kind") == KIND_LEFT)
+        d[n], sums[n] = discounts(_counts(stats)), frequent_sums(stats)
+        release(spark, *([held] if held is not None else []))
+        held = stats
+    rest = materialize(spark, write_words(words.where(F.col("kind") == KIND_WORDS).union(packed), parts, path), "lm-done")
     rows = [np.frombuffer(r[0], np.int64) for r in rest.select("blob").collect()]
     total = sum(rows, np.zeros(7, np.int64))
-    d1 = discounts(total[:6])
     n = total[:6]
+    d[1] = discounts(n)
     types = int(total[6])
-    low = (d1[0] * n[1] + d1[1] * n[2] + d1[2] * (n[3] + n[4] + n[5])) / types if types else 1.0
-    release(spark, words, stats, rest)
-    return {"path": path, "parts": parts, "tokens": tokens, "distinct": distinct, "heavy": hot, "d2": d2, "d1": d1, "types": types, "low": low}
+    low = (d[1][0] * n[1] + d[1][1] * n[2] + d[1][2] * (n[3] + n[4] + n[5])) / types if types else 1.0
+    release(spark, words, held, rest)
+    return {"path": path, "parts": parts, "order": order, "tokens": tokens, "distinct": distinct, "heavy": hot, "sums": sums, "d": d, "types": types, "low": low}
 
 
-def _word_lookup(model: dict, h: np.ndarray) -> list[np.ndarray]:
-    """c, left, total, back of sorted distinct word hashes (zeros where unknown)."""
-    out = [np.zeros(len(h), np.int64) for _ in range(3)] + [np.zeros(len(h))]
-    bucket = word_bucket(h, model["parts"])
-    cuts = np.searchsorted(bucket, np.arange(model["parts"] + 1))
+def _by_bucket(bucket: np.ndarray, parts: int):
+    """(bucket, its rows) in order."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, order[cuts[b] : cuts[b + 1]]
+
+
+def _word_lookup(model: dict, h: np.ndarray) -> list[np.ndarray]:
+    """c, left of sorted distinct word hashes (zeros where unknown)."""
+    out = [np.zeros(len(h), np.int64) for _ in range(2)]
+    for b, rows in _by_bucket(word_bucket(h, model["parts"]), model["parts"]):
         raw = mapped(f"{model['path']}/words-{b}")
         if raw is None:
             continue
         n = int(raw[:8].view(np.int64)[0])
-        keys, *cols = _arrays(raw, [("<u8", n), ("<u4", n), ("<u4", n), ("<u4", n), ("<f4", n)], 8)
-        part = h[cuts[b] : cuts[b + 1]]
-        at = np.minimum(np.searchsorted(keys, part), n - 1)
-        hit = keys[at] == part
+        keys, *cols = _arrays(raw, [("<u8", n), ("<u4", n), ("<u4", n)], 8)
+        if not n:
+            continue
+        at = np.minimum(np.searchsorted(keys, h[rows]), n - 1)
+        hit = keys[at] == h[rows]
         for o, c in zip(out, cols):
-            o[cuts[b] : cuts[b + 1]] = np.where(hit, c[at], 0)
+            o[rows] = np.where(hit, c[at], 0)
     return out
 
 
-def _pair_lookup(model: dict, v: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Counts of distinct pairs; keys rise, so each segment is read in order."""
-    out = np.zeros(len(key), np.int64)
-    bucket = pair_bucket(v, key, model["heavy"], model["parts"])
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(model["parts"] + 1))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        raw = mapped(f"{model['path']}/pairs-{b}")
+def _segment_lookup(model: dict, kind: str, width: int, bucket: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
+    """``width`` columns of distinct keys (zeros where unknown); keys rise, so each segment is read in order."""
+    out = [np.zeros(len(key), np.int64) for _ in range(width)]
+    for b, rows in _by_bucket(bucket, model["parts"]):
+        raw = mapped(f"{model['path']}/{kind}-{b}")
         if raw is None:
             continue
         n, over = raw[:16].view(np.int64).tolist()
-        top, low, count, at_over, c_over = _arrays(raw, [("<u4", 65537), ("<u4", n), ("u1", n), ("<i8", over), ("<i8", over)], 16)
-        rows = order[cuts[b] : cuts[b + 1]]
+        if not n:
+            continue
+        top, low, *rest = _arrays(raw, [("<u4", 65537), ("<u4", n), *[("u1", n)] * width, *[("<i8", over)] * (width + 1)], 16)
+        small, at_over, large = rest[:width], rest[width], rest[width + 1 :]
         k = key[rows]
         head, tail = (k >> U64(48)).astype(np.int64), ((k >> U64(16)) & U64(0xFFFFFFFF)).astype(np.uint32)
         lo, hi = top[head].astype(np.int64), top[head + 1].astype(np.int64)
@@ -387,28 +489,36 @@ def _pair_lookup(model: dict, v: np.ndarray, key: np.ndarray) -> np.ndarray:
             hi = np.where(open_ & ~less, mid, hi)
         at = np.minimum(lo, n - 1)
         hit = (lo < end) & (low[at] == tail)
-        c = np.where(hit, count[at], 0).astype(np.int64)
-        if over:
-            big = np.flatnonzero(c == 255)
-            j = np.minimum(np.searchsorted(at_over, at[big]), over - 1)
-            c[big] = np.where(at_over[j] == at[big], c_over[j], c[big])
-        out[rows] = c
+        big = np.flatnonzero(hit & (small[0][at] == 255)) if over else np.zeros(0, int)
+        j = np.minimum(np.searchsorted(at_over, at[big]), over - 1)
+        big, j = big[at_over[j] == at[big]] if len(big) else big, j[at_over[j] == at[big]] if len(big) else j
+        for o, s, x in zip(out, small, large):
+            c = np.where(hit, s[at], 0).astype(np.int64)
+            c[big] = x[j]
+            o[rows] = c
     return out
 
 
-def probabilities(model: dict, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(p(w | v), training count of w, base log10) for each position."""
-    uniq, back_at = np.unique(np.concatenate([v, w]), return_inverse=True)
-    at_v, at_w = back_at[: len(v)], back_at[len(v) :]
-    c, left, total, back = _word_lookup(model, uniq)
-    unseen = 1.0 / (model["distinct"] + 1)
-    p1 = discounted(left, model["d1"]) / max(model["types"], 1) + model["low"] * unseen
+def probabilities(model: dict, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p(w | context), training count of w, base log10) for each position; ``words`` as of ``grams``."""
+    uniq, at_w = np.unique(words[-1], return_inverse=True)
+    c, left = _word_lookup(model, uniq)
+    p = ((discounted(left, model["d"][1])) / max(model["types"], 1) + model["low"] / (model["distinct"] + 1))[at_w]
     base = np.log10((c + ADD) / (model["tokens"] + ADD * (model["distinct"] + 1)))
-    key, first, at = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
-    pairs = _pair_lookup(model, v[first], key)
-    d = discounted(pairs, model["d2"])[at]
-    seen = total[at_v] > 0
-    p = np.where(seen, d / np.maximum(total[at_v], 1) + back[at_v] * p1[at_w], p1[at_w])
+    for n in range(2, model["order"] + 1):
+        heavy, d = model["heavy"][n], model["d"][n]
+        context, key = gram_keys(words[-n:])
+        u, at = np.unique(context, return_inverse=True)
+        sums = _segment_lookup(model, f"contexts-{n}", 4, word_bucket(u >> U64(64 - BITS), model["parts"]), u)
+        hot, *known = model["sums"][n]
+        hit = among(hot, u)
+        for s, x in zip(sums, known):
+            s[hit] = x[np.searchsorted(hot, u[hit])]
+        total = sums[0][at]
+        back = (sum(x * s for x, s in zip(d, sums[1:])) / np.maximum(sums[0], 1))[at]
+        k, first, at = np.unique(key, return_index=True, return_inverse=True)
+        (count,) = _segment_lookup(model, f"grams-{n}", 1, gram_bucket(context[first], k, heavy, model["parts"]), k)
+        p = np.where(total > 0, discounted(count, d)[at] / np.maximum(total, 1) + back * p, p)
     return p, c[at_w], base[at_w]
 
 
@@ -422,7 +532,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(frames):
         m = held.value
         for frame, first, tokens, lengths in token_blocks(frames, SCORE_CHUNK):
-            p, c, base = (np.concatenate(x) for x in zip(*(probabilities(m, contexts_part, part) for contexts_part, part in _pieces(contexts(tokens, lengths), tokens))))
+            p, c, base = (np.concatenate(x) for x in zip(*(probabilities(m, part) for part in _pieces(grams(tokens, lengths, m["order"])))))
             starts = np.cumsum(lengths) - lengths
             yield pa.RecordBatch.from_arrays(
                 [frame.column("doc_id").slice(first, len(lengths)), pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(p), starts))],
@@ -432,17 +542,21 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
 
 
-def _pieces(v: np.ndarray, w: np.ndarray, size: int = 1_000_000):
-    for i in range(0, len(w), size):
-        yield v[i : i + size], w[i : i + size]
+def _pieces(words: list[np.ndarray], size: int = 1_000_000):
+    for i in range(0, len(words[-1]), size):
+        yield [w[i : i + size] for w in words]
 
 
 def held_out_rule(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_query(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(spark, docs.where(~held_out_rule(F.col("doc_id"))).select("text"))
+    model = train(spark, docs.where(~held_out_rule(F.col("doc_id"))).select("text"), order)
     out = score(docs, model)
     return out.select("doc_id", held_out_rule(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op1_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_query(spark, sf_dir, ORDER)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from arborspark.llm import best_fit_packing, chat_formatting, embedding_dedup, exact_topk, html_extraction, language_id, lm_scoring, ngram_join, source_mixing, toxicity
 
 QUERIES = {
-    "op1_lm_scoring": lm_scoring.op1_query,
+    "op1_lm_scoring": lm_scoring.op1_registered,
     "op2_best_fit_packing": best_fit_packing.op2_query,
     "op3_exact_topk": exact_topk.op3_query,
     "op4_language_id": language_id.op4_query,

@@ -92,6 +92,37 @@ def test_lm_odd_rows(spark):
     assert {r["score"] for r in lm_scoring.score(odd(spark, 2), empty).collect()} == {0.0}
 
 
+def test_lm_of_order_three_matches_brute_force(spark, docs):
+    from arborspark.llm.registry import QUERIES
+
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [None] for r in docs.collect()}
+    grams = lambda w: zip([0, 0] + w[:-1], [0] + w[:-1], w)
+    count = {3: Counter(), 2: Counter(), 1: Counter()}
+    for i, w in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            count[3].update(grams(w))
+    for (_, v, w), k in count[3].items():
+        count[2][v, w] += k if v == 0 else 1
+    for _, w in count[2]:
+        count[1][w,] += 1
+    total, kinds, d = Counter(), defaultdict(lambda: [0, 0, 0]), {}
+    for n, table in count.items():
+        d[n] = lm_scoring.discounts(np.bincount(np.minimum(list(table.values()), 5), minlength=6))
+        for g, k in table.items():
+            total[n, g[:-1]] += k
+            kinds[n, g[:-1]][min(k, 3) - 1] += 1
+
+    def p(g):
+        n, low = len(g), p(g[1:]) if len(g) > 1 else 1 / (len(count[1]) + 1)
+        if not total[n, g[:-1]]:
+            return low
+        k, s = count[n][g], total[n, g[:-1]]
+        return max(k - (0, *d[n])[min(k, 3)], 0) / s + sum(a * z for a, z in zip(d[n], kinds[n, g[:-1]])) / s * low
+
+    for r in QUERIES["op1_lm_scoring"](spark, SF).collect():
+        assert r["score"] == pytest.approx(sum(math.log10(p(g)) for g in grams(texts[r["doc_id"]])), rel=1e-5)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
