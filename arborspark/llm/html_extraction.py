@@ -1,7 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags; scripts, styles, comments, forms and other unseen
-elements are dropped, and a block remembers its containers. First pass: blocks inside navigation,
+elements are dropped, and a block remembers its containers. Body and html are never boilerplate by name, and
+neither a container that is one by its names only (or a form) if it holds most of the stop-word-dense text of
+the page's articles, or, where no article has such text, most of the page's while hardly any lies outside
+marked containers. Articles decide alone only if they hold most of the dense text that is left. First pass: blocks inside navigation,
 header, footer, sidebar, notice, advert or reader-comment containers are boilerplate, as are blocks
 whose characters stand mostly inside links; of the rest, blocks with enough stop words for their
 length are content, and long ones without links count as content inside an article container. Short
@@ -33,7 +36,7 @@ STOP_WORDS = frozenset(
 )
 SHORT, LONG, STOP_LOW, LINKS_HIGH = 70, 200, 0.12, 0.35
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 BLOCK_TAGS = frozenset("p div li ul ol dl dt dd h1 h2 h3 h4 h5 h6 table tr td th thead tbody blockquote pre section article main nav header footer aside form fieldset figure figcaption hr body html address details summary center caption option button label head".split())
@@ -47,17 +50,41 @@ GOOD_TAGS = frozenset(("article", "main"))
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "good", "label")
+    __slots__ = ("text", "linked", "bad", "good", "label", "marks", "proper", "dense")
 
-    def __init__(self, text: str, linked: int, bad: bool, good: bool):
+    def __init__(self, text: str, linked: int, bad: bool, good: bool, marks: tuple[int, ...], proper: bool):
         self.text, self.linked, self.bad, self.good, self.label = text, linked, bad, good, None
+        self.marks, self.proper = marks, proper  # open containers marked by name only; inside an article without a bad name
+        self.dense = len(text) if len(text) >= SHORT and linked <= LINKS_HIGH * len(text) and stop_density(text) >= STOP_LOW else 0
+
+
+def settle(found: list[Block], n_marks: int) -> None:
+    """Sets bad for blocks in containers marked by name, where the mark holds."""
+    void: set[int] = set()
+    rows = [b for b in found if b.dense and not b.bad]
+    proper = sum(b.dense for b in rows if b.proper)
+    whole = sum(b.dense for b in rows)
+    inside, inside_proper = [0] * n_marks, [0] * n_marks
+    for b in rows:
+        for k in b.marks:
+            inside[k] += b.dense
+            inside_proper[k] += b.dense * b.proper
+    for k in range(n_marks):  # outer containers come first
+        if proper:
+            if 2 * inside_proper[k] > proper:
+                void.add(k)
+        elif 2 * inside[k] > whole and 10 * sum(b.dense for b in rows if void.issuperset(b.marks)) < whole:
+            void.add(k)
+    for b in found:
+        b.bad = b.bad or not void.issuperset(b.marks)
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of visible text in page order, with characters inside links and container marks."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate container, article container
-    bad = good = links = 0
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, boilerplate by tag, article container, marked by name, article without a bad name
+    marks: list[int] = []
+    bad = good = links = proper = n_marks = 0
     parts: list[str] = []
     linked = 0
 
@@ -65,7 +92,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, bad > 0, good > 0))
+            out.append(Block(text, linked, bad > 0, good > 0, tuple(marks), proper > 0))
         parts, linked = [], 0
 
     def text(raw: str) -> None:
@@ -77,10 +104,12 @@ def blocks(page: str) -> list[Block]:
                 linked += len(" ".join(shown.split()))
 
     def close(k: int) -> None:
-        nonlocal bad, good, links
+        nonlocal bad, good, links, proper
         while len(stack) > k:
-            tag, b, g = stack.pop()
-            bad, good, links = bad - b, good - g, links - (tag == "a")
+            tag, b, g, named, p = stack.pop()
+            bad, good, links, proper = bad - b, good - g, links - (tag == "a"), proper - p
+            if named:
+                marks.pop()
 
     at, breaks = 0, 0
     for m in _TOKEN.finditer(page):
@@ -104,7 +133,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         if m[2]:  # an end tag closes its element; a stray one closes nothing
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and not (tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _, _ in stack[k + 1 :])):
+            if k is not None and not (tag not in BLOCK_TAGS and any(t[0] in BLOCK_TAGS for t in stack[k + 1 :])):
                 close(k)
         elif tag not in VOID_TAGS and not m[4].endswith("/"):
             if tag in ("p", "li", "td", "tr", "dt", "dd", "option"):  # opened again without an end tag
@@ -112,15 +141,23 @@ def blocks(page: str) -> list[Block]:
                 if k is not None and stack[k][0] == tag:
                     close(k)
             g = tag in GOOD_TAGS
-            b = tag in BAD_TAGS or (tag == "header" and not good)
-            if not b and "=" in m[4]:
+            b = (tag in BAD_TAGS and tag != "form") or (tag == "header" and not good)
+            named = tag == "form"
+            p = g
+            if not b and "=" in m[4] and tag not in ("body", "html"):
                 names = {w for n in _NAMES.findall(m[4]) for w in _PARTS.split("".join(n).lower())}
-                b = not names.isdisjoint(BAD_NAMES) and not g
-                g = g or (not b and not names.isdisjoint(("articlebody", "main")) and tag in BLOCK_TAGS and tag != "body")
-            stack.append((tag, b, g))
-            bad, good, links = bad + b, good + g, links + (tag == "a")
+                known = not names.isdisjoint(BAD_NAMES)
+                named, p = named or (known and not g), p and not known
+                g = g or (not named and not names.isdisjoint(("articlebody", "main")) and tag in BLOCK_TAGS)
+                p = p or (g and not known)
+            stack.append((tag, b, g, named, p))
+            bad, good, links, proper = bad + b, good + g, links + (tag == "a"), proper + p
+            if named:
+                marks.append(n_marks)
+                n_marks += 1
     text(page[at:].partition("<")[0] if at < len(page) and "<" in page[at:] and ">" not in page[at:] else page[at:])
     flush()
+    settle(out, n_marks)
     return out
 
 
@@ -131,14 +168,15 @@ def stop_density(text: str) -> float:
 
 def classify(found: list[Block]) -> None:
     """Sets label: True for content, False for boilerplate."""
-    article = any(b.good and not b.bad for b in found)
+    left = [b for b in found if not b.bad]
+    article = any(b.good for b in left) and 2 * sum(b.dense for b in left if b.good) >= sum(b.dense for b in left)
     for b in found:
         n = len(b.text)
         if b.bad or b.linked > LINKS_HIGH * n:
             b.label = False
         elif article and not b.good:
             b.label = False
-        elif n >= SHORT and stop_density(b.text) >= STOP_LOW:
+        elif b.dense:
             b.label = True
         elif b.good and n >= LONG:
             b.label = True

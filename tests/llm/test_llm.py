@@ -227,6 +227,18 @@ def test_html():
     assert html_extraction.main_text(None) == "" and html_extraction.main_text("<p") == ""
 
 
+def test_html_wrappers_and_cards():
+    body = "The first of the blocks and so on, which is long enough to be decided on its own by the words in it."
+    other = "I think that this is the best page of all, and it is long enough to be counted as text of a reader."
+    text = html_extraction.main_text
+    for page in ("<body class='no-sidebar'><p>{}</p>", "<body class='skin-search'><article><p>{}</p></article>", "<div class='content-with-sidebar'><article><p>{}</p></article></div>", "<div class='content-with-sidebar'><p>{}</p></div>", "<form><p>{}</p></form>", "<svg width='1' /><p>{}</p><svg><text>x</text></svg>"):
+        assert text(page.format(body)) == body, page
+    cards = "".join(f"<article><p>Card {i}</p></article>" for i in range(3))
+    assert body in text(f"<div><p>{body}</p><p>{body}</p></div>{cards}")
+    assert text(f"<div class='layout-sidebar'><article><p>{body}</p></article><div class=comments><article class=comment><p>{other}</p></article><p>{other}</p></div></div>") == body
+    assert text(f"<div class='layout-sidebar'><p>{body}</p><div class=comments><p>{other}</p></div></div>") == body
+
+
 def test_html_keeps_the_article(spark, docs):
     line = lambda t: "\n".join(" ".join(x.split()) for x in t.split("\n") if x.split())
     known = {line(r["text"]) for r in docs.collect()}
