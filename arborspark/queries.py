@@ -338,3 +338,18 @@ on_bundle("in1_introductions", f"""{_INTRO}, p AS (SELECT c.node, c.anc, c.dist,
 SELECT p.node AS sample, arg_max(anc, dist) AS introduction FROM p JOIN s USING (node) WHERE stop IS NULL OR dist < stop GROUP BY p.node""")(lambda b: regions.introductions(b, _members(b)))
 on_bundle("se9_density")(lambda b: regions.dense_leaves(b, 3.0))
 on_bundle("an4_by_samples")(lambda b: annotate.by_samples(b, b.closure.join(b.leaf.select("node"), "node").join(b.node.where("level = 2").select(F.col("node").alias("anc")), "anc").select(F.col("anc").alias("clade"), "node"), keep=0.5))
+
+
+# whole tables: the same operators over all customers, inner nodes and leaves; too wide for SQL, so without it (tests/test_whole_tables.py)
+def _customer_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One synthetic sample per customer, made like those of the nations."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).selectExpr("concat('s', c_custkey) sample", "cast((c_custkey * 7 + i * 13) % 97 as int) pos", "cast(i % 3 as int) i")
+    return rows.selectExpr("sample", "pos", "shiftleft(1, pos % 4) ref", "shiftleft(1, (pos + 1 + i) % 4) allele")
+
+
+_inner = lambda b: b.node.where("not is_leaf and parent is not null").select("node")
+query("pl1_scores_all")(lambda spark, sf_dir: place.scores(bundle(spark, sf_dir), _customer_samples(spark, sf_dir)))
+query("pl3_best_all")(lambda spark, sf_dir: place.best(bundle(spark, sf_dir), _customer_samples(spark, sf_dir)))
+on_bundle("an3_by_mutations_all")(lambda b: annotate.by_mutations(b, b.state.where("mut <> ref").join(_inner(b), "node").select(F.col("node").alias("sample"), "pos", "ref", F.col("mut").alias("allele"))))
+on_bundle("an4_by_samples_all")(lambda b: annotate.by_samples(b, b.closure.join(b.leaf.select("node"), "node").join(_inner(b).withColumnRenamed("node", "anc"), "anc").select(F.col("anc").alias("clade"), "node"), keep=0.5))
+on_bundle("tr7_lca_all")(lambda b: tree.lca(b.closure, b.leaf.select(F.substring("node", 1, 3).alias("grp"), "node")))
