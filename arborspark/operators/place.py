@@ -59,7 +59,7 @@ def minima(b: Bundle, samples: DataFrame) -> DataFrame:
 
 
 def best(b: Bundle, samples: DataFrame) -> DataFrame:
-    """PL-3, PL-14: (sample, node, score, epp): the chosen minimum (more leaves, then larger dfs) and their number."""
+    """PL-3: (sample, node, score, epp): the chosen minimum (more leaves, then larger dfs) and their number."""
     w = W.partitionBy("sample")
     ranked = minima(b, samples).withColumn("i", F.row_number().over(w.orderBy(F.col("n_leaves").desc(), F.col("dfs").desc()))).withColumn("epp", F.count(F.lit(1)).over(w))
     return ranked.where("i = 1").select("sample", "node", "score", "epp")
