@@ -1,15 +1,13 @@
 """Shared helpers of the training-data operators: shared scratch tables, hashing, binary exchange.
 
 Scratch data goes below ``spark.checkpoint.dir`` (shared by all executors), so lineage cut there
-survives the loss of executors. A folder of its own is made only where that setting is absent.
+survives the loss of executors; its rules are those of ``plans.scratch``.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,48 +17,35 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, without a trailing slash."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="arborspark-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+from arborspark.plans import scratch
+from arborspark.plans.scratch import new_path  # noqa: F401
 
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+U64 = np.uint64
 
 
 def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read from there (lineage is cut)."""
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
+    return scratch.materialize(df, tag)
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete scratch tables that no returned plan reads any more, and the shuffle files of finished steps.
+    """Delete scratch tables that no returned plan reads any more."""
+    scratch.release(*tables)
 
-    Spark drops shuffle files when the driver's garbage collector finds their plans unused; the plans
-    here are small, so the collector seldom runs by itself between the steps of a job.
+
+def set_aside(table: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``table`` with all columns but ``used`` under private names, and how to name them again.
+
+    Operators add columns of their own to the rows they are given; a given column of such a name then
+    meets none of them. ``used`` columns that the table lacks are left out.
     """
-    for t in tables:
-        path = getattr(t, "_scratch_path", None)
-        if path:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    names = {c: f"__given_{i}" for i, c in enumerate(table.columns) if c not in used}
+    return table.toDF(*(names.get(c, c) for c in table.columns)), names
+
+
+def given(table: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    """``columns`` of a table that ``set_aside`` gave ``names``, under their own names."""
+    return table.select(*(names.get(c, c) for c in columns)).toDF(*columns)
 
 
 def lean(fn: Callable) -> Callable:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import U64, Forest, WordHash, connected_components, lean, materialize, mix64, release, shuffle_partitions, utf8_rows
+from arborspark.llm.common import U64, Forest, WordHash, connected_components, given, lean, materialize, mix64, release, set_aside, shuffle_partitions, utf8_rows
 
 WIDTH, PERCENT = 5, 80
 HEAVY_MAX, HEAVY_MIN, HEAVY_LOCAL, HEAVY_CHUNK = 200_000, 16, 2, 1_000_000
@@ -373,6 +373,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     release(spark, held)
     sets = materialize(spark, wanted_sets(spark, texts, _ends(more).union(cluster.selectExpr("rep as id"))), "njoin-sets")
     links = links.union(verified(spark, sets, more)).union(residual_cells(spark, sets, cluster))
+    # an id that holds several sets is one node: its sets link
+    held_by = usable.join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("all"))
+    links = links.union(held_by.where("a < z").select("a", F.explode("all").alias("b")).where("a <> b"))
     parts_of = materialize(spark, connected_components(spark, links), "njoin-parts")
     by_set = reps.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("part"))
     by_set = materialize(spark, by_set, "njoin-by-set")
@@ -531,17 +534,21 @@ def _picked(docs: DataFrame, bloom, inside: bool) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` less all but one document of each group: the one with the smallest id, once.
 
-    Rows with a null id, and documents without words, stay. Of rows that repeat a kept id, one stays.
+    Rows with a null id, and documents without words, stay. Rows that repeat an id are one document; of
+    those that repeat a kept id, the one with the smallest text (then the smallest other columns) stays.
     """
-    parts = materialize(spark, near_duplicates(spark, docs), "njoin-result")
-    drop = parts.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    table, names = set_aside(docs, "doc_id", "text")
+    parts = materialize(spark, near_duplicates(spark, table), "njoin-result")
+    drop = materialize(spark, parts.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "njoin-drop")
     # rows outside the filter are kept where they are; only the others meet the exact join
     bloom = spark.sparkContext.broadcast(bloom_filter(drop))
-    maybe = _picked(docs, bloom, True).join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
-    rest = _picked(docs, bloom, False).unionByName(maybe)
+    maybe = _picked(table, bloom, True).join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
+    rest = _picked(table, bloom, False).unionByName(maybe)
     again = materialize(spark, parts.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "njoin-again")
+    release(spark, parts)
     if not again.take(1):
-        return rest
+        return given(rest, names, docs.columns)
     once = rest.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
-    twice = rest.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(twice)
+    twice = rest.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
+    first = twice.groupBy("doc_id").agg(F.min_by(F.struct(*table.columns), F.struct(F.col("text"), F.to_json(F.struct(*table.columns)))).alias("_row"))
+    return given(once.unionByName(first.select("_row.*")), names, docs.columns)

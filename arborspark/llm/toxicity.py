@@ -18,7 +18,8 @@ which the driver holds the presence of chosen words only; scoring reads whole te
 empty. Documents without a label are scored like others; a label row that repeats a doc_id counts with
 its largest label; labels other than 0 and 1 are left out. Without labels every probability is 0. Rows
 with null or repeated ids are scored as rows of their own; in training, rows with a null id are
-left out, and rows that repeat both id and text count each.
+left out, and rows that repeat both id and text count each. An empty table gives an empty table; a
+very long text is read whole, by words and, for its minimum hashes, in pieces.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from arborspark.llm.common import cut_by_bucket, lean, materialize, release, run_sum, shuffle_partitions, unpack_records, utf8_rows
 
@@ -286,12 +288,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> dict:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds p_<category> and is_<category> for every category to every row (columns kept)."""
+    """Adds p_<category> and is_<category> for every category to every row (columns kept).
+
+    A given column of such a name is kept as ``_<name>_given``. Names of the added columns come from the model.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     added = [(f"p_{c['name']}", "double") for c in model["chain"]] + [(f"is_{c['name']}", "boolean") for c in model["chain"]]
     clash = {c: f"_{c}_given" for c in docs.columns if c in dict(added)}
     rows = docs.withColumnsRenamed(clash) if clash else docs
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{k} {v}" for k, v in added)])
+    schema = StructType([*rows.schema.fields, *(StructField(k, BooleanType() if v == "boolean" else DoubleType()) for k, v in added)])
 
     def run(frames):
         m, cache = held.value, WordBucket()
