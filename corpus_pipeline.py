@@ -8,6 +8,10 @@ again as the next stage's ``docs``. All but the last keep the columns of ``docum
 3. ngram_join: of each group of near-duplicate documents one stays, the one with the smallest id.
 4. source_mixing: rows are repeated or cut so that sources meet their target weights.
 5. best_fit_packing: rows become pieces placed in sequences of at most 2048 tokens.
+
+Rows with null columns, empty or very long texts and repeated rows go through by the rules of each
+stage's operator; an empty table gives an empty one. Columns besides those of ``documents`` are kept up
+to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,16 +19,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arborspark.llm import best_fit_packing, language_id, ngram_join, source_mixing, toxicity
-from arborspark.llm.common import materialize
+from arborspark.llm.common import given, materialize, set_aside
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, toxicity.label_table(spark, sf_dir))
-    return toxicity.score(docs, model).where("not is_toxic").select(*docs.columns)
+    table, names = set_aside(docs, "doc_id", "text")
+    model = toxicity.fit(table.select("doc_id", "text"), toxicity.label_table(spark, sf_dir))
+    return given(toxicity.score(table, model).where("not is_toxic"), names, docs.columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.predict(docs, language_id.fit(docs)).where("not rejected").select(*docs.columns)
+    table, names = set_aside(docs, "doc_id", "text", "lang")
+    return given(language_id.predict(table, language_id.fit(table)).where("not rejected"), names, docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
