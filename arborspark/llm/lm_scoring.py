@@ -3,70 +3,63 @@
 Counting runs in Spark over all training texts. Tokens are runs of bytes other than space and tab to
 carriage return, A-Z lower-cased, then one end per text; a text's first token follows order - 1 start
 marks, which are context only. Words are 48-bit hashes. Every task counts its grams of the highest
-order first and sends them packed, dealt by context; grams of the few contexts that make up about
-1/1000 of all tokens (found on every eighth position) are dealt by the whole gram, so a frequent
-context fills no task. A task of the next round holds all counts of its grams, and writes them and
-the sums of its contexts as segments of the model: sorted hash arrays in files of the shared folder.
-It sends on the numbers of distinct left neighbours, which are the counts of the order below (grams
-that begin with a start mark have nothing to their left and keep their own counts), down to words.
-
-Workers memory-map the segments (a copy fetched once per worker where the folder is no local path) and
-look up each distinct word, context and gram of a block of texts by binary search:
+order first and sends them packed with a word list of their own, dealt by context; grams of the few contexts that
+make up about 1/1000 of all tokens are dealt by the whole gram, so a frequent context fills no task. (Which
+contexts these are is guessed from every eighth text; that only steers the dealing.) The number of buckets follows
+the number of tokens, so a bucket's size does not grow with the corpus. A task of the next round holds all
+counts of its grams, and writes them and the sums of its contexts as segments of the model: sorted hash arrays in
+files of the shared folder. It sends on the numbers of distinct left neighbours, which are the counts of the
+order below (grams that begin with a start mark have nothing to their left and keep their own counts), down to
+words. Counts are 64-bit throughout.
+
+Workers memory-map the segments (where the folder is no local path: into memory of their own, up to
+``HELD_BYTES``) and look up each distinct word, context and gram of a block of texts by binary search:
 p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h.) + lambda(h) * p'(w), where p' is the order below without the
 first word of h; words fall back to 1 / (V + 1); discounts D come from counts of counts of each order.
 Probabilities of all V words and one unknown word sum to 1.
 
 A null text is empty (its end alone is scored); rows with a null doc_id count as held out, repeated
-ids are rows of their own; an empty training set gives the uniform 1 / (V + 1) = 1. Extra columns
-stay out of the result.
+ids are rows of their own; an empty training set gives the uniform 1 / (V + 1) = 1. Very long texts are scored in
+pieces. Extra columns stay out of the result.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
-import tempfile
-from functools import lru_cache
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from arborspark.llm.common import U64, WordHash, cut_by_bucket, materialize, mix64, new_path, pack_records, release, run_sum, shuffle_partitions, unpack_records, utf8_rows
+from arborspark.llm.common import U64, WordHash, cut_by_bucket, lean, materialize, mix64, new_path, pack_records, release, run_sum, shuffle_partitions, unpack_records, utf8_rows
 
 BITS = 48
 ORDER = 3
+#: A context is frequent from 1 / HEAVY_SHARE of the tokens; looked for in every HEAVY_STEP-th text.
 HEAVY_SHARE, HEAVY_STEP = 1000, 8
-COUNT_CHUNK, SCORE_CHUNK = 2_500_000, 600_000
+#: Tokens of a chunk (below 2^21, the bits of a chunk's word number), of a scored block, and of a bucket.
+COUNT_CHUNK, SCORE_CHUNK, BUCKET_TOKENS = 2_000_000, 600_000, 4_000_000
+ID_BITS = 21
+HELD_BYTES = 1 << 29
 START = xxhash.xxh3_64_intdigest(b"\nstart") >> (64 - BITS)
 END = xxhash.xxh3_64_intdigest(b"\nend") >> (64 - BITS)
-WORD = np.dtype([("h", "<u8"), ("c", "<u4")])
-CONTEXT = np.dtype([("h", "<u8"), ("total", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
-HEAVY = np.dtype([("h", "<u8"), ("order", "<u4"), ("c", "<u4")])
+WORD = np.dtype([("h", "<u8"), ("c", "<u8")])
+CONTEXT = np.dtype([("h", "<u8"), ("total", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8")])
 ADD = 0.1
 
 
-def _six(h: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").reshape(-1)
-
-
-def _eight(v: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(v), 8), np.uint8)
-    out[:, :6] = np.ascontiguousarray(v).view(np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(U64)
-
-
 def word_bucket(h: np.ndarray, parts: int) -> np.ndarray:
     """Ranges of hashes, so that sorted words are sorted by bucket."""
     return ((h >> U64(BITS - 32)) * U64(parts) >> U64(32)).astype(np.int64)
 
 
-def gram_type(order: int) -> np.dtype:
-    return np.dtype([*((f"w{i}", "V6") for i in range(order)), ("c", "<u4")])
-
-
 def gram_keys(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(context, whole gram) as 64-bit keys; the last array holds the predicted words."""
     context = mix64(words[0] + U64(0x51))
@@ -88,14 +81,59 @@ def gram_bucket(context: np.ndarray, key: np.ndarray, heavy: np.ndarray, parts:
     return out
 
 
-def packed_grams(words: list[np.ndarray], c: np.ndarray, context: np.ndarray, key: np.ndarray, heavy: np.ndarray, parts: int):
+def pack_grams(words: np.ndarray, ids: list[np.ndarray], c: np.ndarray) -> bytes:
+    """Grams as numbers into a list of the words that occur in them, compressed by byte planes."""
+    n = len(c)
+    flat = np.concatenate(ids)
+    if 8 * len(flat) > len(words):
+        seen = np.zeros(len(words), bool)
+        seen[flat] = True
+        used = np.flatnonzero(seen)
+        place = np.cumsum(seen) - 1
+        flat = place[flat]
+    else:
+        used, flat = np.unique(flat, return_inverse=True)
+    planes = [np.array([n, len(used), len(ids)], "<u8").view(np.uint8), words[used].astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel(), flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel(), c.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel()]
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
+
+
+def unpack_grams(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    """(words of each place, counts)."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n, used, places = raw[:24].view("<u8").tolist()
+    column = lambda at, count, width: np.ascontiguousarray(raw[at : at + count * width].reshape(width, count).T).reshape(-1).view(f"<u{width}")
+    words = column(24, used, 8)
+    flat = column(24 + 8 * used, n * places, 4)
+    return [words[flat[i * n : (i + 1) * n]] for i in range(places)], column(24 + 8 * used + 4 * n * places, n, 8)
+
+
+def packed_grams(words: np.ndarray, ids: list[np.ndarray], c: np.ndarray, context: np.ndarray, key: np.ndarray, heavy: np.ndarray, parts: int):
+    """(bucket, packed grams); ``ids`` number the sorted distinct ``words``."""
     bucket = gram_bucket(context, key, heavy, parts)
-    order = np.lexsort((words[-2], bucket))
-    out = np.zeros(len(order), gram_type(len(words)))
-    for i, w in enumerate(words):
-        out[f"w{i}"] = _six(w[order])
-    out["c"] = c[order]
-    return cut_by_bucket(out, bucket[order], parts)
+    order = np.lexsort((ids[-2], bucket))
+    ids, c, bucket = [x[order] for x in ids], c[order], bucket[order]
+    cuts = np.searchsorted(bucket, np.arange(parts + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[b], cuts[b + 1])
+        yield b, pack_grams(words, [x[part] for x in ids], c[part])
+
+
+def numbered(words: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct words of all places, and their numbers in each place."""
+    uniq, at = np.unique(np.concatenate(words), return_inverse=True)
+    return uniq, np.split(at, len(words))
+
+
+def distinct_grams(ids: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct grams of word numbers, and how often each occurs."""
+    code, spans = ids[0], [ids[0]]
+    for i, x in enumerate(ids[1:], 1):
+        if i % 3 == 0:  # three numbers fill a code: number the codes so far
+            _, first, code = np.unique(code, return_index=True, return_inverse=True)
+        code = (code << ID_BITS) | x
+        spans.append(x)
+    _, first, c = np.unique(code, return_index=True, return_counts=True)
+    return [x[first] for x in spans], c
 
 
 def token_blocks(frames, size: int):
@@ -148,83 +186,40 @@ def _blobs(rows, kind: int):
 
 
 BLOBS = "kind int, bucket int, blob binary"
-KIND_WORDS, KIND_CONTEXT, KIND_LEFT, KIND_GRAMS, KIND_COUNTS, KIND_HEAVY = range(6)
+KIND_WORDS, KIND_CONTEXT, KIND_LEFT, KIND_COUNTS = range(4)
 
 
-def count_words(texts: DataFrame, parts: int, order: int) -> DataFrame:
-    """Packed word counts, and counts of the contexts that are frequent in some chunk."""
+def heavy_contexts(texts: DataFrame, order: int) -> tuple[int, dict[int, np.ndarray]]:
+    """(about how many tokens, by order the sorted keys of the frequent contexts), from every HEAVY_STEP-th text."""
 
     def local(frames):
         for tokens, lengths in _gathered(frames, COUNT_CHUNK):
-            h, c = np.unique(tokens, return_counts=True)
-            out = np.zeros(len(h), WORD)
-            out["h"], out["c"] = h, c
-            yield _blobs(cut_by_bucket(out, word_bucket(h, parts), parts), KIND_WORDS)
-            words = [w[::HEAVY_STEP] for w in grams(tokens, lengths, order)]
+            words = grams(tokens, lengths, order)
+            rows = [(0, 0, len(tokens))]
             for n in range(2, order + 1):
                 h, c = np.unique(gram_keys(words[-n:])[0], return_counts=True)
-                often = c * HEAVY_SHARE >= len(words[0])
-                out = np.zeros(int(often.sum()), HEAVY)
-                out["h"], out["order"], out["c"] = h[often], n, c[often]
-                yield _blobs(cut_by_bucket(out, word_bucket(out["h"] >> U64(64 - BITS), parts), parts), KIND_HEAVY)
-
-    def merge(frames):
-        held: dict[int, list] = {KIND_WORDS: [], KIND_HEAVY: []}
-        bucket = 0
-        for frame in frames:
-            for k, b, blob in zip(frame.column("kind").to_pylist(), frame.column("bucket").to_pylist(), frame.column("blob")):
-                bucket = b
-                held[k].append(unpack_records(blob.as_py(), WORD if k == KIND_WORDS else HEAVY))
-        if held[KIND_WORDS]:
-            r = np.concatenate(held[KIND_WORDS])
-            h, c = run_sum(r["h"], r["c"].astype(np.int64))
-            out = np.zeros(len(h), WORD)
-            out["h"], out["c"] = h, c
-            yield _blobs([(bucket, pack_records(out))], KIND_WORDS)
-        if held[KIND_HEAVY]:
-            r = np.concatenate(held[KIND_HEAVY])
-            for n in np.unique(r["order"]).tolist():
-                h, c = run_sum(r["h"][r["order"] == n], r["c"][r["order"] == n].astype(np.int64))
-                out = np.zeros(len(h), HEAVY)
-                out["h"], out["order"], out["c"] = h, n, c
-                yield _blobs([(bucket, pack_records(out))], KIND_HEAVY)
+                often = c * HEAVY_SHARE >= len(tokens)
+                rows += zip([n] * int(often.sum()), h[often].view(np.int64).tolist(), c[often].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["order", "h", "c"])
 
-    return texts.mapInArrow(local, BLOBS).repartitionById(parts, "bucket").mapInArrow(merge, BLOBS)
+    some = texts.where(F.monotonically_increasing_id() % HEAVY_STEP == 0)
+    found = some.mapInArrow(local, "order long, h long, c long").groupBy("order", "h").agg(F.sum("c").alias("c"))
+    total = F.max(F.when(F.col("order") == 0, F.col("c"))).over(W.partitionBy())
+    top = found.withColumn("total", total).where((F.col("order") == 0) | (F.col("c") * HEAVY_SHARE >= F.col("total"))).toPandas()  # HEAVY_SHARE rows per order at most
+    n = int(top["c"][top["order"] == 0].sum())
+    return n * HEAVY_STEP, {k: np.sort(top["h"][top["order"] == k].to_numpy(dtype=np.int64).view(U64)) for k in range(2, order + 1)}
 
 
-def _held(frames, dtype):
-    """All records of a task that holds one bucket."""
+def _held(frames):
+    """(words of each place, counts, bucket) of all grams of a task that holds one bucket."""
     held, bucket = [], 0
     for frame in frames:
         for b, blob in zip(frame.column("bucket").to_pylist(), frame.column("blob")):
             bucket = b
-            held.append(unpack_records(blob.as_py(), dtype))
-    return (np.concatenate(held) if held else None), bucket
-
-
-def heavy_contexts(words: DataFrame, order: int) -> tuple[int, int, dict[int, np.ndarray]]:
-    """(tokens, distinct tokens, by order the sorted keys of the frequent contexts, at most HEAVY_SHARE)."""
-
-    def totals(frames):
-        n = v = 0
-        for frame in frames:
-            for blob in frame.column("blob"):
-                r = unpack_records(blob.as_py(), WORD)
-                n, v = n + int(r["c"].sum(dtype=np.int64)), v + len(r)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([v])], names=["n", "v"])
-
-    n, v = words.where(F.col("kind") == KIND_WORDS).mapInArrow(totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    n, v = n or 0, v or 0
-
-    def frequent(frames):
-        for frame in frames:
-            for blob in frame.column("blob"):
-                r = unpack_records(blob.as_py(), HEAVY)
-                r = r[r["c"].astype(np.int64) * HEAVY_STEP * HEAVY_SHARE >= max(n, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["order"].astype(np.int32)), pa.array(np.ascontiguousarray(r["h"]).view(np.int64))], names=["order", "h"])
-
-    top = words.where(F.col("kind") == KIND_HEAVY).mapInArrow(frequent, "order int, h long").toPandas()
-    return n, v, {k: np.sort(top["h"][top["order"] == k].to_numpy(dtype=np.int64).view(U64)) for k in range(2, order + 1)}
+            held.append(unpack_grams(blob.as_py()))
+    if not held:
+        return None, None, bucket
+    return [np.concatenate(x) for x in zip(*(w for w, _ in held))], np.concatenate([c for _, c in held]).astype(np.int64), bucket
 
 
 def _local_path(uri: str) -> str | None:
@@ -256,25 +251,43 @@ def write_file(uri: str, data: list[np.ndarray]) -> None:
         store.move(tmp, path)
 
 
-@lru_cache(maxsize=100_000)
+_FETCHED: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+def _fetched(uri: str) -> np.ndarray | None:
+    """A segment that lies on no local path, in an anonymous memory map; the oldest ones go beyond HELD_BYTES."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    info = store.get_file_info(path)
+    if info.type == fs.FileType.NotFound:
+        return None
+    held = mmap.mmap(-1, max(1, info.size))
+    with store.open_input_stream(path) as f:
+        while part := f.read(1 << 24):
+            held.write(part)
+    while _FETCHED and sum(a.nbytes for a in _FETCHED.values()) + info.size > HELD_BYTES:
+        _FETCHED.popitem(last=False)
+    return np.frombuffer(held, np.uint8, info.size)
+
+
 def mapped(uri: str) -> np.ndarray | None:
     """The file as memory-mapped bytes; None where there is no such segment."""
+    if uri in _FETCHED:
+        _FETCHED.move_to_end(uri)
+        return _FETCHED[uri]
     local = _local_path(uri)
     if not local:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        local = os.path.join(tempfile.gettempdir(), "arborspark-lm", os.path.basename(os.path.dirname(path)), os.path.basename(path))
-        if not os.path.exists(local):
-            os.makedirs(os.path.dirname(local), exist_ok=True)
-            if store.get_file_info(path).type == fs.FileType.NotFound:
-                return None
-            tmp = f"{local}.{os.getpid()}"
-            fs.copy_files(path, tmp, source_filesystem=store)
-            os.replace(tmp, local)
-    if not os.path.exists(local):
+        raw = _fetched(uri)
+    elif not os.path.exists(local):
         return None
-    return np.memmap(local, np.uint8, mode="r")
+    else:
+        raw = np.memmap(local, np.uint8, mode="r")
+        while len(_FETCHED) >= 10_000:  # maps, not memory, are what is short here
+            _FETCHED.popitem(last=False)
+    if raw is not None:
+        _FETCHED[uri] = raw
+    return raw
 
 
 def _arrays(raw: np.ndarray, kinds: list[tuple[str, int]], at: int = 0) -> list[np.ndarray]:
@@ -297,31 +310,30 @@ def first_grams(texts: DataFrame, parts: int, heavy, order: int) -> DataFrame:
 
     def local(frames):
         for tokens, lengths in _gathered(frames, COUNT_CHUNK):
-            words = grams(tokens, lengths, order)
-            context, key = gram_keys(words)
-            key, at, c = np.unique(key, return_index=True, return_counts=True)
-            yield _blobs(packed_grams([w[at] for w in words], c, context[at], key, heavy.value[order], parts), KIND_GRAMS)
+            for piece in _pieces(grams(tokens, lengths, order), COUNT_CHUNK):  # a text of its own may be longer than a chunk
+                uniq = np.unique(np.concatenate([piece[-1], *(w[:order] for w in piece[:-1]), np.array([START], U64)]))  # words before the piece, and start marks
+                ids, c = distinct_grams([np.searchsorted(uniq, w) for w in piece])
+                context, key = gram_keys([uniq[i] for i in ids])
+                yield _blobs(packed_grams(uniq, ids, c, context, key, heavy.value[order], parts), KIND_LEFT)
 
     return texts.mapInArrow(local, BLOBS)
 
 
-def merge_grams(packed: DataFrame, parts: int, heavy, order: int, path: str) -> DataFrame:
+def merge_grams(packed: DataFrame, parts: int, heavy, order: int, path: str, top: bool) -> DataFrame:
     """Writes the segments of one order; returns the packed grams of the order below (words: left-neighbour
-    counts), the parts of frequent contexts, and counts of counts."""
+    counts), the parts of frequent contexts, counts of counts, and from the highest order the counts of words."""
 
     def merge(frames):
-        held, bucket = _held(frames, gram_type(order))
-        if held is None:
+        words, counts, bucket = _held(frames)
+        if words is None:
             return
-        words = [_eight(held[f"w{i}"]) for i in range(order)]
         context, key = gram_keys(words)
         at = np.argsort(key)
         key = key[at]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        c = np.add.reduceat(held["c"].astype(np.int64)[at], first)
+        c = np.add.reduceat(counts[at], first)
         key, at = key[first], at[first]
         words, context = [w[at] for w in words], context[at]
-        del held
         over = np.flatnonzero(c > 255)
         write_file(f"{path}/grams-{order}-{bucket}", [np.array([len(key), len(over)], np.int64), *_keyed(key), np.minimum(c, 255).astype(np.uint8), over.astype(np.int64), c[over]])
         h, *sums = run_sum(context, c, *(x.astype(np.int64) for x in (c == 1, c == 2, c >= 3)))
@@ -335,21 +347,27 @@ def merge_grams(packed: DataFrame, parts: int, heavy, order: int, path: str) ->
                 ctx[name] = x[hot]
             yield _blobs([(bucket, pack_records(ctx))], KIND_CONTEXT)
         yield _blobs([(0, np.bincount(np.minimum(c, 5), minlength=6).astype(np.int64).tobytes())], KIND_COUNTS)
+
+        def word_counts(n, kind):
+            h, n = run_sum(words[-1], n)
+            out = np.zeros(len(h), WORD)
+            out["h"], out["c"] = h, n
+            return _blobs(cut_by_bucket(out, word_bucket(h, parts), parts), kind)
+
+        if top:
+            yield word_counts(c, KIND_WORDS)
         if order == 2:
-            h, n = np.unique(words[1], return_counts=True)
-            left = np.zeros(len(h), WORD)
-            left["h"], left["c"] = h, n
-            yield _blobs(cut_by_bucket(left, word_bucket(h, parts), parts), KIND_LEFT)
+            yield word_counts(np.ones(len(c), np.int64), KIND_LEFT)
         else:
-            words = words[1:]
-            n = np.where(words[0] == U64(START), c, 1)
-            context, key = gram_keys(words)
+            n = np.where(words[1] == U64(START), c, 1)
+            context, key = gram_keys(words[1:])
             at = np.argsort(key)
             first = np.flatnonzero(np.append(True, key[at][1:] != key[at][:-1]))
             n, at = np.add.reduceat(n[at], first), at[first]
-            yield _blobs(packed_grams([w[at] for w in words], n, context[at], key[at], heavy.value[order - 1], parts), KIND_LEFT)
+            uniq, ids = numbered([w[at] for w in words[1:]])
+            yield _blobs(packed_grams(uniq, ids, n, context[at], key[at], heavy.value[order - 1], parts), KIND_LEFT)
 
-    return packed.repartitionById(parts, "bucket").mapInArrow(merge, BLOBS)
+    return packed.repartitionById(parts, "bucket").mapInArrow(lean(merge), BLOBS)
 
 
 def frequent_sums(table: DataFrame) -> tuple[np.ndarray, ...]:
@@ -402,10 +420,10 @@ def write_words(blobs: DataFrame, parts: int, path: str) -> DataFrame:
         words, left = (np.concatenate(held[k]) if held[k] else np.zeros(0, WORD) for k in (KIND_WORDS, KIND_LEFT))
         h = np.unique(words["h"])
         out = {k: np.zeros(len(h), np.int64) for k in ("c", "left")}
-        np.add.at(out["c"], np.searchsorted(h, words["h"]), words["c"])
-        np.add.at(out["left"], np.searchsorted(h, left["h"]), left["c"])
-        write_file(f"{path}/words-{bucket}", [np.array([len(h)], np.int64), h, *(out[k].astype(np.uint32) for k in ("c", "left"))])
-        yield _blobs([(0, np.append(np.bincount(np.minimum(out["left"], 5), minlength=6), out["left"].sum()).astype(np.int64).tobytes())], KIND_COUNTS)
+        np.add.at(out["c"], np.searchsorted(h, words["h"]), words["c"].astype(np.int64))
+        np.add.at(out["left"], np.searchsorted(h, left["h"]), left["c"].astype(np.int64))
+        write_file(f"{path}/words-{bucket}", [np.array([len(h)], np.int64), h, out["c"], out["left"]])
+        yield _blobs([(0, np.append(np.bincount(np.minimum(out["left"], 5), minlength=6), [out["left"].sum(), out["c"].sum(), len(h)]).astype(np.int64).tobytes())], KIND_COUNTS)
 
     return blobs.repartitionById(parts, "bucket").mapInArrow(merge, BLOBS)
 
@@ -414,26 +432,29 @@ def train(spark: SparkSession, texts: DataFrame, order: int = ORDER) -> dict:
     """``texts(text)`` -> the description of a model whose segments lie in the shared folder."""
     if order < 2:
         raise ValueError("order must be at least 2")
-    parts, path = shuffle_partitions(spark), new_path(spark, "lm")
-    words = materialize(spark, count_words(texts, parts, order), "lm-words")
-    tokens, distinct, hot = heavy_contexts(words, order)
+    about, hot = heavy_contexts(texts, order)
+    parts, path = max(shuffle_partitions(spark), -(-about // BUCKET_TOKENS)), new_path(spark, "lm")
     heavy = spark.sparkContext.broadcast(hot)
-    packed, held = first_grams(texts, parts, heavy, order), None
+    packed, held, words = first_grams(texts, parts, heavy, order), None, None
     d, sums = {}, {}
     for n in range(order, 1, -1):
-        stats = materialize(spark, merge_grams(packed, parts, heavy, n, path), f"lm-stats-{n}")
+        stats = materialize(spark, merge_grams(packed, parts, heavy, n, path, n == order), f"lm-stats-{n}")
+        if n == order:
+            words = stats.where(F.col("kind") == KIND_WORDS)
+            first = stats
         packed = stats.where(F.col("kind") == KIND_LEFT)
         d[n], sums[n] = discounts(_counts(stats)), frequent_sums(stats)
-        release(spark, *([held] if held is not None else []))
+        if held is not None and held is not first:
+            release(spark, held)
         held = stats
-    rest = materialize(spark, write_words(words.where(F.col("kind") == KIND_WORDS).union(packed), parts, path), "lm-done")
+    rest = materialize(spark, write_words(words.union(packed), parts, path), "lm-done")
     rows = [np.frombuffer(r[0], np.int64) for r in rest.select("blob").collect()]
-    total = sum(rows, np.zeros(7, np.int64))
+    total = sum(rows, np.zeros(9, np.int64))
     n = total[:6]
     d[1] = discounts(n)
-    types = int(total[6])
+    types, tokens, distinct = (int(x) for x in total[6:])
     low = (d[1][0] * n[1] + d[1][1] * n[2] + d[1][2] * (n[3] + n[4] + n[5])) / types if types else 1.0
-    release(spark, words, held, rest)
+    release(spark, held, first, rest)
     return {"path": path, "parts": parts, "order": order, "tokens": tokens, "distinct": distinct, "heavy": hot, "sums": sums, "d": d, "types": types, "low": low}
 
 
@@ -453,7 +474,7 @@ def _word_lookup(model: dict, h: np.ndarray) -> list[np.ndarray]:
         if raw is None:
             continue
         n = int(raw[:8].view(np.int64)[0])
-        keys, *cols = _arrays(raw, [("<u8", n), ("<u4", n), ("<u4", n)], 8)
+        keys, *cols = _arrays(raw, [("<u8", n), ("<i8", n), ("<i8", n)], 8)
         if not n:
             continue
         at = np.minimum(np.searchsorted(keys, h[rows]), n - 1)
@@ -539,7 +560,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SCORES)
 
 
 def _pieces(words: list[np.ndarray], size: int = 1_000_000):
