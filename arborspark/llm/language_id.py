@@ -3,18 +3,24 @@
 A text's ASCII letters are lower-cased, bytes of other letters kept and all else becomes a space.
 Subwords are the 2-, 3- and 4-grams of bytes that result; each is hashed to one of ``BUCKETS`` rows
 of an embedding matrix, and the mean of the rows goes through a linear softmax. Both are trained by
-stochastic gradient descent in numpy on snippets of at most ``PER_LANGUAGE`` labelled documents per
-language (a hash sample, documents of at most ``MAX_BYTES`` bytes), which bounds the driver's work.
+stochastic gradient descent in numpy on snippets of a hash sample: of every language about ``PER_LANGUAGE``
+labelled documents, fewer where there are so many languages that ``SAMPLE`` rows would not do (but
+``LEAST`` of each at least), which bounds the driver's work. No language and no document is left out by
+rule; of a text above ``MAX_BYTES`` bytes, slices from its start, middle and end are the sample's text.
 Prediction is linear in the rows, so it uses one row of class scores per bucket and reads whole
 texts in blocks, in bounded memory.
 
-A fifth of the sample calibrates: a temperature that minimizes log loss of whole texts, and the
-rejection bound, the confidence under which only ``REJECT_QUANTILE`` of right validation answers
-fall (at most ``REJECT_CAP``). ``rejected`` marks texts below it and texts without a letter.
+A fifth of each language's sample calibrates: a temperature that minimizes log loss of whole texts, and the
+rejection bound. Its answers, right and wrong, and those on their texts with shuffled bytes (which are in no
+language), give the least confidence from which on at most ``ERROR`` of the answers are wrong; the bound is
+that, but no more than ``LOST`` of the right answers may fall below it. ``rejected`` marks texts below it and texts
+without a letter.
 
 A null text, or one without a letter, gets ``und`` with score 0. Null langs are not learned from.
 With no labelled row at all, every text is ``und``. Rows with a null or repeated doc_id are
-predicted like any other; they count as doc_id text "" for the held-out rule. Further columns stay out.
+predicted like any other; they count as doc_id text "" for the held-out rule. Further columns stay out of
+the query; ``predict`` keeps them, those named like an added one as ``_<name>_given``. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,13 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from arborspark.llm.common import lean, to_batch, utf8_rows
+from arborspark.llm.common import lean, materialize, release, utf8_rows
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
-PER_LANGUAGE, MAX_LANGUAGES, MAX_BYTES = 1200, 1000, 20_000
+PER_LANGUAGE, SAMPLE, LEAST, MAX_BYTES, SLICE = 1200, 48_000, 8, 20_000, 5_000
 SNIPPETS, EPOCHS, RATE = 3, 5, 4.0
-REJECT_QUANTILE, REJECT_CAP = 0.0005, 0.4
+ERROR, LOST = 0.005, 0.0005
 BLOCK = 1 << 18
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -87,7 +94,9 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> dict:
     y = np.searchsorted(np.array(classes), langs)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
-    valid, fit = order[: len(order) // 5], order[len(order) // 5 :]
+    order = order[np.argsort(y[order], kind="stable")]
+    nth = np.arange(len(order)) - np.searchsorted(y[order], y[order])
+    valid, fit = order[nth % 5 == 4], order[nth % 5 != 4]  # of each language
     examples = []
     for i in fit:
         data = folded(texts[i])
@@ -120,12 +129,25 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> dict:
         loss = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), label], 1e-12)).mean() for t in np.geomspace(0.05, 20, 60)}
         model["temperature"] = min(loss, key=loss.get)
         p = softmax(z / model["temperature"])
-        right = p.max(axis=1)[p.argmax(axis=1) == label]
-        if len(right):
-            model["bound"] = float(min(REJECT_CAP, np.quantile(right, REJECT_QUANTILE)))
+        noise = [bytes(rng.permutation(np.frombuffer(texts[i], np.uint8))) for i in valid]
+        q = softmax(mean_scores(noise, scores) / model["temperature"]).max(axis=1)
+        model["bound"] = rejection_bound(p.max(axis=1), p.argmax(axis=1) == label, q)
     return model
 
 
+def rejection_bound(confidence: np.ndarray, right: np.ndarray, noise: np.ndarray) -> float:
+    """The least confidence from which on at most ERROR of all answers are wrong, but LOST of the right ones stay below at most."""
+    if not right.any():
+        return 0.0
+    c, wrong = np.concatenate([confidence, noise]), np.concatenate([~right, np.ones(len(noise), bool)])
+    order = np.argsort(-c, kind="stable")
+    c, share = c[order], np.cumsum(wrong[order]) / np.arange(1, len(c) + 1)
+    last = np.append(c[1:] != c[:-1], True)
+    good = np.flatnonzero(last & (share <= ERROR))
+    least = c[good[-1]] if len(good) else c[0]
+    return float(min(least, np.quantile(confidence[right], LOST)))
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -136,16 +158,18 @@ def held_out_rule(doc_id: Column) -> Column:
 
 
 def sample(labelled: DataFrame) -> tuple[list[bytes], list[str]]:
-    """A hash sample of (text, lang): about PER_LANGUAGE rows of each language reach the driver."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES))
-    # the classes of the model, at most MAX_LANGUAGES of them; texts do not move by language
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return [], []
-    keep = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, PER_LANGUAGE / n) * (1 << 30)))))
-    share = F.xxhash64("doc_id", F.lit(11)).bitwiseAND((1 << 30) - 1) < F.coalesce(keep[F.col("lang")], F.lit(0))
-    got = rows.where(share).select("text", "lang", F.xxhash64("doc_id").alias("h")).toPandas()
-    got = got.sort_values(["h", "lang", "text"])
+    """A hash sample of (text, lang) for the driver: of each language about as many rows as the docstring says."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = materialize(labelled.sparkSession, rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "lang-counts")
+    each = max(LEAST, min(PER_LANGUAGE, SAMPLE // max(1, counts.count())))
+    share = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1 << 30), F.lit(float(each << 30)) / F.col("_n")).cast("long").alias("_share"))
+    n, mid = F.char_length("text"), F.lit(SLICE // 2)
+    slices = F.concat_ws(" ", F.substring("text", 1, SLICE), F.substr("text", (n / 2).cast("int") - mid, F.lit(SLICE)), F.substr("text", n - SLICE, F.lit(SLICE)))
+    text = F.when(F.octet_length("text") <= MAX_BYTES, F.col("text")).otherwise(slices)
+    picked = F.xxhash64("doc_id", "text", F.lit(11)).bitwiseAND((1 << 30) - 1)
+    got = rows.withColumn("_h", picked).join(share, F.col("lang") == F.col("_lang")).where(F.col("_h") < F.col("_share")).select(text.alias("text"), "lang", "_h").toPandas()
+    got = got.sort_values(["_h", "lang", "text"])
+    release(labelled.sparkSession, counts)
     return [t.encode() for t in got["text"]], list(got["lang"])
 
 
@@ -153,10 +177,10 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """Adds lang_pred, score and rejected to every row of ``docs`` (columns kept; ``text`` is read)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    names = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
+    names = ("lang_pred", "score", "rejected")
     clash = {c: f"_{c}_given" for c in docs.columns if c in names}
     rows = docs.withColumnsRenamed(clash) if clash else docs
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{k} {v}" for k, v in names.items())])
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(frames):
         m = held.value
