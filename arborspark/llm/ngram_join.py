@@ -19,8 +19,11 @@ sequence is one shingle; with none the set is empty and links with nothing. Two
    pairs that pass the filters, long ones in blocks that return a spanning forest and never pairs.
    (A link inside a component changes nothing in the result.)
 
-Postings travel packed, and lists of one member end where they meet. Joins are such that a hot key is
-split. Sets are built again only for documents in candidate pairs, found by a Bloom filter of fixed size ahead of the exact join.
+Postings travel packed, and lists of one member end where they meet. The number of their buckets follows the
+number of postings, and the list of a shingle with more than ``HOT_LIST`` occurrences is dealt to several buckets,
+each with a pivot of its own (step 4 takes the list as a whole again). Joins are such that a hot key is
+split. Sets are built again only for documents in candidate pairs, found by a Bloom filter sized by their number
+(up to a bound; beyond it more sets pass than needed) ahead of the exact join.
 
 A null text is empty. A null doc_id links with nothing and has a null component. Rows that repeat a
 doc_id are one node: they share the component, each row has its own n_shingles. An empty table gives
@@ -40,10 +43,14 @@ from arborspark.llm.common import U64, Forest, WordHash, connected_components, g
 
 WIDTH, PERCENT = 5, 80
 HEAVY_MAX, HEAVY_MIN, HEAVY_LOCAL, HEAVY_CHUNK = 200_000, 16, 2, 1_000_000
-BLOOM_BITS = 1 << 25
+#: Bits of the candidate filter: BLOOM_SHARE for each id, within bounds (16 kB to 128 MB).
+BLOOM_SHARE, BLOOM_LEAST, BLOOM_MOST = 16, 1 << 17, 1 << 30
 WORDS_HELD = 200_000
-#: Lists of at most SHORT_LIST members are paired by a join; longer ones in cells of 2 * CELL sets.
-SHORT_LIST, CELL, CELL_WORDS, LIKELY = 16, 128, 8192, 0.3
+#: Postings of a bucket, and occurrences of a shingle from which its list is dealt to several buckets.
+BUCKET_ENTRIES, HOT_LIST = 2_000_000, 200_000
+#: Lists of at most SHORT_LIST members are paired by a join; longer ones in cells of two blocks of so many
+#: sketches, or of so many sets and their shingles.
+SHORT_LIST, SKETCH_BLOCK, SET_BLOCK, SET_WORDS, CELL_WORDS, LIKELY = 16, 1024, 256, 300_000, 8192, 0.3
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=U64)
 
 
@@ -89,13 +96,14 @@ def _heavy_counts(frames):
 
 
 def heavy_shingles(texts: DataFrame) -> np.ndarray:
-    """At most HEAVY_MAX shingles found most often (uint64, sorted), with their place in the order."""
+    """At most HEAVY_MAX shingles found most often (uint64, sorted), their places in the order, and into how many buckets their lists go."""
     counts = texts.mapInArrow(lean(_heavy_counts), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= HEAVY_MIN).orderBy(F.col("n").desc(), "shingle").limit(HEAVY_MAX).toPandas()
     keys = top["shingle"].to_numpy(dtype=np.int64).astype(U64)
     rank = np.arange(len(keys), 0, -1)  # the most frequent last
     order = np.argsort(keys)
-    return np.stack([keys[order], rank[order].astype(U64)]) if len(keys) else np.zeros((2, 0), U64)
+    split = -(-top["n"].to_numpy(dtype=np.int64) // HOT_LIST)
+    return np.stack([keys[order], rank[order].astype(U64), split[order].astype(U64)]) if len(keys) else np.zeros((3, 0), U64)
 
 
 def ordered_prefix(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -149,15 +157,16 @@ def _passes(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np.
     return (100 * low >= PERCENT * high) & (np.minimum(n - at, m - bt) + np.minimum(at, bt) >= need)
 
 
-_ENTRY = np.dtype([("token", "<u4"), ("at", "<u4"), ("n", "<u4"), ("g", "<i8")])
-_MANY = np.uint32(1 << 31)
+_ENTRY = np.dtype([("token", "<u4"), ("home", "<u4"), ("at", "<u4"), ("n", "<u4"), ("g", "<i8")])
+_MANY = _SPLIT = np.uint32(1 << 31)
 
 
-def postings(heads: DataFrame, parts: int) -> DataFrame:
+def postings(heads: DataFrame, parts: int, heavy) -> DataFrame:
     """``heads(g, n, members, prefix)`` -> packed postings (bucket, blob), a blob per task chunk and bucket.
 
     A posting is 32 bits of the shingle inside its bucket (two shingles that fall together only add
-    candidates), the place in the prefix (top bit: the group has several members), size and group.
+    candidates), the bucket of its list (top bit: the list is dealt to several from there on), the place in the
+    prefix (top bit: the group has several members), size and group.
     """
 
     def pack(held):
@@ -171,7 +180,14 @@ def postings(heads: DataFrame, parts: int) -> DataFrame:
         out["g"], out["n"] = rep(0), rep(1)
         mixed = mix64(s + U64(0x1234567))
         out["token"] = (mixed & U64(0xFFFFFFFF)).astype(np.uint32)
-        bucket = ((mixed >> U64(32)) % U64(parts)).astype(np.int32)
+        bucket = ((mixed >> U64(32)) % U64(parts)).astype(np.int64)
+        out["home"] = bucket
+        hot = heavy.value[:, heavy.value[2] > 1]
+        if hot.shape[1]:
+            at = np.minimum(np.searchsorted(hot[0], s), hot.shape[1] - 1)
+            split = np.flatnonzero(hot[0][at] == s)
+            out["home"][split] |= _SPLIT
+            bucket[split] = (bucket[split] + (mix64(out["g"][split].view(U64)) % hot[2][at[split]]).astype(np.int64)) % parts
         order = np.lexsort((out["token"], bucket))
         out, bucket = out[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(parts + 1))
@@ -205,24 +221,24 @@ def _lists(frames):
     looks to the pivot of the band below. Pivots are the same wherever the same groups meet.
     """
     open_ = zstandard.ZstdDecompressor()
-    held, bucket = [], 0
+    held = []
     for frame in frames:
-        for b, blob in zip(frame.column("bucket").to_pylist(), frame.column("blob").to_pylist()):
-            bucket = b
+        for blob in frame.column("blob").to_pylist():
             held.append(np.ascontiguousarray(np.frombuffer(open_.decompress(blob), np.uint8).reshape(_ENTRY.itemsize, -1).T).reshape(-1).view(_ENTRY))
     if not held:
         return
     e = np.concatenate(held)
     del held
-    e = e[np.argsort(e["token"], kind="stable")]
-    new = np.append(True, e["token"][1:] != e["token"][:-1])
+    e = e[np.lexsort((e["home"], e["token"]))]
+    new = np.append(True, (e["token"][1:] != e["token"][:-1]) | (e["home"][1:] != e["home"][:-1]))
     run = np.cumsum(new) - 1
-    many = np.bincount(run, weights=(e["at"] & _MANY != 0)) > 0
+    many = np.bincount(run, weights=(e["at"] & _MANY != 0) | (e["home"] & _SPLIT != 0)) > 0
     keep = (np.bincount(run)[run] > 1) | many[run]
     e = e[keep]
     if not len(e):
         return
-    token, g, n, at = e["token"].astype(np.int64), e["g"].copy(), e["n"].astype(np.int64), (e["at"] & ~_MANY).astype(np.int64)
+    token = (e["home"] & ~_SPLIT).astype(np.int64) << 32 | e["token"].astype(np.int64)
+    g, n, at = e["g"].copy(), e["n"].astype(np.int64), (e["at"] & ~_MANY).astype(np.int64)
     band = np.floor(np.log(n) / np.log(1.25)).astype(np.int64)
     order = np.lexsort((mix64(g.view(U64)), band, token))
     token, g, n, at, band = token[order], g[order], n[order], at[order], band[order]
@@ -233,38 +249,56 @@ def _lists(frames):
     below = np.where(below < 0, starts, below)
     pivot = np.repeat(starts, np.diff(np.append(starts, len(g))))
     pivot[starts] = below
-    shingle = token | np.int64(bucket) << 32
     for i in range(0, len(g), 100_000):
         k = slice(i, i + 100_000)
         q = pivot[k]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (shingle[k], g[k], n[k], at[k].astype(np.int32), g[q], n[q], at[q].astype(np.int32))], names=["shingle", "g", "n", "at", "pg", "pn", "pat"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token[k], g[k], n[k], at[k].astype(np.int32), g[q], n[q], at[q].astype(np.int32))], names=["shingle", "g", "n", "at", "pg", "pn", "pat"])
 
 
-def _bloom_build(frames):
-    bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for frame in frames:
-        ids = frame.column(0).to_numpy(zero_copy_only=False).view(U64)
-        for salt in (1, 2):
-            at = mix64(ids + U64(salt << 40)) & U64(BLOOM_BITS - 1)
-            np.bitwise_or.at(bits, (at >> U64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & U64(7)).astype(np.uint8)))
-    if bits.any():
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].astype(np.int16))], names=["at", "bits"])
+BLOOM_PART = 1 << 13  # bytes of the filter that travel together
+
+
+def _places(ids: np.ndarray, bits: int):
+    for salt in (1, 2):
+        at = mix64(ids.view(U64) + U64(salt << 40)) & U64(bits - 1)
+        yield (at >> U64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & U64(7)).astype(np.uint8))
 
 
 def bloom_filter(ids: DataFrame) -> np.ndarray:
-    """Fixed-size bit set of all ids (4 MB whatever their number)."""
-    rows = ids.mapInArrow(lean(_bloom_build), "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).astype(np.uint8)
+    """Bit set of all ids, sized by their number; it is merged in parts, and the driver gets its bytes only."""
+    n = max(1, ids.count())
+    bits = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (BLOOM_SHARE * n - 1).bit_length()))
+
+    def build(frames):
+        out = np.zeros(bits // 8, np.uint8)
+        for frame in frames:
+            for at, bit in _places(frame.column(0).to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(out, at, bit)
+        whole = out.reshape(-1, BLOOM_PART)
+        parts = np.flatnonzero(whole.any(axis=1))
+        for i in range(0, len(parts), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + 256].astype(np.int32)), pa.array([whole[p].tobytes() for p in parts[i : i + 256]], pa.binary())], names=["part", "bits"])
+
+    def merge(frames):
+        held: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for part, data in zip(frame.column("part").to_pylist(), frame.column("bits")):
+                new = np.frombuffer(data.as_py(), np.uint8)
+                held[part] = held[part] | new if part in held else new
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "bits"])
+
+    kind = "part int, bits binary"
+    rows = ids.mapInArrow(lean(build), kind).repartition("part").mapInArrow(lean(merge), kind).toPandas()
+    out = np.zeros(bits // 8, np.uint8)
+    for part, data in zip(rows["part"], rows["bits"]):
+        out[part * BLOOM_PART : (part + 1) * BLOOM_PART] = np.frombuffer(data, np.uint8)
     return out
 
 
 def _in_bloom(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     out = np.ones(len(ids), bool)
-    for salt in (1, 2):
-        at = mix64(ids.view(U64) + U64(salt << 40)) & U64(BLOOM_BITS - 1)
-        out &= (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+    for at, bit in _places(ids, 8 * len(bits)):
+        out &= bits[at] & bit != 0
     return out
 
 
@@ -353,8 +387,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     reps = materialize(spark, usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("p1").alias("p1"), F.min("p2").alias("p2")), "njoin-reps")
     groups = materialize(spark, reps.groupBy("p1", "p2").agg(F.min("rep").alias("g"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members")), "njoin-groups")
     heads = usable.select("doc_id", "prefix", "s1", "s2").join(groups.select("g", "n", "members"), F.col("doc_id") == F.col("g"))
-    parts = shuffle_partitions(spark)
-    lists = materialize(spark, postings(heads, parts).repartitionById(parts, "bucket").mapInArrow(lean(_lists), LISTS), "njoin-lists")
+    entries = groups.agg(F.sum(_prefix("n"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), int(-(-entries // BUCKET_ENTRIES)))
+    lists = materialize(spark, postings(heads, parts, heavy).repartitionById(parts, "bucket").mapInArrow(lean(_lists), LISTS), "njoin-lists")
     members = materialize(spark, reps.join(groups.where("members > 1").select("p1", "p2", "g"), ["p1", "p2"]).select("g", "rep", "n"), "njoin-members")
     # likely pairs first: those that share their pivot in a good part of the prefix; step 4 is exact for the rest
     shared = lists.where((F.col("g") != F.col("pg")) & _fits("n", "at", "pn", "pat")).groupBy("g", "pg").agg(F.count(F.lit(1)).alias("k"), F.least(F.min("n"), F.min("pn")).alias("low"))
@@ -418,9 +453,10 @@ def residual_pairs(spark: SparkSession, held: DataFrame) -> DataFrame:
     return found.where(F.col("k") + F.least("long_a", "long_b") + rest >= need).select(*_pair("rep_a", "rep_b"))
 
 
-def _cells(spark: SparkSession, cluster: DataFrame, values: DataFrame) -> DataFrame:
-    """Cuts every cluster into blocks; a row for each pair of blocks that a member's block is in."""
-    sizes = materialize(spark, cluster.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")), "njoin-sizes")
+def _cells(spark: SparkSession, cluster: DataFrame, values: DataFrame, rows: int, words: int) -> DataFrame:
+    """Cuts every cluster into blocks of about so many rows and shingles; a row for each pair of blocks that a member's block is in."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum("n") / words)).cast("int")
+    sizes = materialize(spark, cluster.groupBy("pivot").agg(blocks.alias("blocks")), "njoin-sizes")
     placed = cluster.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
     placed = placed.join(values, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return placed.select("pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", *[c for c in values.columns if c != "rep"])
@@ -432,8 +468,8 @@ def active(spark: SparkSession, cluster: DataFrame, sketches: DataFrame) -> Data
     Two sets share at most the sum over ranges of the smaller count, so no link is lost; documents
     that only have a passage in common fall out here, before any set is fetched.
     """
-    kept = _cells(spark, cluster.select("pivot", "rep"), sketches).groupBy("pivot", "lo", "hi").applyInArrow(_active, "pivot long, rep long")
-    return materialize(spark, kept.distinct(), "njoin-active")
+    kept = _cells(spark, cluster, sketches, SKETCH_BLOCK, 1 << 40).groupBy("pivot", "lo", "hi").applyInArrow(_active, "pivot long, rep long")
+    return materialize(spark, kept.distinct().join(cluster, ["pivot", "rep"]), "njoin-active")
 
 
 def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -479,7 +515,7 @@ def residual_cells(spark: SparkSession, sets: DataFrame, cluster: DataFrame) ->
     list meets in its cluster. A cluster is cut into blocks; each pair of blocks is a group of
     bounded size that counts all intersections of its sets at once and returns a spanning forest.
     """
-    cells = _cells(spark, cluster, sets.withColumnRenamed("doc_id", "rep"))
+    cells = _cells(spark, cluster, sets.withColumnRenamed("doc_id", "rep"), SET_BLOCK, SET_WORDS)
     return materialize(spark, cells.groupBy("pivot", "lo", "hi").applyInArrow(_cell, "a long, b long"), "njoin-cell-links")
 
 
