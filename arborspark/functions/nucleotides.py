@@ -66,6 +66,31 @@ def impute(par: Column, mut: Column) -> Column:
     return F.when(both != 0, both).otherwise(first_allele(mut))
 
 
+def is_valid(par: Column, mut: Column) -> Column:
+    """FN-5: an event that changes something."""
+    return par != mut
+
+
+def reversed_event(event: Column) -> Column:
+    """FN-5: struct(pos, par, mut) turned round."""
+    return F.struct(event["pos"].alias("pos"), event["mut"].alias("par"), event["par"].alias("mut"))
+
+
+def split_chars(text: Column, separator: str) -> Column:
+    """FN-6, QX-2: all fields, empty ones too."""
+    return F.split(text, "\\Q" + separator + "\\E", -1)
+
+
+def split_words(text: Column) -> Column:
+    """FN-6: fields between runs of white space."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def log10_ratio(one: Column, two: Column) -> Column:
+    """FN-13."""
+    return F.log10(one / two)
+
+
 def complement(seq: Column) -> Column:
     """FN-7; unknown letters become N."""
     upper = F.translate(seq, "acgtmrwsykvhdb", "ACGTMRWSYKVHDB")

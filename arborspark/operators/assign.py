@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborspark.functions.nucleotides import first_allele
-from arborspark.plans.scratch import materialize
+from arborspark.plans.scratch import materialize, release
 
 
 def majority(sets) -> list:
@@ -19,32 +19,80 @@ def majority(sets) -> list:
 
 
 def fitch(node: DataFrame, leaf_sets: DataFrame) -> DataFrame:
-    """FS-1, FS-2: ``leaf_sets(node, pos, ref, allele)`` -> events (node, pos, par, mut)."""
+    """FS-1, FS-2: ``leaf_sets(node, pos, ref, allele)`` -> events (node, pos, par, mut).
+
+    Only sets other than the reference alone are kept: a leaf without an entry has the reference, and a
+    parent's count for the reference is its number of children less the listed ones. So tables have a row
+    per difference and not one per node and site. FS-6: ambiguous leaf alleles are sets like any other.
+    """
     top = node.agg(F.max("level")).first()[0]
-    where = node.select("node", "parent", "level")
-    leaves = leaf_sets.join(where, "node")
+    kids = node.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
+    where = materialize(node.select("node", "parent", "level").join(kids, "node", "left"), "fitch-nodes")
+    leaves = leaf_sets.where("allele <> ref").join(where, "node")
     done: dict[int, DataFrame] = {}
     for level in range(top, -1, -1):
         here = leaves.where(F.col("level") == level).select("node", "parent", "pos", "ref", F.col("allele").alias("set"))
         if level + 1 in done:
-            counts = done[level + 1].groupBy(F.col("parent").alias("node"), "pos", "ref").agg(*majority(F.col("set")))
+            counts = done[level + 1].groupBy(F.col("parent").alias("node"), "pos", "ref").agg(*majority(F.col("set")), F.count(F.lit(1)).alias("listed"))
+            inner = counts.join(where.where(F.col("level") == level), "node")
+            for i in range(4):
+                inner = inner.withColumn(f"s{i}", F.col(f"s{i}") + F.when(F.col("ref") == 1 << i, F.col("kids") - F.col("listed")).otherwise(0))
             most = F.greatest("s0", "s1", "s2", "s3")
-            inner = counts.withColumn("set", sum((F.when(F.col(f"s{i}") == most, 1 << i).otherwise(0) for i in range(4)), F.lit(0))).select("node", "pos", "ref", "set")
-            here = here.union(inner.join(where, "node").select("node", "parent", "pos", "ref", "set"))
+            inner = inner.withColumn("set", sum((F.when(F.col(f"s{i}") == most, 1 << i).otherwise(0) for i in range(4)), F.lit(0)))
+            here = here.union(inner.where("set <> ref").select("node", "parent", "pos", "ref", "set"))
         done[level] = materialize(here, "fitch-up")
     events, above = None, None
     for level in range(top + 1):
         if above is None:
             here = done[level].withColumn("par", F.col("ref"))
         else:
-            here = done[level].join(above.select(F.col("node").alias("parent"), "pos", F.col("mut").alias("par")), ["parent", "pos"])
+            # children of a parent off the reference, and listed children of any parent
+            parents = above.where("mut <> ref").select(F.col("node").alias("parent"), "pos", "ref", F.col("mut").alias("par"))
+            below = parents.join(where.where(F.col("level") == level).select("node", "parent"), "parent")
+            here = done[level].join(below, ["node", "parent", "pos", "ref"], "full").select("node", "pos", "ref", F.coalesce("set", "ref").alias("set"), F.coalesce("par", "ref").alias("par"))
         chosen = F.when(F.col("set").bitwiseAND(F.col("par")) != 0, F.col("par")).otherwise(first_allele(F.col("set")))
-        above = materialize(here.select("node", "pos", "par", chosen.alias("mut")), "fitch-down")
-        new = above.where("par <> mut")
+        above = materialize(here.select("node", "pos", "ref", "par", chosen.alias("mut")), "fitch-down")
+        new = above.where("par <> mut").select("node", "pos", "par", "mut")
         events = new if events is None else events.union(new)
+    release(*done.values())
     return events
 
 
+def reassign(node: DataFrame, closed: DataFrame, event: DataFrame, changed: DataFrame, leaf_sets: DataFrame) -> DataFrame:
+    """FS-5: events after the sites of ``changed(pos)`` got new leaf sets: those sites are assigned again, others keep theirs."""
+    sites = F.broadcast(changed.select("pos").distinct()) if changed.count() < 100_000 else changed.select("pos").distinct()
+    new = fitch(node, leaf_sets.join(sites, "pos", "left_semi"))
+    ref = leaf_sets.select("pos", "ref").distinct()
+    return event.join(sites, "pos", "left_anti").select("node", "pos", "ref", "par", "mut").unionByName(new.join(ref, "pos").select("node", "pos", "ref", "par", "mut"))
+
+
+def boundary_alleles(node: DataFrame, leaf_sets: DataFrame) -> DataFrame:
+    """FS-2, OP-3: (node, pos, ref, major, boundary): alleles that most children hold, and those one child short of it.
+
+    Where a set of one child changes, an allele of ``major`` or ``boundary`` is all that the parent's can become.
+    ``leaf_sets`` lists differences from the reference.
+    """
+    top = node.agg(F.max("level")).first()[0]
+    kids = node.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
+    where = materialize(node.select("node", "parent", "level").join(kids, "node", "left"), "boundary-nodes")
+    leaves = leaf_sets.where("allele <> ref").join(where, "node")
+    below, out = None, None
+    for level in range(top, -1, -1):
+        here = leaves.where(F.col("level") == level).select("node", "parent", "pos", "ref", F.col("allele").alias("set"))
+        if below is not None:
+            inner = below.groupBy(F.col("parent").alias("node"), "pos", "ref").agg(*majority(F.col("set")), F.count(F.lit(1)).alias("listed")).join(where.where(F.col("level") == level), "node")
+            for i in range(4):
+                inner = inner.withColumn(f"s{i}", F.col(f"s{i}") + F.when(F.col("ref") == 1 << i, F.col("kids") - F.col("listed")).otherwise(0))
+            most = F.greatest("s0", "s1", "s2", "s3")
+            bits = lambda short: sum((F.when(F.col(f"s{i}") == most - short, 1 << i).otherwise(0) for i in range(4)), F.lit(0))
+            inner = materialize(inner.withColumns({"major": bits(0), "boundary": bits(1)}), "boundary")
+            new = inner.select("node", "pos", "ref", "major", "boundary")
+            out = new if out is None else out.union(new)
+            here = here.union(inner.where("major <> ref").select("node", "parent", "pos", "ref", F.col("major").alias("set")))
+        below = materialize(here, "boundary-sets")
+    return out if out is not None else leaves.select("node", "pos", "ref", F.lit(0).alias("major"), F.lit(0).alias("boundary")).limit(0)
+
+
 def least_back_mutations(node: DataFrame, leaf_sets: DataFrame) -> DataFrame:
     """FS-3: as ``fitch``, but with the fewest back mutations among the assignments with the fewest events.
 

@@ -7,10 +7,13 @@ so destinations are found by equal events and no pair of other nodes is formed.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.operators import assign, grow, recombine
+from arborspark.operators import assign, grow, recombine, tree
 from arborspark.plans.analog import Bundle
 from arborspark.plans.rebuild import rebuild
 from arborspark.plans.scratch import materialize
@@ -73,26 +76,55 @@ def apply_moves(b: Bundle, chosen: DataFrame, tag: str) -> Bundle:
     return rebuild(old.union(new), kept.union(need.select(F.col("sample").alias("node"), "pos", "ref", "par", "mut")))
 
 
+def leaf_sets(b: Bundle) -> DataFrame:
+    """Leaf alleles other than the reference: (node, pos, ref, allele)."""
+    return b.state.where("mut <> ref").join(b.leaf.select("node"), "node", "left_semi").select("node", "pos", "ref", F.col("mut").alias("allele"))
+
+
 def reassign(b: Bundle) -> Bundle:
     """FS-4: events made anew from the leaves' states."""
     sites = b.event.select("pos", "ref").distinct()
-    grid = b.leaf.select("node").join(sites).join(b.state.select("node", "pos", "mut"), ["node", "pos"], "left").select("node", "pos", "ref", F.coalesce("mut", "ref").alias("allele"))
-    events = assign.fitch(b.node, grid).join(sites, "pos").select("node", "pos", "ref", "par", "mut")
+    events = assign.fitch(b.node, leaf_sets(b)).join(sites, "pos").select("node", "pos", "ref", "par", "mut")
     return rebuild(b.node.select("node", "parent", "c0", "c1"), events)
 
 
-def optimize(b: Bundle, radius: int, rounds: int = 10, least: float = 0.0005) -> Bundle:
-    """OP-7, OP-8: rounds of independent moves until one lowers the events by a share of no more than ``least``; moves that wait are found anew."""
-    total = b.event.count()
+def optimize(b: Bundle, radius: int, rounds: int = 10, least: float = 0.0005, doubling: bool = False, drift: int = 0, seconds: float | None = None, accept: Callable[[DataFrame], DataFrame] | None = None) -> Bundle:
+    """OP-7, OP-8: rounds of independent moves; moves that wait are found anew.
+
+    Rounds end when one lowers the events by a share of no more than ``least``, after ``rounds`` rounds or
+    ``seconds``. With ``doubling`` such a round doubles the radius instead, up to the tree's width. Then up to ``drift``
+    rounds assign all states anew, which keeps the score and opens other moves. UD-1: ``accept`` gets the found
+    moves (s, d, lca, delta) and returns those that may be made.
+    """
+    total, began = b.event.count(), time.monotonic()
+    widest = 2 * (b.node.agg(F.max("level")).first()[0] or 1)
     for k in range(rounds):
-        chosen = materialize(independent(b, moves(b, radius)), "accepted")
-        if not chosen.take(1):
+        if seconds is not None and time.monotonic() - began > seconds:
             break
-        b = apply_moves(b, chosen, f"move{k}")
-        now = b.event.count()
-        if total - now <= least * total:
+        found = moves(b, radius)
+        chosen = materialize(independent(b, found if accept is None else accept(found)), "accepted")
+        now = total
+        if chosen.take(1):
+            b = apply_moves(b, chosen, f"move{k}")
+            now = b.event.count()
+        done, total = total - now <= least * total, now
+        if done and doubling and radius < widest:
+            radius *= 2
+        elif done and drift > 0:
+            again = reassign(b)
+            b, drift = (again, drift - 1) if again.event.count() <= total else (b, 0)
+        elif done:
             break
-        total = now
+    return b
+
+
+def interleaved(b: Bundle, samples: DataFrame, per_round: int, radius: int = 4, rounds: int = 1) -> Bundle:
+    """OP-10: samples are placed ``per_round`` at a time, in order of name, and the tree is optimized after each lot."""
+    names = tree.ordered_index(samples.select("sample").distinct(), ["sample"], "_at").withColumn("lot", F.floor(F.col("_at") / per_round))
+    rows = materialize(samples.join(names.select("sample", "lot"), "sample"), "lots")
+    for lot in range(-(-names.count() // per_round)):
+        b = grow.place_all(b, rows.where(F.col("lot") == lot).drop("lot"))
+        b = optimize(b, radius, rounds)
     return b
 
 

@@ -2,8 +2,9 @@
 
 A placement's score is the number of changes on the sample's new branch. At a node whose events the
 sample shares, they join the base state; elsewhere the state above the node holds. The score is the
-total for the state above, corrected only at sites where sample and tree both have an entry, so the
-wide part is one row per (sample, node) and the rest are equi-joins on sites.
+total for the state above, corrected only at sites where sample and tree both have an entry. ``scores``
+has a row for every (sample, node); the search for the best placements (``minima``) only for pairs that share a
+site, and bounds the others.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from arborspark.operators import tree
 from arborspark.plans.analog import Bundle
+from arborspark.plans.scratch import materialize
 
 #: Up to so many samples are broadcast against all nodes; more are joined without a broadcast.
 BATCH = 4096
@@ -47,19 +50,104 @@ def scores(b: Bundle, samples: DataFrame) -> DataFrame:
     return above.join(at, ["sample", "node"], "left").select("sample", "node", (F.col("above") + F.coalesce("gain", zero)).alias("score"), F.coalesce("n_common", zero).alias("n_common"), F.coalesce("n_unique", zero).alias("n_unique"))
 
 
+def _kind() -> Column:
+    return (~F.col("is_leaf") & (F.col("n_unique") > 0) & (F.col("n_common") > 0)) | (F.col("is_leaf") & (F.col("n_common") > 0)) | (~F.col("is_leaf") & (F.col("n_unique") == 0))
+
+
 def admissible(b: Bundle, scored: DataFrame) -> DataFrame:
     """PL-2: internal nodes with a part of their events shared, leaves with any, internal nodes with all."""
-    kind = scored.join(b.node.select("node", "is_leaf", "n_leaves", "dfs"), "node")
-    return kind.where((~F.col("is_leaf") & (F.col("n_unique") > 0) & (F.col("n_common") > 0)) | (F.col("is_leaf") & (F.col("n_common") > 0)) | (~F.col("is_leaf") & (F.col("n_unique") == 0)))
+    return scored.join(b.node.select("node", "is_leaf", "n_leaves", "dfs"), "node").where(_kind())
 
 
-def minima(b: Bundle, samples: DataFrame) -> DataFrame:
-    """WN-8: every admissible placement with the sample's least score."""
-    return admissible(b, scores(b, samples)).withColumn("r", F.rank().over(W.partitionBy("sample").orderBy("score"))).where("r = 1").drop("r")
+def sparse_scores(b: Bundle, samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """PL-4: (names(sample, own), base(node, ...), scored): scores only where sample and node share a site.
+
+    Elsewhere a score is ``own + base``: the sample's distance from the reference, plus the state above
+    the node less the node's own reversions. ``scored`` has those rows in which a site changes that.
+    """
+    entries = materialize(samples.select("sample", "pos", "allele"), "place-entries")
+    names = materialize(samples.groupBy("sample").agg(F.sum(_cost(F.col("ref"), F.col("allele"), F.col("ref"))).alias("own")), "place-names")
+    up = b.node.where("parent is not null").select("node", F.col("parent").alias("up"), "is_leaf", "n_leaves", "dfs")
+    width = b.state.where("mut <> ref").groupBy(F.col("node").alias("up")).agg(F.count(F.lit(1)).alias("depth"))
+    back = (F.col("mut") == F.col("ref")).cast("long")
+    own = b.event.groupBy("node").agg(F.sum(back).alias("c0"), F.sum(1 - back).alias("u0"))
+    zero = F.lit(0)
+    base = up.join(width, "up", "left").join(own, "node", "left").select("node", "up", "is_leaf", "n_leaves", "dfs", (F.coalesce("depth", zero) - F.coalesce("c0", zero)).alias("base"), F.coalesce("c0", zero).alias("c0"), F.coalesce("u0", zero).alias("u0"))
+    base = materialize(base, "place-base")
+    met = b.state.select(F.col("node").alias("up"), "pos", "ref", F.col("mut").alias("base")).join(entries, "pos")
+    fix = met.groupBy("up", "sample").agg(F.sum(_cost(F.col("base"), F.col("allele"), F.col("ref")) - (F.col("base") != F.col("ref")).cast("long") - _cost(F.col("ref"), F.col("allele"), F.col("ref"))).alias("delta"))
+    above = fix.join(base.select("up", "node"), "up").select("sample", "node", "delta", zero.cast("long").alias("dc"))
+    common = F.col("allele").bitwiseAND(F.col("mut")) != 0
+    at = b.event.where("node is not null").join(entries, "pos").join(base.select("node"), "node")
+    gain = F.when(common, -_cost(F.col("par"), F.col("allele"), F.col("ref"))).otherwise(0) + back
+    own_sites = at.select("sample", "node", gain.cast("long").alias("delta"), (common.cast("long") - back).alias("dc"))
+    pairs = above.union(own_sites).groupBy("sample", "node").agg(F.sum("delta").alias("delta"), F.sum("dc").alias("dc"))
+    scored = pairs.join(base, "node").join(names, "sample").select("sample", "node", (F.col("own") + F.col("base") + F.col("delta")).alias("score"), (F.col("c0") + F.col("dc")).alias("n_common"), (F.col("u0") - F.col("dc")).alias("n_unique"))
+    return names, base, materialize(scored, "place-scored")
 
 
-def best(b: Bundle, samples: DataFrame) -> DataFrame:
-    """PL-3: (sample, node, score, epp): the chosen minimum (more leaves, then larger dfs) and their number."""
+def minima(b: Bundle, samples: DataFrame) -> DataFrame:
+    """WN-8, PL-4: every admissible placement with the sample's least score: (sample, node, score, n_common, n_unique, is_leaf, n_leaves, dfs).
+
+    The least score among nodes that share a site with the sample bounds the search among all others:
+    of these only nodes whose ``own + base`` does not exceed it are looked at.
+    """
+    names, base, scored = sparse_scores(b, samples)
+    near = admissible(b, scored)
+    other = base.select("node", F.col("c0").alias("n_common"), F.col("u0").alias("n_unique"), "is_leaf", "n_leaves", "dfs", "base").where(_kind())
+    least = other.agg(F.min("base")).first()[0]
+    if least is not None:
+        found = names.join(near.groupBy("sample").agg(F.min("score").alias("s")), "sample", "left")
+        limit = F.coalesce(F.col("s") - F.col("own"), F.lit(least)).cast("long")
+        levels = found.withColumn("limit", limit).where(F.col("limit") >= least).select("sample", "own", F.explode(F.sequence(F.lit(least).cast("long"), "limit")).alias("base"))
+        far = levels.join(other, "base").join(scored.select("sample", "node"), ["sample", "node"], "left_anti")
+        near = near.unionByName(far.select("sample", "node", (F.col("own") + F.col("base")).alias("score"), "n_common", "n_unique", "is_leaf", "n_leaves", "dfs"))
+    return near.withColumn("r", F.rank().over(W.partitionBy("sample").orderBy("score"))).where("r = 1").drop("r")
+
+
+def best(b: Bundle, samples: DataFrame, distance: DataFrame | None = None) -> DataFrame:
+    """PL-3: (sample, node, score, epp): the chosen minimum and the number of minima.
+
+    QX-6 (the first entry is not the best one by rule): a minimum at a smaller ``distance(sample, node, distance)``
+    comes first, then one with more leaves, then the larger dfs. New samples have no distance; a
+    sample placed again has that from where it was.
+    """
     w = W.partitionBy("sample")
-    ranked = minima(b, samples).withColumn("i", F.row_number().over(w.orderBy(F.col("n_leaves").desc(), F.col("dfs").desc()))).withColumn("epp", F.count(F.lit(1)).over(w))
+    rows = minima(b, samples)
+    rows = rows.withColumn("distance", F.lit(0)) if distance is None else rows.join(distance, ["sample", "node"], "left")
+    order = w.orderBy(F.col("distance").asc_nulls_last(), F.col("n_leaves").desc(), F.col("dfs").desc())
+    ranked = rows.withColumn("i", F.row_number().over(order)).withColumn("epp", F.count(F.lit(1)).over(w))
     return ranked.where("i = 1").select("sample", "node", "score", "epp")
+
+
+def per_node(b: Bundle, samples: DataFrame) -> DataFrame:
+    """PL-12: (sample, node, score) of every node without adding the sample; a placement equal to one at a neighbour costs 1 more."""
+    scored = scores(b, samples)
+    fit = admissible(b, scored).select("sample", "node", F.lit(0).alias("extra"))
+    return scored.join(fit, ["sample", "node"], "left").select("sample", "node", (F.col("score") + F.coalesce("extra", F.lit(1))).alias("score"))
+
+
+def with_runs(b: Bundle, samples: DataFrame, runs: DataFrame, width: int = 1024) -> DataFrame:
+    """JO-2: ``samples(sample, pos, ref, allele)`` and ``runs(sample, start, stop)`` of unknown bases -> samples.
+
+    Unknown bases match every state, so only sites of the tree matter: these are range-joined with the
+    runs and become entries of allele 15, in place of a point entry there.
+    """
+    sites = b.event.select(F.col("pos").alias("x"), "ref").distinct()
+    hit = tree.range_join(sites, runs.select("sample", F.col("start").alias("lo"), F.col("stop").alias("hi")), width)
+    unknown = hit.select("sample", F.col("x").alias("pos"), "ref", F.lit(15).alias("allele")).distinct()
+    return samples.select("sample", "pos", "ref", "allele").join(unknown.select("sample", "pos"), ["sample", "pos"], "left_anti").union(unknown)
+
+
+def index(b: Bundle) -> DataFrame:
+    """PL-5, OP-4: (pos, mut, dfs, dfs_end, node, level): where each allele of a site begins, as dfs intervals."""
+    return b.event.join(b.node.select("node", "dfs", "dfs_end", "level"), "node").select("pos", "mut", "dfs", "dfs_end", "node", "level")
+
+
+def shared_events(b: Bundle, samples: DataFrame) -> DataFrame:
+    """PL-5: (sample, node, shared): for nodes with an event that the sample shares, how many of the events above or
+    at the node it shares; by the index, without a row for other nodes."""
+    hits = index(b).join(samples.where("allele <> ref").select("sample", "pos", "allele"), "pos").where(F.col("allele").bitwiseAND(F.col("mut")) != 0)
+    at = hits.select("sample", "node").distinct()
+    above = hits.select("sample", F.col("node").alias("anc"), "pos").distinct()
+    return at.join(b.closure.select("node", "anc"), "node").join(above, ["sample", "anc"]).groupBy("sample", "node").agg(F.countDistinct("pos").alias("shared"))

@@ -46,11 +46,17 @@ def spectrum(b: Bundle) -> DataFrame:
     return grid.join(found, ["par", "mut"], "left").select(letter(F.col("par")).alias("from_base"), letter(F.col("mut")).alias("to_base"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def aberrant(b: Bundle) -> DataFrame:
-    """AG-6: duplicate ids and internal non-root nodes without an event."""
+def aberrant(b: Bundle, annotations: DataFrame | None = None) -> DataFrame:
+    """AG-6: duplicate ids, internal non-root nodes without an event, and nodes of ``annotations(node, labels)`` whose
+    number of labels is not the most common one."""
     twice = b.node.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.lit("duplicate-node-id").alias("issue"))
     empty = event_counts(b).where("n = 0 and not is_leaf and parent is not null").select("node", F.lit("internal-no-mutations").alias("issue"))
-    return twice.union(empty)
+    out = twice.union(empty)
+    if annotations is not None:
+        usual = annotations.groupBy(F.size("labels").alias("_n")).agg(F.count(F.lit(1)).alias("_k")).agg(F.max_by("_n", F.struct("_k", "_n")).alias("_n"))
+        wrong = annotations.join(F.broadcast(usual)).where(F.size("labels") != F.col("_n")).select("node", F.lit("annotation-count").alias("issue"))
+        out = out.union(wrong)
+    return out
 
 
 def sample_clades(b: Bundle) -> DataFrame:
@@ -76,16 +82,37 @@ def roho(b: Bundle, least: int = 5) -> DataFrame:
     return others.select("mutation", "parent", "child_count", "with_count", median.cast("long").alias("median_without")).withColumn("log10_ratio", F.round(F.log10(F.col("with_count") / F.col("median_without")), 9))
 
 
+def reversions(b: Bundle) -> DataFrame:
+    """AG-9: (node, reversions): events since the last labelled node above (none at or without one) that go back to the reference
+    at a site that differs at that node. QX-15: a later event at the site counts as well."""
+    labelled = b.node.where("c0 is not null or c1 is not null").select(F.col("node").alias("anc"))
+    last = b.closure.join(labelled, "anc").groupBy("node").agg(F.min("dist").alias("up"), F.min_by("anc", "dist").alias("clade")).where("up > 0")
+    off = b.state.where("mut <> ref").select(F.col("node").alias("clade"), "pos")
+    since = last.join(b.closure, "node").where("dist < up").select("node", "clade", "anc")
+    back = b.event.where("mut = ref").select(F.col("node").alias("anc"), "pos")
+    return since.join(back, "anc").join(off, ["clade", "pos"]).groupBy("node").agg(F.count(F.lit(1)).alias("reversions"))
+
+
 def node_stats(b: Bundle) -> DataFrame:
-    """AG-9: leaves, events at and below each node, and their ratio."""
+    """AG-9: leaves, events at and below each node, their ratio, and reversions since the last label."""
     n = b.closure.join(b.event.groupBy("node").agg(F.count(F.lit(1)).alias("k")), "node").groupBy(F.col("anc").alias("node")).agg(F.sum("k").alias("mut_count"))
-    return b.node.select("node", F.col("n_leaves").alias("leaf_count")).join(n, "node", "left").select("node", "leaf_count", F.coalesce("mut_count", F.lit(0)).alias("mut_count")).withColumn("mut_density", F.round(F.col("mut_count") / F.col("leaf_count"), 9))
+    out = b.node.select("node", F.col("n_leaves").alias("leaf_count")).join(n, "node", "left").select("node", "leaf_count", F.coalesce("mut_count", F.lit(0)).alias("mut_count")).withColumn("mut_density", F.round(F.col("mut_count") / F.col("leaf_count"), 9))
+    return out.join(reversions(b), "node", "left").withColumn("reversions", F.coalesce("reversions", F.lit(0)))
 
 
-def totals(b: Bundle) -> DataFrame:
-    """AG-10."""
-    nodes = b.node.agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("is_leaf").cast("long")).alias("samples"), F.max(F.when(F.col("is_leaf"), F.col("level"))).cast("long").alias("max_depth"), F.round(F.avg(F.when(F.col("is_leaf"), F.col("level"))), 9).alias("mean_depth"))
-    return nodes.join(b.event.agg(F.count(F.lit(1)).alias("parsimony")))
+def totals(b: Bundle, condensed: DataFrame | None = None) -> DataFrame:
+    """AG-10: one row for the tree; ``condensed(node, n)`` adds condensed nodes and the samples in them."""
+    nodes = b.node.agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.sum(F.col("is_leaf").cast("long")).alias("samples"),
+        F.max(F.when(F.col("is_leaf"), F.col("level"))).cast("long").alias("max_depth"),
+        F.round(F.avg(F.when(F.col("is_leaf"), F.col("level"))), 9).alias("mean_depth"),
+        (F.countDistinct("c0") + F.countDistinct("c1")).alias("labels"),
+    )
+    out = nodes.join(b.event.agg(F.count(F.lit(1)).alias("parsimony")))
+    if condensed is None:
+        return out
+    return out.join(condensed.agg(F.count(F.lit(1)).alias("condensed_nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("condensed_samples")))
 
 
 def allele_counts(b: Bundle) -> DataFrame:
@@ -125,3 +152,39 @@ def paths(b: Bundle) -> DataFrame:
     own = b.event.groupBy(F.col("node").alias("anc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "par", "mut"))), lambda s: literal(s["par"], s["pos"], s["mut"])), ",").alias("m"))
     steps = b.closure.join(b.leaf.select("node"), "node").join(own, "anc").withColumn("step", F.concat("anc", F.lit(":"), "m"))
     return steps.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "step"))), lambda s: s["step"]), " ").alias("path"))
+
+
+def labelled_paths(b: Bundle) -> DataFrame:
+    """DE-2: (clade, path): the mutation path from the root to the first node in breadth-first order with each label."""
+    named = b.node.select("node", "level", "dfs", F.explode(F.array("c0", "c1")).alias("clade")).where("clade is not null")
+    at = named.groupBy("clade").agg(F.min_by("node", F.struct("level", "dfs")).alias("node"))
+    own = b.event.groupBy(F.col("node").alias("anc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "par", "mut"))), lambda s: literal(s["par"], s["pos"], s["mut"])), ",").alias("m"))
+    steps = at.join(b.closure, "node").join(own, "anc")
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "m"))), lambda s: s["m"]), " > ")
+    return at.join(steps.groupBy("clade").agg(path.alias("path")), "clade", "left").select("clade", "node", F.coalesce("path", F.lit("")).alias("path"))
+
+
+def leaves_per_node(b: Bundle) -> DataFrame:
+    """AG-16: (node, parent, leaves)."""
+    return b.node.select("node", "parent", F.col("n_leaves").alias("leaves"))
+
+
+def events_per_sample(before: Bundle, after: Bundle) -> DataFrame:
+    """AG-17: parsimony and samples of two trees, events per sample, and events per added sample."""
+    one, two = (t.node.agg(F.sum(F.col("is_leaf").cast("long")).alias(f"samples_{s}")).join(t.event.agg(F.count(F.lit(1)).alias(f"parsimony_{s}"))) for t, s in ((before, "before"), (after, "after")))
+    rate = lambda s: F.round(F.col(f"parsimony_{s}") / F.col(f"samples_{s}"), 9).alias(f"rate_{s}")
+    added = F.col("samples_after") - F.col("samples_before")
+    return one.join(two).select("*", rate("before"), rate("after"), F.when(added > 0, F.round((F.col("parsimony_after") - F.col("parsimony_before")) / added, 9)).alias("rate_added"))
+
+
+def recurrent(b: Bundle, least: int = 2) -> DataFrame:
+    """AG-20, AG-22: mutations on at least so many branches, with the nodes' exact and approximate number (partial sums per task, then final)."""
+    named = b.event.where("pos >= 0").select("node", literal(F.col("par"), F.col("pos"), F.col("mut")).alias("mutation"))
+    return named.groupBy("mutation").agg(F.countDistinct("node").alias("branches")).where(F.col("branches") >= least)
+
+
+def running_totals(b: Bundle) -> DataFrame:
+    """WN-3: (node, anc, total): events from the root down to and including each ancestor-or-self of a leaf."""
+    n = event_counts(b).select(F.col("node").alias("anc"), "n")
+    path = b.closure.join(b.leaf.select("node"), "node").join(n, "anc")
+    return path.select("node", "anc", F.sum("n").over(W.partitionBy("node").orderBy(F.col("dist").desc()).rowsBetween(W.unboundedPreceding, 0)).alias("total"))

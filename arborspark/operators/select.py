@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from arborspark.functions.nucleotides import matches
 from arborspark.plans.analog import Bundle
+from arborspark.plans.scratch import materialize
 
 
 def in_clade(b: Bundle, label: str) -> DataFrame:
@@ -31,12 +32,17 @@ def max_parsimony(b: Bundle, most: int) -> DataFrame:
 
 
 def representatives(b: Bundle, per_clade: int, seed: int = 1) -> DataFrame:
-    """SE-4: seeded pick of leaves for each label."""
-    labels = b.node.where("c0 is not null or c1 is not null").select(F.col("node").alias("anc"), F.coalesce("c0", "c1").alias("clade"))
-    rank = F.row_number().over(W.partitionBy("clade").orderBy(F.xxhash64("node", F.lit(seed)), "node"))
+    """SE-4: (clade, node): a seeded pick of leaves for each label of either column; all of them if there are no more."""
+    labels = b.node.select(F.col("node").alias("anc"), F.explode(F.array("c0", "c1")).alias("clade")).where("clade is not null")
+    rank = F.row_number().over(W.partitionBy("clade").orderBy(seeded("node", seed), "node"))
     return b.closure.join(labels, "anc").join(b.leaf.select("node"), "node").select("node", "clade").distinct().withColumn("i", rank).where(F.col("i") <= per_clade).select("clade", "node")
 
 
+def seeded(name: str, seed: int):
+    """QX-11: an order by an explicit seed."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(name)))
+
+
 def both(one: DataFrame, two: DataFrame) -> DataFrame:
     """SE-5, ST-1."""
     return one.join(two, "node", "left_semi")
@@ -65,7 +71,52 @@ def by_name(b: Bundle, pattern: str) -> DataFrame:
 
 def thin(samples: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """SE-11, SO-7: seeded thinning to n samples."""
-    return samples.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(n)
+    return samples.orderBy(seeded("node", seed), "node").limit(n)
+
+
+def fill(b: Bundle, samples: DataFrame, n: int, seed: int = 1, below_lca: bool = False) -> DataFrame:
+    """SE-11: the samples and seeded others up to n, of the whole tree or of what lies below their common ancestor; thinned if there are more."""
+    pool = under_lca(b, samples) if below_lca else b.leaf.select("node")
+    first = samples.select("node").distinct().withColumn("own", F.lit(0))
+    ranked = first.unionByName(pool.join(first, "node", "left_anti").withColumn("own", F.lit(1)))
+    return ranked.orderBy("own", seeded("node", seed), "node").limit(n).select("node")
+
+
+def sampled(nodes: DataFrame, share: float, seed: int = 1, blacklist: DataFrame | None = None) -> DataFrame:
+    """SE-18: a seeded share of the nodes, none of the blacklist."""
+    kept = nodes if blacklist is None else nodes.join(blacklist.select("node"), "node", "left_anti")
+    return kept if share >= 1 else kept.where(F.substring(seeded("node", seed), 1, 8) < f"{int(share * 2**32):08x}")
+
+
+def informative(genotypes: DataFrame) -> DataFrame:
+    """SE-19: sites at which not every sample is unknown."""
+    return genotypes.groupBy("pos").agg(F.max((F.col("allele") != 15).cast("int")).alias("_k")).where("_k = 1").select("pos")
+
+
+def union(*selections: DataFrame) -> DataFrame:
+    """ST-4: nodes of any selection, once."""
+    out = selections[0].select("node")
+    for s in selections[1:]:
+        out = out.union(s.select("node"))
+    return out.distinct()
+
+
+def first(samples: DataFrame, n: int, by: str = "dfs") -> DataFrame:
+    """SO-6."""
+    return samples.orderBy(by, "node").limit(n).select("node")
+
+
+def nearest_each(b: Bundle, targets: DataFrame, k: int) -> DataFrame:
+    """SE-6 for every one of ``targets(target)`` at once: (target, node, place). QX-16: all leaves if there are no more than k."""
+    path = targets.select("target").distinct().join(b.closure.withColumnRenamed("node", "target"), "target").join(b.node.select(F.col("node").alias("anc"), "n_leaves"), "anc")
+    top = path.groupBy("target").agg(F.max(F.when(F.col("n_leaves") <= k, F.struct("dist", "anc")))["anc"].alias("last"), F.min(F.when(F.col("n_leaves") > k, F.struct("dist", "anc")))["anc"].alias("wide"))
+    top = top.withColumn("top", F.coalesce("wide", "last"))
+    below = top.join(b.closure.select("node", F.col("anc").alias("top"), F.col("dist").alias("up")), "top").join(b.leaf.select("node", "dfs"), "node")
+    inside = top.join(b.closure.select("node", F.col("anc").alias("last")), "last").select("target", "node", F.lit(0).alias("outer"))
+    total = path_totals(b).select("node", "total")
+    far = below.join(total, "node").join(total.select(F.col("node").alias("top"), F.col("total").alias("base")), "top").join(inside, ["target", "node"], "left")
+    order = W.partitionBy("target").orderBy(F.coalesce("outer", F.lit(1)), F.col("total") - F.col("base"), "dfs")
+    return far.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("target", "node", "place")
 
 
 def nearest(b: Bundle, target: str, k: int) -> DataFrame:
@@ -103,11 +154,24 @@ def candidates(b: Bundle, min_events: int, min_leaves: int) -> DataFrame:
 
 
 def cover(b: Bundle, queries: list[str], k: int) -> dict[str, list[str]]:
-    """TR-29: {query: leaves}: for each query in order that no earlier set holds, its k nearest leaves; one small job for each set."""
-    found: dict[str, list[str]] = {}
-    left = list(dict.fromkeys(queries))
-    while left:
-        found[left[0]] = sorted(r["node"] for r in nearest(b, left[0], k).collect())
-        held = {left[0], *found[left[0]]}
-        left = [q for q in left if q not in held]
-    return found
+    """TR-29: {query: leaves}: for each query in order that no earlier set holds, its k nearest leaves.
+
+    The sets of all queries are found in one job. Only which queries lie in which set goes to the driver
+    for the greedy choice (queries times k rows at most), then the chosen sets.
+    """
+    spark = b.node.sparkSession
+    names = spark.createDataFrame([(q,) for q in dict.fromkeys(queries)], "target string")
+    sets = materialize(nearest_each(b, names, k), "cover-sets")
+    inside: dict[str, set[str]] = {}
+    for r in sets.join(names.withColumnRenamed("target", "node"), "node").select("target", "node").collect():
+        inside.setdefault(r["target"], set()).add(r["node"])
+    held: set[str] = set()
+    chosen = []
+    for q in dict.fromkeys(queries):
+        if q not in held:
+            chosen.append(q)
+            held |= {q} | inside.get(q, set())
+    found: dict[str, list[str]] = {q: [] for q in chosen}
+    for r in sets.where(F.col("target").isin(chosen)).collect():
+        found[r["target"]].append(r["node"])
+    return {q: sorted(v) for q, v in found.items()}

@@ -32,13 +32,9 @@ def ordered_index(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Adds the 0-based rank by ``keys``: range partitions are sorted apart, then shifted by their counts."""
     rows = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", 33)
-    counts = sorted(rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row per partition
-    base, total = [], 0
-    for p, n in counts:
-        base += [F.lit(p), F.lit(total)]
-        total += n
-    shift = F.create_map(*base)[part] if base else F.lit(0)
-    return rows.withColumn(out, (shift + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_at")
+    counts = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return rows.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(out, (F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_at", "_p", "_base")
 
 
 def with_intervals(node: DataFrame, closed: DataFrame) -> DataFrame:
@@ -155,13 +151,26 @@ def resolve_polytomies(node: DataFrame) -> DataFrame:
     return moved.union(new).union(node.where("parent is null").select("node", F.lit(None).cast("string").alias("parent")))
 
 
-def reroot(node: DataFrame, closed: DataFrame, event: DataFrame, new_root: str) -> tuple[DataFrame, DataFrame]:
-    """TR-20: (node, parent) and events with the edges of the root path turned round and their events inverted."""
-    path = closed.where(F.col("node") == new_root).select(F.col("anc").alias("node"), "dist")
+def reroot(node: DataFrame, closed: DataFrame, event: DataFrame, new_root: str, old_name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """TR-20: (node, parent) and events (node, pos, ref, par, mut) with ``new_root`` on top.
+
+    The edges of the root path are turned round and their events inverted. The reference of a site
+    becomes the state at the new root. A leaf stays a leaf: its parent becomes the root then. The former
+    root gets ``old_name`` if given; without it and with one child left, it keeps its place.
+    """
+    at = node.where(F.col("node") == new_root).select("is_leaf", "parent").first()
+    top = at["parent"] if at["is_leaf"] and at["parent"] is not None else new_root
+    path = closed.where(F.col("node") == top).select(F.col("anc").alias("node"), "dist")
     turned = path.where("dist > 0").join(path.select(F.col("node").alias("child"), (F.col("dist") + 1).alias("dist")), "dist").select("node", F.col("child").alias("to"))
-    edges = node.select("node", "parent").join(turned, "node", "left").select("node", F.when(F.col("node") == new_root, None).otherwise(F.coalesce("to", "parent")).alias("parent"))
+    edges = node.select("node", "parent").join(turned, "node", "left").select("node", F.when(F.col("node") == top, None).otherwise(F.coalesce("to", "parent")).alias("parent"))
     up = turned.select(F.col("to").alias("node"), F.col("node").alias("carrier"))
-    moved = event.join(up, "node", "left").select(F.coalesce("carrier", "node").alias("node"), "pos", F.when(F.col("carrier").isNull(), F.col("par")).otherwise(F.col("mut")).alias("par"), F.when(F.col("carrier").isNull(), F.col("mut")).otherwise(F.col("par")).alias("mut"))
+    net = state(closed.where(F.col("node") == top), event).select("pos", F.col("mut").alias("_ref"))
+    own = event.join(node.where("parent is null").select("node"), "node", "left_anti")  # events above the root only change its reference
+    moved = own.join(up, "node", "left").join(net, "pos", "left").select(F.coalesce("carrier", "node").alias("node"), "pos", F.coalesce("_ref", "ref").alias("ref"), F.when(F.col("carrier").isNull(), F.col("par")).otherwise(F.col("mut")).alias("par"), F.when(F.col("carrier").isNull(), F.col("mut")).otherwise(F.col("par")).alias("mut"))
+    if old_name:
+        old = node.where("parent is null").first()["node"]
+        name = lambda c: F.when(F.col(c) == old, old_name).otherwise(F.col(c)).alias(c)
+        edges, moved = edges.select(name("node"), name("parent")), moved.select(name("node"), "pos", "ref", "par", "mut")
     return edges, moved
 
 
@@ -183,16 +192,42 @@ def descendant_alleles(closed: DataFrame, event: DataFrame) -> DataFrame:
 
 
 def fold_up(node: DataFrame, leaf_value: str, merge, out: str) -> DataFrame:
-    """TR-4: bottom-up fold by level for rules that are no plain aggregate: parent value = merge(children)."""
+    """TR-4: bottom-up fold by level for rules that are no plain aggregate: parent value = merge(children); one table per level."""
     top = node.agg(F.max("level")).first()[0]
-    done = None
+    below = done = None
     for level in range(top, -1, -1):
-        here = node.where(F.col("level") == level).select("node", "parent", "is_leaf", F.expr(leaf_value).alias("_leaf"))
-        if done is None:
-            now = here.select("node", "parent", F.col("_leaf").alias(out))
-        else:
-            below = done.where(F.col("level") == level + 1).groupBy(F.col("parent").alias("node")).agg(merge(F.col(out)).alias("_v"))
-            now = here.join(below, "node", "left").select("node", "parent", F.when(F.col("is_leaf"), F.col("_leaf")).otherwise(F.col("_v")).alias(out))
-        now = now.withColumn("level", F.lit(level))
-        done = materialize(now if done is None else done.union(now.select(done.columns)), "fold")
+        now = node.where(F.col("level") == level).select("node", "parent", "is_leaf", F.expr(leaf_value).alias(out))
+        if below is not None:
+            kids = below.groupBy(F.col("parent").alias("node")).agg(merge(F.col(out)).alias("_v"))
+            now = now.join(kids, "node", "left").select("node", "parent", "is_leaf", F.when(F.col("is_leaf"), F.col(out)).otherwise(F.col("_v")).alias(out))
+        below = materialize(now.select("node", "parent", out), "fold")
+        done = below if done is None else done.union(below)
     return done.select("node", out)
+
+
+def node_distances(b_node: DataFrame, closed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """FN-14, TR-8: ``pairs(a, z)`` -> (a, z, distance) in edges, over the lowest common ancestor."""
+    up = pairs.select("a", "z").distinct().join(closed.select(F.col("node").alias("a"), "anc", F.col("dist").alias("da")), "a")
+    both = up.join(closed.select(F.col("node").alias("z"), "anc", F.col("dist").alias("dz")), ["z", "anc"])
+    return both.groupBy("a", "z").agg(F.min(F.col("da") + F.col("dz")).alias("distance"))
+
+
+def parsimony_score(event: DataFrame) -> DataFrame:
+    """TR-8: the valid events of the whole tree (masked ones included, no-ops left out)."""
+    return event.where("par <> mut").agg(F.count(F.lit(1)).alias("parsimony"))
+
+
+def within(closed: DataFrame, changed: DataFrame, radius: int) -> DataFrame:
+    """SE-17: nodes within ``radius`` edges of any of ``changed(node)``, these included."""
+    up = changed.select("node").distinct().join(closed.where(F.col("dist") <= radius), "node").groupBy("anc").agg(F.min("dist").alias("up"))
+    return up.join(closed.where(F.col("dist") <= radius), "anc").where(F.col("up") + F.col("dist") <= radius).select("node").distinct()
+
+
+def other_preorder(node: DataFrame) -> DataFrame:
+    """TR-24: (node, dfs, stack_dfs): the preorder that takes the last child first, beside dfs.
+
+    Before a node stand its ancestors, and the subtrees of later siblings of them and of itself: its number is
+    its level and all nodes that come after its subtree in dfs.
+    """
+    total = node.agg(F.count(F.lit(1)).alias("n"))
+    return node.join(F.broadcast(total)).select("node", "dfs", (F.col("n") - F.col("size") - F.col("dfs") + F.col("level")).cast("long").alias("stack_dfs"))

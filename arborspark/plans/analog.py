@@ -1,7 +1,8 @@
 """A tree bundle from the star-schema tables: root, regions, nations, customers, orders.
 
 Orders carry events from their line items; inner nodes from their keys. Regions label clade column 0,
-every tenth customer's market segment clade column 1. The bundle is written once per session and input.
+every tenth customer's market segment clade column 1. Every eleventh customer has no event, and a quarter of the
+order events go back to the reference, so the tree has empty inner nodes and reversions. The bundle is written once per session and input.
 """
 
 from __future__ import annotations
@@ -57,8 +58,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.row_number().over(W.partitionBy("l_orderkey", "pos").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     lines = t("lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"cast(l_partkey % {SITES} as int) pos").withColumn("i", first).where("i = 1")
     sources = [
-        lines.selectExpr("concat('o', l_orderkey) node", "pos", "cast((pos + 1 + l_suppkey % 3) % 4 as int) m"),
-        t("customer").selectExpr("concat('c', c_custkey) node", f"cast(c_custkey * 31 % {SITES} as int) pos").selectExpr("node", "pos", "(pos + 2) % 4 m"),
+        lines.selectExpr("concat('o', l_orderkey) node", "pos", "cast((pos + 1 + l_suppkey % 4) % 4 as int) m"),
+        t("customer").where("c_custkey % 11 <> 0").selectExpr("concat('c', c_custkey) node", f"cast(c_custkey * 31 % {SITES} as int) pos").selectExpr("node", "pos", "(pos + 2) % 4 m"),
         t("nation").selectExpr("concat('n', n_nationkey) node", f"cast(n_nationkey * 7 % {SITES} as int) pos").selectExpr("node", "pos", "(pos + 1) % 4 m"),
         t("region").selectExpr("concat('r', r_regionkey) node", f"cast(r_regionkey * 13 % {SITES} as int) pos").selectExpr("node", "pos", "(pos + 3) % 4 m"),
     ]
@@ -102,9 +103,9 @@ WITH rn AS (
 ), node AS MATERIALIZED (
   SELECT n0.*, size, n_leaves, dfs + size - 1 AS dfs_end FROM n0 JOIN sizes USING (node)
 ), raw_ev AS (
-  SELECT 'o' || l_orderkey AS node, pos, 1 << (pos % 4) AS ref, 1 << ((pos + 1 + l_suppkey % 3) % 4)::INT AS mut FROM (
+  SELECT 'o' || l_orderkey AS node, pos, 1 << (pos % 4) AS ref, 1 << ((pos + 1 + l_suppkey % 4) % 4)::INT AS mut FROM (
     SELECT l_orderkey, l_suppkey, (l_partkey % {SITES})::INT AS pos, row_number() OVER (PARTITION BY l_orderkey, l_partkey % {SITES} ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem) WHERE i = 1
-  UNION ALL SELECT node, pos, 1 << (pos % 4), 1 << ((pos + 2) % 4) FROM (SELECT 'c' || c_custkey AS node, (c_custkey * 31 % {SITES})::INT AS pos FROM customer)
+  UNION ALL SELECT node, pos, 1 << (pos % 4), 1 << ((pos + 2) % 4) FROM (SELECT 'c' || c_custkey AS node, (c_custkey * 31 % {SITES})::INT AS pos FROM customer WHERE c_custkey % 11 <> 0)
   UNION ALL SELECT node, pos, 1 << (pos % 4), 1 << ((pos + 1) % 4) FROM (SELECT 'n' || n_nationkey AS node, (n_nationkey * 7 % {SITES})::INT AS pos FROM nation)
   UNION ALL SELECT node, pos, 1 << (pos % 4), 1 << ((pos + 3) % 4) FROM (SELECT 'r' || r_regionkey AS node, (r_regionkey * 13 % {SITES})::INT AS pos FROM region)
 ), above AS (

@@ -45,7 +45,11 @@ on_bundle("ag4_haplotypes", f""", h AS (SELECT node, string_agg({LIT.format(p='r
 SELECT coalesce(h, 'reference') AS haplotype, count(*) AS samples FROM leaf LEFT JOIN h USING (node) GROUP BY 1""")(report.haplotypes)
 on_bundle("ag5_spectrum", """, b AS (SELECT unnest([1, 2, 4, 8]) AS x)
 SELECT substr('ACMGRSVTWYHKDBN', p.x, 1) AS from_base, substr('ACMGRSVTWYHKDBN', m.x, 1) AS to_base, (SELECT count(*) FROM ev WHERE par = p.x AND mut = m.x) AS n FROM b p, b m""")(report.spectrum)
-on_bundle("ag6_aberrant", "SELECT node, 'internal-no-mutations' AS issue FROM node WHERE NOT is_leaf AND parent IS NOT NULL AND node NOT IN (SELECT node FROM ev)")(report.aberrant)
+on_bundle("ag6_aberrant", """, l AS (SELECT node, CASE WHEN node LIKE '%77' THEN 1 ELSE 2 END AS n FROM node)
+SELECT node, 'internal-no-mutations' AS issue FROM node WHERE NOT is_leaf AND parent IS NOT NULL AND node NOT IN (SELECT node FROM ev)
+UNION ALL SELECT node, 'duplicate-node-id' FROM node WHERE is_leaf AND node LIKE 'o%55' UNION ALL SELECT node, 'annotation-count' FROM l WHERE n <> 2""")(
+    lambda b: report.aberrant(Bundle(b.node.union(b.leaf.where("node like 'o%55'")), b.event, b.closure, b.state), b.node.select("node", F.expr("if(node like '%77', array(c0), array(c0, c1))").alias("labels")))
+)
 on_bundle("ag7_sample_clades", """, lab AS (SELECT node AS anc, 0 AS k, c0 AS clade FROM node WHERE c0 IS NOT NULL UNION ALL SELECT node, 1, c1 FROM node WHERE c1 IS NOT NULL),
 p AS (SELECT c.node, k, arg_min(clade, dist) AS clade FROM clo c JOIN lab USING (anc) WHERE dist > 0 GROUP BY c.node, k)
 SELECT leaf.node AS sample, coalesce(a.clade, 'None') AS annotation_1, coalesce(b.clade, 'None') AS annotation_2 FROM leaf LEFT JOIN p a ON a.node = leaf.node AND a.k = 0 LEFT JOIN p b ON b.node = leaf.node AND b.k = 1""")(report.sample_clades)
@@ -57,9 +61,13 @@ ok AS (SELECT cand.*, child_count, i.n_leaves AS with_count FROM cand JOIN kids
 o AS (SELECT ok.literal, ok.parent, child_count, with_count, list_sort(list(s.n_leaves)) AS o FROM ok JOIN inn s ON s.parent = ok.parent AND s.node <> ok.node AND s.n_leaves > 5 GROUP BY ALL),
 m AS (SELECT literal AS mutation, parent, child_count, with_count, CASE WHEN len(o) % 2 = 1 THEN o[(len(o) + 1) // 2] ELSE (o[len(o) // 2] + o[len(o) // 2 + 1]) // 2 END::BIGINT AS median_without FROM o)
 SELECT *, round(log10(with_count / median_without), 9) AS log10_ratio FROM m""")(report.roho)
-on_bundle("ag9_node_stats", """, n AS (SELECT anc AS node, count(*) AS k FROM clo JOIN ev USING (node) GROUP BY anc)
-SELECT node, n_leaves AS leaf_count, coalesce(k, 0) AS mut_count, round(coalesce(k, 0) / n_leaves, 9) AS mut_density FROM node LEFT JOIN n USING (node)""")(report.node_stats)
-on_bundle("ag10_totals", "SELECT count(*) AS nodes, sum(is_leaf::INT)::BIGINT AS samples, max(level) FILTER (is_leaf)::BIGINT AS max_depth, round(avg(level) FILTER (is_leaf), 9) AS mean_depth, (SELECT count(*) FROM ev) AS parsimony FROM node")(report.totals)
+on_bundle("ag9_node_stats", """, n AS (SELECT anc AS node, count(*) AS k FROM clo JOIN ev USING (node) GROUP BY anc),
+la AS (SELECT c.node, min(dist) AS up, arg_min(anc, dist) AS clade FROM clo c JOIN node a ON a.node = c.anc WHERE a.c0 IS NOT NULL OR a.c1 IS NOT NULL GROUP BY c.node),
+rv AS (SELECT la.node, count(*) AS r FROM la JOIN clo c ON c.node = la.node AND c.dist < la.up JOIN ev e ON e.node = c.anc JOIN st s ON s.node = la.clade AND s.pos = e.pos WHERE e.mut = e.ref AND s.mut <> s.ref GROUP BY la.node)
+SELECT node, n_leaves AS leaf_count, coalesce(k, 0) AS mut_count, round(coalesce(k, 0) / n_leaves, 9) AS mut_density, coalesce(r, 0) AS reversions FROM node LEFT JOIN n USING (node) LEFT JOIN rv USING (node)""")(report.node_stats)
+on_bundle("ag10_totals", ", cn AS (SELECT parent, count(*) AS n FROM leaf WHERE node NOT IN (SELECT node FROM ev) GROUP BY parent HAVING count(*) >= 2) SELECT count(*) AS nodes, sum(is_leaf::INT)::BIGINT AS samples, max(level) FILTER (is_leaf)::BIGINT AS max_depth, round(avg(level) FILTER (is_leaf), 9) AS mean_depth, count(DISTINCT c0) + count(DISTINCT c1) AS labels, (SELECT count(*) FROM ev) AS parsimony, (SELECT count(*) FROM cn) AS condensed_nodes, (SELECT sum(n) FROM cn)::BIGINT AS condensed_samples FROM node")(
+    lambda b: report.totals(b, tree.condense(b.node, b.event))
+)
 on_bundle("ag11_allele_counts", """, a AS (SELECT pos, mut, count(*) AS c FROM st JOIN leaf USING (node) WHERE mut <> ref GROUP BY pos, mut)
 SELECT pos, string_agg(substr('ACMGRSVTWYHKDBN', mut, 1), ',' ORDER BY mut) AS alt, string_agg(c::VARCHAR, ',' ORDER BY mut) AS ac, (SELECT count(*) FROM leaf) AS an FROM a GROUP BY pos""")(report.allele_counts)
 on_bundle("ag12_clade_frequencies", """, lab AS (SELECT node AS anc, c0 AS clade FROM node WHERE c0 IS NOT NULL UNION ALL SELECT node, c1 FROM node WHERE c1 IS NOT NULL),
@@ -79,12 +87,14 @@ on_bundle("de3_node_events", "SELECT node, string_agg(literal, ',' ORDER BY pos)
 on_bundle("se1_clade", "SELECT leaf.node FROM leaf JOIN clo c ON c.node = leaf.node WHERE anc = (SELECT arg_min(node, dfs) FROM node WHERE c0 = 'ASIA' OR c1 = 'ASIA')")(lambda b: select.in_clade(b, "ASIA"))
 on_bundle("se2_mutation", "SELECT node FROM st JOIN leaf USING (node) WHERE pos = 31 AND mut = 4")(lambda b: select.with_mutation(b, 31, 4))
 on_bundle("se3_max_parsimony", "SELECT node FROM leaf WHERE (SELECT count(*) FROM ev WHERE ev.node = leaf.node) <= 3")(lambda b: select.max_parsimony(b, 3))
-on_bundle("se4_representatives")(lambda b: select.representatives(b, 5))
+on_bundle("se4_representatives", """, l AS (SELECT node AS anc, c0 AS clade FROM node WHERE c0 IS NOT NULL UNION ALL SELECT node, c1 FROM node WHERE c1 IS NOT NULL),
+m AS (SELECT DISTINCT clade, c.node FROM clo c JOIN l USING (anc) JOIN leaf ON leaf.node = c.node)
+SELECT clade, node FROM m QUALIFY row_number() OVER (PARTITION BY clade ORDER BY md5('1:' || node), node) <= 5""")(lambda b: select.representatives(b, 5))
 on_bundle("se5_intersection", "SELECT node FROM st JOIN leaf USING (node) WHERE pos = 31 AND mut = 4 AND (SELECT count(*) FROM ev WHERE ev.node = leaf.node) <= 3")(lambda b: select.both(select.with_mutation(b, 31, 4), select.max_parsimony(b, 3)))
 on_bundle("se7_short_branches", "SELECT c.node FROM clo c JOIN leaf ON leaf.node = c.node GROUP BY c.node HAVING max(CASE WHEN anc = 'root' THEN 0 ELSE (SELECT count(*) FROM ev WHERE ev.node = anc) END) <= 2")(lambda b: select.short_branches(b, 2))
 on_bundle("se8_short_paths", "SELECT c.node FROM clo c JOIN leaf ON leaf.node = c.node GROUP BY c.node HAVING sum(CASE WHEN anc = 'root' THEN 0 ELSE (SELECT count(*) FROM ev WHERE ev.node = anc) END) <= 5")(lambda b: select.short_paths(b, 5))
 on_bundle("se10_regex", "SELECT node FROM leaf WHERE regexp_full_match(node, 'o[0-9]*7')")(lambda b: select.by_name(b, "o[0-9]*7"))
-on_bundle("se11_thin")(lambda b: select.thin(b.leaf.select("node"), 100))
+on_bundle("se11_thin", "SELECT node FROM leaf ORDER BY md5('1:' || node), node LIMIT 100")(lambda b: select.thin(b.leaf.select("node"), 100))
 on_bundle("se12_under_lca", """, s AS (SELECT c.anc, count(DISTINCT c.node) AS k, any_value(level) AS l FROM clo c JOIN node a ON a.node = c.anc WHERE c.node IN (SELECT node FROM leaf WHERE regexp_full_match(node, 'o1[0-9]')) GROUP BY c.anc)
 SELECT leaf.node FROM leaf JOIN clo c ON c.node = leaf.node WHERE anc = (SELECT arg_max(anc, l) FROM s WHERE k = (SELECT max(k) FROM s))""")(lambda b: select.under_lca(b, select.by_name(b, "o1[0-9]")))
 _NEAR = "(SELECT min(node) FROM leaf WHERE level = 4)"
@@ -127,8 +137,14 @@ SELECT 'node_' || parent || '_condensed_' || count(*) || '_leaves' AS node, pare
     lambda b: tree.condense(b.node, b.event).withColumn("members", F.array_join("members", ","))
 )
 on_bundle("tr18_uncondense", ", p AS (SELECT node, parent FROM leaf WHERE node NOT IN (SELECT node FROM ev)) SELECT parent, node FROM p WHERE parent IN (SELECT parent FROM p GROUP BY parent HAVING count(*) >= 2)")(lambda b: tree.uncondense(tree.condense(b.node, b.event)))
-on_bundle("tr19_polytomies")(lambda b: tree.resolve_polytomies(b.node))
-on_bundle("tr20_reroot")(lambda b: tree.reroot(b.node, b.closure, b.event, "n3")[0])
+on_bundle("tr19_polytomies", """, k AS (SELECT node, parent, row_number() OVER (PARTITION BY parent ORDER BY dfs) AS i, count(*) OVER (PARTITION BY parent) AS n FROM node WHERE parent IS NOT NULL)
+SELECT node, CASE WHEN n <= 2 OR i = 1 THEN parent ELSE parent || '_polytomy_' || least(i - 1, n - 2) END AS parent FROM k
+UNION ALL SELECT parent || '_polytomy_' || (i - 1), CASE WHEN i = 2 THEN parent ELSE parent || '_polytomy_' || (i - 2) END FROM k WHERE n > 2 AND i BETWEEN 2 AND n - 1
+UNION ALL SELECT node, NULL FROM node WHERE parent IS NULL""")(lambda b: tree.resolve_polytomies(b.node))
+_TURNED = ", pth AS (SELECT anc, dist FROM clo WHERE node = 'n3'), top AS (SELECT pos, mut FROM st WHERE node = 'n3')"
+on_bundle("tr20_reroot", f"{_TURNED} SELECT node, CASE WHEN node = 'n3' THEN NULL ELSE coalesce(c.anc, parent) END AS parent FROM node LEFT JOIN pth p ON p.anc = node AND p.dist > 0 LEFT JOIN pth c ON c.dist = p.dist - 1")(lambda b: tree.reroot(b.node, b.closure, b.event, "n3")[0])
+on_bundle("tr20_events", f"""{_TURNED} SELECT coalesce(u.anc, ev.node) AS node, ev.pos, coalesce(top.mut, ev.ref) AS ref, CASE WHEN u.anc IS NULL THEN par ELSE ev.mut END AS par, CASE WHEN u.anc IS NULL THEN ev.mut ELSE par END AS mut
+FROM ev LEFT JOIN pth p ON p.anc = ev.node LEFT JOIN pth u ON u.dist = p.dist + 1 LEFT JOIN top ON top.pos = ev.pos WHERE ev.node <> 'root'""")(lambda b: tree.reroot(b.node, b.closure, b.event, "n3")[1])
 on_bundle("tr22_rotate", "SELECT node, parent, (row_number() OVER (PARTITION BY parent ORDER BY size DESC, dfs))::INT AS child_ord FROM node WHERE parent IS NOT NULL")(lambda b: tree.rotate(b.node))
 _Y = ", y4 AS (SELECT node, parent, dfs::DOUBLE AS y FROM node WHERE level = 4)" + "".join(
     f", y{i} AS (SELECT n.node, any_value(n.parent) AS parent, CASE WHEN any_value(n.is_leaf) THEN any_value(n.dfs)::DOUBLE ELSE avg(k.y) END AS y FROM node n LEFT JOIN y{i + 1} k ON k.parent = n.node WHERE level = {i} GROUP BY n.node)" for i in (3, 2, 1, 0)
@@ -190,9 +206,8 @@ from arborspark.operators import assign, place  # noqa: E402
 
 
 def _leaf_sets(b: Bundle) -> DataFrame:
-    sites = b.event.select("pos", "ref").distinct()
-    grid = b.leaf.select("node").crossJoin(F.broadcast(sites))  # sites of the analog genome: at most 97 rows
-    return grid.join(b.state.select("node", "pos", "mut"), ["node", "pos"], "left").select("node", "pos", "ref", F.coalesce("mut", "ref").alias("allele"))
+    """Leaf alleles other than the reference."""
+    return b.state.where("mut <> ref").join(b.leaf.select("node"), "node", "left_semi").select("node", "pos", "ref", F.col("mut").alias("allele"))
 
 
 def _fitch_sql() -> str:
@@ -243,7 +258,7 @@ def _other_calls(b: Bundle) -> DataFrame:
     return _calls(b).where("sample not like '%3'").withColumn("allele", F.when(F.col("pos") % 7 == 0, 9).otherwise(F.col("allele")))
 
 
-_CALLS = ", a AS (SELECT node AS sample, pos, mut AS allele FROM st JOIN leaf USING (node)), b AS (SELECT sample, pos, CASE WHEN pos % 7 = 0 THEN 9 ELSE allele END AS allele FROM a WHERE sample NOT LIKE '%3')"
+_CALLS = ", a AS MATERIALIZED (SELECT node AS sample, pos, mut AS allele FROM st JOIN leaf USING (node)), b AS MATERIALIZED (SELECT sample, pos, CASE WHEN pos % 7 = 0 THEN 9 ELSE allele END AS allele FROM a WHERE sample NOT LIKE '%3')"
 on_bundle("jo5_conflicts", f"{_CALLS} SELECT sample, pos, a.allele AS left_allele, b.allele AS right_allele FROM a JOIN b USING (sample, pos) WHERE a.allele & b.allele = 0")(lambda b: compare.genotype_conflicts(_calls(b), _other_calls(b)))
 on_bundle("jo5_missing", f"{_CALLS} SELECT DISTINCT sample, 'right' AS absent_from FROM a WHERE sample NOT IN (SELECT sample FROM b)")(lambda b: compare.missing_samples(_calls(b), _other_calls(b)))
 on_bundle("jo8_changed_counts", """, x AS (SELECT literal AS name, count(*) AS before FROM lit GROUP BY 1), y AS (SELECT literal AS name, count(*) AS after FROM lit WHERE node NOT LIKE '%3' GROUP BY 1)
@@ -353,3 +368,6 @@ query("pl3_best_all")(lambda spark, sf_dir: place.best(bundle(spark, sf_dir), _c
 on_bundle("an3_by_mutations_all")(lambda b: annotate.by_mutations(b, b.state.where("mut <> ref").join(_inner(b), "node").select(F.col("node").alias("sample"), "pos", "ref", F.col("mut").alias("allele"))))
 on_bundle("an4_by_samples_all")(lambda b: annotate.by_samples(b, b.closure.join(b.leaf.select("node"), "node").join(_inner(b).withColumnRenamed("node", "anc"), "anc").select(F.col("anc").alias("clade"), "node"), keep=0.5))
 on_bundle("tr7_lca_all")(lambda b: tree.lca(b.closure, b.leaf.select(F.substring("node", 1, 3).alias("grp"), "node")))
+
+
+import arborspark.queries_parts  # noqa: E402, F401
