@@ -120,7 +120,7 @@ def optimize(b: Bundle, radius: int, rounds: int = 10, least: float = 0.0005, do
 
 def interleaved(b: Bundle, samples: DataFrame, per_round: int, radius: int = 4, rounds: int = 1) -> Bundle:
     """OP-10: samples are placed ``per_round`` at a time, in order of name, and the tree is optimized after each lot."""
-    names = tree.ordered_index(samples.select("sample").distinct(), ["sample"], "_at").withColumn("lot", F.floor(F.col("_at") / per_round))
+    names = tree.ordered_index(samples.select("sample").distinct(), ["sample"], "_place").withColumn("lot", F.floor(F.col("_place") / per_round))
     rows = materialize(samples.join(names.select("sample", "lot"), "sample"), "lots")
     for lot in range(-(-names.count() // per_round)):
         b = grow.place_all(b, rows.where(F.col("lot") == lot).drop("lot"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.functions import nucleotides as nuc
-from arborspark.operators import assign, calls, extract, place, report, select, tree
+from arborspark.operators import assign, calls, extract, place, report, select, tree, trios
 from arborspark.plans.analog import SITES, Bundle, bundle
 from arborspark.plans.scratch import materialize, new_path
 from arborspark.queries import _SAMPLES, LIT, _leaf_sets, _new_samples, on_bundle, query
@@ -251,6 +251,32 @@ def _subtrees(b: Bundle) -> DataFrame:
     return source.read_metadata(spark, f"{path}/assignments").where("node = subtree").select("subtree", "node")
 
 
+# recombinant trios
+_THREE = "SELECT DISTINCT 'o' || l_orderkey AS recomb, 'c' || (l_suppkey * 13 % 150 + 1) AS donor, 'n' || (l_linenumber * 3) AS acceptor FROM lineitem"
+
+
+def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("concat('o', l_orderkey) recomb", "concat('c', l_suppkey * 13 % 150 + 1) donor", "concat('n', l_linenumber * 3) acceptor", "l_discount p")
+
+
+query("jo9_trios", f""", t AS ({_THREE}), x AS (SELECT 'o' || l_orderkey AS recomb, 'c' || (l_suppkey * 13 % 150 + 1) AS donor, 'n' || (l_linenumber * 3) AS acceptor, min(l_discount) AS p FROM lineitem WHERE l_discount > 0.02 GROUP BY 1, 2, 3),
+u AS (SELECT a.node, a.parent, b.parent AS grandparent, a.n_leaves FROM node a LEFT JOIN node b ON b.node = a.parent)
+SELECT t.*, r.parent AS recomb_parent, r.grandparent AS recomb_grandparent, r.n_leaves AS recomb_n_leaves, d.parent AS donor_parent, d.grandparent AS donor_grandparent, d.n_leaves AS donor_n_leaves, a.parent AS acceptor_parent, a.grandparent AS acceptor_grandparent, a.n_leaves AS acceptor_n_leaves, x.p
+FROM t LEFT JOIN u r ON r.node = t.recomb LEFT JOIN u d ON d.node = t.donor LEFT JOIN u a ON a.node = t.acceptor LEFT JOIN x ON x.recomb = t.recomb AND x.donor = t.donor AND x.acceptor = t.acceptor""")(
+    lambda spark, sf_dir: trios.enriched(_three(spark, sf_dir).drop("p").distinct(), bundle(spark, sf_dir).node, _three(spark, sf_dir).where("p > 0.02"))
+)
+query("rc11_alignment", """WITH s AS (SELECT DISTINCT l_orderkey AS trio, (l_partkey % 300)::INT AS pos FROM lineitem), g AS (SELECT l_orderkey AS trio, (l_suppkey * 7 % 300)::INT AS start, (l_suppkey * 7 % 300 + 4)::INT AS stop FROM lineitem WHERE l_linenumber = 1),
+h AS (SELECT s.trio, pos, max(CASE WHEN pos BETWEEN start AND stop THEN 1 ELSE 0 END) AS inside FROM s JOIN g ON g.trio = s.trio AND pos BETWEEN start - 5 AND stop + 5 GROUP BY 1, 2), k AS (SELECT trio, sum(inside)::BIGINT AS on_gap, count(*) AS near_gap FROM h GROUP BY trio),
+w AS (SELECT trio, pos, count(*) OVER (PARTITION BY trio ORDER BY pos RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n, min(pos) OVER (PARTITION BY trio) AS lo, max(pos) OVER (PARTITION BY trio) AS hi FROM s),
+c AS (SELECT trio, count(*) AS n_sites, max(n) AS clump, count(*) FILTER (pos <= (lo + hi) / 2) AS l FROM w GROUP BY trio)
+SELECT c.trio, n_sites, clump, coalesce(on_gap, 0) AS on_gap, coalesce(near_gap, 0) AS near_gap, greatest(l, n_sites - l) / n_sites AS skew, coalesce(on_gap, 0) > 0 OR coalesce(near_gap, 0) >= 6 OR clump >= 6 AS suspect FROM c LEFT JOIN k ON k.trio = c.trio""", base=False)(
+    lambda spark, sf_dir: trios.alignment_flags(
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey trio", "cast(l_partkey % 300 as int) pos").distinct(),
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1").selectExpr("l_orderkey trio", "cast(l_suppkey * 7 % 300 as int) start", "cast(l_suppkey * 7 % 300 + 4 as int) stop"),
+    )
+)
+on_bundle("rc18_dealt", ", x AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM node WHERE NOT is_leaf) SELECT node, (i * 7 // n)::INT AS machine FROM x")(lambda b: trios.dealt(b.node.where("not is_leaf"), 7))
+
 # the task library's algorithms
 _table = lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 query("tf2_for_each", "SELECT i::BIGINT AS i, i * i AS square FROM range(0, 1000, 7) t(i)", base=False)(lambda spark, sf_dir: spark.range(0, 1000, 7).select(F.col("id").alias("i"), (F.col("id") * F.col("id")).alias("square")))
