@@ -93,7 +93,8 @@ def pack_grams(words: np.ndarray, ids: list[np.ndarray], c: np.ndarray) -> bytes
         flat = place[flat]
     else:
         used, flat = np.unique(flat, return_inverse=True)
-    planes = [np.array([n, len(used), len(ids)], "<u8").view(np.uint8), words[used].astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel(), flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel(), c.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel()]
+    steps = np.diff(words[used], prepend=U64(0))  # sorted, so differences are shorter
+    planes = [np.array([n, len(used), len(ids)], "<u8").view(np.uint8), steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel(), flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel(), c.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel()]
     return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
 
 
@@ -102,7 +103,7 @@ def unpack_grams(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     n, used, places = raw[:24].view("<u8").tolist()
     column = lambda at, count, width: np.ascontiguousarray(raw[at : at + count * width].reshape(width, count).T).reshape(-1).view(f"<u{width}")
-    words = column(24, used, 8)
+    words = np.cumsum(column(24, used, 8), dtype=U64)
     flat = column(24 + 8 * used, n * places, 4)
     return [words[flat[i * n : (i + 1) * n]] for i in range(places)], column(24 + 8 * used + 4 * n * places, n, 8)
 
@@ -305,6 +306,16 @@ def _keyed(key: np.ndarray) -> list[np.ndarray]:
     return [top.astype(np.uint32), ((key >> U64(16)) & U64(0xFFFFFFFF)).astype(np.uint32)]
 
 
+def write_segment(uri: str, key: np.ndarray, columns: list[np.ndarray]) -> None:
+    """Sorted distinct keys with their counts. Keys that were counted once, most of them, are kept apart without counts;
+    counts above 255 stand in a list of their own."""
+    once = columns[0] == 1
+    many = [x[~once] for x in columns]
+    over = np.flatnonzero(many[0] > 255)
+    sizes = np.array([int(once.sum()), len(many[0]), len(over)], np.int64)
+    write_file(uri, [sizes, *_keyed(key[once]), *_keyed(key[~once]), *(np.minimum(x, 255).astype(np.uint8) for x in many), over.astype(np.int64), *(x[over] for x in many)])
+
+
 def first_grams(texts: DataFrame, parts: int, heavy, order: int) -> DataFrame:
     """Packed counts of the grams of the highest order, one or more per task."""
 
@@ -334,13 +345,10 @@ def merge_grams(packed: DataFrame, parts: int, heavy, order: int, path: str, top
         c = np.add.reduceat(counts[at], first)
         key, at = key[first], at[first]
         words, context = [w[at] for w in words], context[at]
-        over = np.flatnonzero(c > 255)
-        write_file(f"{path}/grams-{order}-{bucket}", [np.array([len(key), len(over)], np.int64), *_keyed(key), np.minimum(c, 255).astype(np.uint8), over.astype(np.int64), c[over]])
+        write_segment(f"{path}/grams-{order}-{bucket}", key, [c])
         h, *sums = run_sum(context, c, *(x.astype(np.int64) for x in (c == 1, c == 2, c >= 3)))
         hot = among(heavy.value[order], h)
-        cold = [x[~hot] for x in sums]
-        over = np.flatnonzero(cold[0] > 255)
-        write_file(f"{path}/contexts-{order}-{bucket}", [np.array([len(cold[0]), len(over)], np.int64), *_keyed(h[~hot]), *(np.minimum(x, 255).astype(np.uint8) for x in cold), over.astype(np.int64), *(x[over] for x in cold)])
+        write_segment(f"{path}/contexts-{order}-{bucket}", h[~hot], [x[~hot] for x in sums])
         if hot.any():
             ctx = np.zeros(int(hot.sum()), CONTEXT)
             for name, x in zip(CONTEXT.names, (h, *sums)):
@@ -484,6 +492,25 @@ def _word_lookup(model: dict, h: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _search(top: np.ndarray, low: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of all keys at once: their places, and whether they are there."""
+    n = len(low)
+    if not n or not len(head):
+        return np.zeros(len(head), np.int64), np.zeros(len(head), bool)
+    lo, end = top[head].astype(np.int64), top[head + 1].astype(np.int64)
+    span, at = end - lo, lo.copy()
+    while (widest := int(span.max())) > 0:
+        half = span >> 1
+        mid = at + half
+        less = (low[np.minimum(mid, n - 1)] < tail) & (span > 0)
+        at = np.where(less, mid + 1, at)
+        span = np.where(less, span - half - 1, half)
+        if widest == 1:
+            break
+    found = np.minimum(at, n - 1)
+    return found, (at < end) & (low[found] == tail)
+
+
 def _segment_lookup(model: dict, kind: str, width: int, bucket: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
     """``width`` columns of distinct keys (zeros where unknown); keys rise, so each segment is read in order."""
     out = [np.zeros(len(key), np.int64) for _ in range(width)]
@@ -491,32 +518,24 @@ def _segment_lookup(model: dict, kind: str, width: int, bucket: np.ndarray, key:
         raw = mapped(f"{model['path']}/{kind}-{b}")
         if raw is None:
             continue
-        n, over = raw[:16].view(np.int64).tolist()
-        if not n:
-            continue
-        top, low, *rest = _arrays(raw, [("<u4", 65537), ("<u4", n), *[("u1", n)] * width, *[("<i8", over)] * (width + 1)], 16)
+        once, many, over = raw[:24].view(np.int64).tolist()
+        top1, low1, top, low, *rest = _arrays(raw, [("<u4", 65537), ("<u4", once), ("<u4", 65537), ("<u4", many), *[("u1", many)] * width, *[("<i8", over)] * (width + 1)], 24)
         small, at_over, large = rest[:width], rest[width], rest[width + 1 :]
         k = key[rows]
         head, tail = (k >> U64(48)).astype(np.int64), ((k >> U64(16)) & U64(0xFFFFFFFF)).astype(np.uint32)
-        lo, hi = top[head].astype(np.int64), top[head + 1].astype(np.int64)
-        end = hi.copy()
-        while True:  # binary search of all keys at once
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi) >> 1
-            less = open_ & (low[np.minimum(mid, n - 1)] < tail)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        at = np.minimum(lo, n - 1)
-        hit = (lo < end) & (low[at] == tail)
-        big = np.flatnonzero(hit & (small[0][at] == 255)) if over else np.zeros(0, int)
+        _, single = _search(top1, low1, head, tail)
+        for o in out[:2]:  # counted once: a count of 1, and for a context one word of that count
+            o[rows[single]] = 1
+        left = np.flatnonzero(~single)
+        at, hit = _search(top, low, head[left], tail[left])
+        at, left = at[hit], left[hit]
+        big = np.flatnonzero(small[0][at] == 255) if over else np.zeros(0, int)
         j = np.minimum(np.searchsorted(at_over, at[big]), over - 1)
-        big, j = big[at_over[j] == at[big]] if len(big) else big, j[at_over[j] == at[big]] if len(big) else j
+        listed = at_over[j] == at[big] if len(big) else np.zeros(0, bool)
         for o, s, x in zip(out, small, large):
-            c = np.where(hit, s[at], 0).astype(np.int64)
-            c[big] = x[j]
-            o[rows] = c
+            c = s[at].astype(np.int64)
+            c[big[listed]] = x[j[listed]]
+            o[rows[left]] = c
     return out
 
 
