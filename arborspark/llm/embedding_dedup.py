@@ -17,7 +17,7 @@ only, and for one part of the buckets at a time, whose shuffle is dropped before
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label
 or id, link with nothing: n_links 0, component_id = vec_id. Vectors of unequal length do not link.
-Rows that repeat a vec_id are rows of their own with one id. An empty table gives an empty result.
+Rows that repeat a vec_id are vectors of their own: each has its own links and component. An empty table gives an empty result.
 Further columns are ignored.
 """
 
@@ -246,8 +246,9 @@ def _cells_done(table: pa.Table) -> pa.RecordBatch:
 def near_duplicates(spark: SparkSession, table: DataFrame) -> DataFrame:
     """``table(vec_id, embedding, label)`` -> (vec_id, n_links, component_id, kept)."""
     rows = prepared(table)
-    distinct = rows.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("label").alias("label"), F.first("v").alias("v"))
-    reps = materialize(spark, distinct, "emb-reps")
+    distinct = rows.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("label").alias("label"), F.first("v").alias("v"))
+    # ids may repeat, so distinct vectors get numbers of their own
+    reps = materialize(spark, distinct.withColumn("rep", F.monotonically_increasing_id()), "emb-reps")
     places = materialize(spark, places_of(reps), "emb-places")
     # a vector keeps only its buckets with other vectors, in rising order
     busy = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -265,8 +266,11 @@ def near_duplicates(spark: SparkSession, table: DataFrame) -> DataFrame:
         found = done if found is None else found.union(done)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    known = reps.select("rep", "k1", "k2", "copies").join(links, "rep", "left").join(parts, "rep", "left")
-    known = known.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    parts = materialize(spark, parts.join(reps.select("rep", "id"), "rep"), "emb-parts")
+    least = parts.groupBy("component").agg(F.min("id").alias("least"))
+    named = parts.join(least, "component").select("rep", "least")
+    known = reps.select("rep", "id", "k1", "k2", "copies").join(links, "rep", "left").join(named, "rep", "left")
+    known = known.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     known = materialize(spark, known, "emb-known")
     release(spark, reps, shared)
     out = rows.select("vec_id", "k1", "k2").join(known, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
