@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,22 +145,6 @@ class Forest:
         return True
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Tuples to record batches of at most ``size`` rows."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield to_batch(held, schema)
-            held = []
-    if held:
-        yield to_batch(held, schema)
-
-
-def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)`` with the smallest reachable node.
 

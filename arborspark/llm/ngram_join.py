@@ -50,7 +50,7 @@ WORDS_HELD = 200_000
 BUCKET_ENTRIES, HOT_LIST = 2_000_000, 200_000
 #: Lists of at most SHORT_LIST members are paired by a join; longer ones in cells of two blocks of so many
 #: sketches, or of so many sets and their shingles.
-SHORT_LIST, SKETCH_BLOCK, SET_BLOCK, SET_WORDS, CELL_WORDS, LIKELY = 16, 1024, 256, 300_000, 8192, 0.3
+SHORT_LIST, SKETCH_BLOCK, SET_BLOCK, SET_WORDS, CELL_WORDS, LIKELY = 16, 256, 256, 300_000, 8192, 0.3
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=U64)
 
 
