@@ -54,7 +54,7 @@ def consensus(b: Bundle, members: DataFrame, keep: float, mask: float) -> DataFr
 
 
 def _climb(walk: Column, least_overlap: float) -> Column:
-    """The accepted steps of a walk sorted by (at, dist): a path ends at its first step below the best share so far, which holds over all paths."""
+    """The accepted steps of a walk sorted by (at, dist): a path ends at its first step below the best share so far, which holds over all paths (QX-19)."""
     kind = "array<struct<at:long,dist:int,freq:double,overlap:double,dfs:long,node:string>>"
     start = F.struct(F.lit(-1.0).alias("best"), F.lit(-1).cast("long").alias("ended"), F.array().cast(kind).alias("kept"))
 

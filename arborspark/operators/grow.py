@@ -68,7 +68,7 @@ def place_all(b: Bundle, samples: DataFrame) -> Bundle:
 
 
 def place_on_trees(b: Bundle, samples: DataFrame, names: list[str], most: int) -> list[Bundle]:
-    """PL-11: places ``names`` one by one; a tie forks the tree, up to ``most`` trees, and trees above the least score go."""
+    """PL-11: places ``names`` one by one; a tie forks the tree, up to ``most`` trees, and trees above the least score go, all of them (QX-12)."""
     trees = [b]
     for name in names:
         one = materialize(samples.where(F.col("sample") == name), "sample")

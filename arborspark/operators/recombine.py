@@ -188,7 +188,7 @@ def passing(rows: DataFrame) -> DataFrame:
 
 
 def near_descendants(b: Bundle, wanted: DataFrame, most: int = 10, seed: int = 1) -> DataFrame:
-    """RC-10: ``wanted(node)`` -> (node, sample, extra): up to ``most`` leaves one level below, else two, else three (extra 0, 1, 2), by seeded hash."""
+    """RC-10, QX-14 (each level counts as itself): ``wanted(node)`` -> (node, sample, extra): up to ``most`` leaves one level below, else two, else three (extra 0, 1, 2), by seeded hash."""
     below = wanted.select(F.col("node").alias("anc")).distinct().join(b.closure.where("dist between 1 and 3"), "anc").join(b.leaf.select("node"), "node")
     near = below.withColumn("_d", F.min("dist").over(W.partitionBy("anc"))).where("dist = _d")
     rank = F.row_number().over(W.partitionBy("anc").orderBy(F.xxhash64("node", F.lit(seed)), "node"))
@@ -196,7 +196,7 @@ def near_descendants(b: Bundle, wanted: DataFrame, most: int = 10, seed: int = 1
 
 
 def tie_break(rows: DataFrame) -> DataFrame:
-    """RC-14: one row of each recomb: fewest breakpoints, fewest informative sites, least p, fewest leaves below the parents, widest intervals, then names.
+    """RC-14, QX-7 (fewest leaves win): one row of each recomb: fewest breakpoints, fewest informative sites, least p, fewest leaves below the parents, widest intervals, then names.
 
     ``rows`` has recomb, breakpoints, n_sites, p, parent_leaves, width, donor, acceptor. Where all that tie on p have
     the same two parents, leaves are equal too, so the width decides, as in the rule for equal parents.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from arborspark.functions.nucleotides import letter, literal
+from arborspark.functions.nucleotides import fisher_exact, letter, literal
 from arborspark.operators.select import event_counts
 from arborspark.plans.analog import Bundle
 
@@ -140,6 +140,21 @@ def literal_inside_outside(b: Bundle, min_total: int = 50, min_count: int = 10)
     return inside.where(F.col("inside") >= min_count).join(local, "branch").join(total, "mutation").select("branch", "mutation", "inside", (F.col("everywhere") - F.col("inside")).alias("outside"), "local_total")
 
 
+def enrichment(b: Bundle, min_total: int = 50, min_count: int = 10) -> DataFrame:
+    """AG-14 with the exact test: adds pvalue, corrected_pvalue, and per branch keeps the mutation of the least p.
+
+    QX-9: the table is (inside, outside; events of the subtree, events elsewhere), totals and not complements, and the
+    corrected p, p times the number of tests, is not capped at 1.
+    """
+    rows = literal_inside_outside(b, min_total, min_count)
+    everything = b.event.agg(F.count(F.lit(1)).alias("_all"))
+    tested = fisher_exact(rows.join(F.broadcast(everything)).withColumn("_rest", F.col("_all") - F.col("local_total")), "inside", "outside", "local_total", "_rest")
+    number = rows.agg(F.count(F.lit(1)).alias("_tests"))
+    corrected = tested.join(F.broadcast(number)).withColumn("corrected_pvalue", F.col("pvalue") * F.col("_tests"))
+    first = F.row_number().over(W.partitionBy("branch").orderBy("pvalue", "mutation"))
+    return corrected.withColumn("_i", first).where("_i = 1").select("branch", "mutation", "inside", "outside", "local_total", "pvalue", "corrected_pvalue")
+
+
 def back_mutations(b: Bundle) -> DataFrame:
     """AG-15, WN-2: events that return to the parent allele of the previous event at their site."""
     above = b.event.select("node", "pos", "mut").join(b.closure.where("dist > 0"), "node").join(b.event.select(F.col("node").alias("anc"), "pos", F.col("par").alias("p")), ["anc", "pos"])

@@ -140,7 +140,7 @@ def under_lca(b: Bundle, samples: DataFrame) -> DataFrame:
 
 
 def distances(b: Bundle, target: str) -> DataFrame:
-    """SE-13: (node, distance) in events between the target and every other leaf, exact over the path through the LCA."""
+    """SE-13, QX-3 (no early stop): (node, distance) in events between the target and every other leaf, exact over the path through the LCA."""
     total = path_totals(b).select("node", "total")
     mine = b.closure.where(F.col("node") == target).select("anc", F.col("dist").alias("up"))
     joint = b.closure.join(F.broadcast(mine), "anc").join(b.leaf.select("node"), "node").where(F.col("node") != target).groupBy("node").agg(F.min_by("anc", "up").alias("lca"))

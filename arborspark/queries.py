@@ -76,6 +76,7 @@ SELECT clade, pos, mut, count(*) AS n, any_value(size) AS size FROM ins JOIN st
 on_bundle("ag14_inside_outside", """, i AS (SELECT anc AS branch, literal AS mutation, count(*) AS inside FROM clo JOIN lit USING (node) GROUP BY 1, 2),
 l AS (SELECT branch, sum(inside)::BIGINT AS local_total FROM i GROUP BY branch HAVING sum(inside) >= 50), t AS (SELECT literal AS mutation, count(*) AS e FROM lit GROUP BY 1)
 SELECT branch, mutation, inside, e - inside AS outside, local_total FROM i JOIN l USING (branch) JOIN t USING (mutation) WHERE inside >= 10""")(report.literal_inside_outside)
+on_bundle("ag14_enrichment")(report.enrichment)
 on_bundle("ag15_back_mutations", """, a AS (SELECT e.node, e.pos, e.mut, arg_min(x.par, dist) AS p FROM ev e JOIN clo c ON c.node = e.node AND dist > 0 JOIN ev x ON x.node = c.anc AND x.pos = e.pos GROUP BY 1, 2, 3)
 SELECT pos, count(*) AS n FROM a WHERE p = mut GROUP BY pos""")(report.back_mutations)
 on_bundle("de1_paths", """, own AS (SELECT node AS anc, string_agg(literal, ',' ORDER BY pos) AS m FROM lit GROUP BY node)

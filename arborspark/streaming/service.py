@@ -17,7 +17,7 @@ SAMPLES = "sample string, pos int, ref int, allele int"
 
 
 def placement_service(spark: SparkSession, b: Bundle, inbox: str, outbox: str, checkpoint: str, files_per_batch: int = 16) -> StreamingQuery:
-    """SM-1, SM-3: reads Parquet files of samples in order of arrival and appends their placements.
+    """SM-1, SM-3, QX-20: reads Parquet files of samples in order of arrival and appends their placements.
 
     The checkpoint records finished files, so a restart neither loses nor repeats a batch's files; the
     batch number names the output folder, so a batch that is run again replaces its own output.

@@ -174,3 +174,20 @@ def test_scalars(spark):
 
 def test_within_radius(spark, small):
     assert pairs(tree.within(small.closure, spark.createDataFrame([("k3",)], "node string"), 2), "node") == {("k3",), ("u",), ("w",), ("top",)}
+
+
+def test_enrichment_matches_an_exact_test_by_hand(spark):
+    from math import comb
+
+    from arborspark.operators import report
+
+    b = bundle(spark, SF)
+    total = b.event.count()
+    got = report.enrichment(b, 20, 3).collect()
+    tests = report.literal_inside_outside(b, 20, 3).count()
+    assert got and len({r["branch"] for r in got}) == len(got)
+    for r in got[:20]:
+        x, y, t, u = r["inside"], r["outside"], r["local_total"], total - r["local_total"]
+        p = {k: comb(x + y, k) * comb(t + u, x + t - k) for k in range(max(0, x + t - t - u), min(x + y, x + t) + 1)}
+        want = sum(v for v in p.values() if v <= p[x] * (1 + 1e-9)) / comb(x + y + t + u, x + t)
+        assert abs(r["pvalue"] - want) < 1e-6 and abs(r["corrected_pvalue"] - want * tests) < 1e-4
