@@ -38,14 +38,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from arborspark.llm.common import U64, WordHash, cut_by_bucket, lean, materialize, mix64, new_path, pack_records, release, run_sum, shuffle_partitions, unpack_records, utf8_rows
+from arborspark.llm.common import U64, WordHash, cut_by_bucket, lean, materialize, mix64, new_path, pack_records, release, run_sum, unpack_records, utf8_rows
 
 BITS = 48
 ORDER = 3
 #: A context is frequent from 1 / HEAVY_SHARE of the tokens; looked for in every HEAVY_STEP-th text.
 HEAVY_SHARE, HEAVY_STEP = 1000, 8
-#: Tokens of a chunk (below 2^21, the bits of a chunk's word number), of a scored block, and of a bucket.
-COUNT_CHUNK, SCORE_CHUNK, BUCKET_TOKENS = 2_000_000, 600_000, 4_000_000
+#: Tokens of a chunk, of a scored block, and of a bucket; bits of a chunk's word number.
+COUNT_CHUNK, SCORE_CHUNK, BUCKET_TOKENS = 2_800_000, 600_000, 3_400_000
 ID_BITS = 21
 HELD_BYTES = 1 << 29
 START = xxhash.xxh3_64_intdigest(b"\nstart") >> (64 - BITS)
@@ -95,7 +95,7 @@ def pack_grams(words: np.ndarray, ids: list[np.ndarray], c: np.ndarray) -> bytes
         used, flat = np.unique(flat, return_inverse=True)
     steps = np.diff(words[used], prepend=U64(0))  # sorted, so differences are shorter
     planes = [np.array([n, len(used), len(ids)], "<u8").view(np.uint8), steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel(), flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel(), c.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel()]
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.concatenate(planes).tobytes())
 
 
 def unpack_grams(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
@@ -322,10 +322,17 @@ def first_grams(texts: DataFrame, parts: int, heavy, order: int) -> DataFrame:
     def local(frames):
         for tokens, lengths in _gathered(frames, COUNT_CHUNK):
             for piece in _pieces(grams(tokens, lengths, order), COUNT_CHUNK):  # a text of its own may be longer than a chunk
-                uniq = np.unique(np.concatenate([piece[-1], *(w[:order] for w in piece[:-1]), np.array([START], U64)]))  # words before the piece, and start marks
-                ids, c = distinct_grams([np.searchsorted(uniq, w) for w in piece])
-                context, key = gram_keys([uniq[i] for i in ids])
-                yield _blobs(packed_grams(uniq, ids, c, context, key, heavy.value[order], parts), KIND_LEFT)
+                yield from counted(piece)
+
+    def counted(piece):
+        uniq = np.unique(np.concatenate([piece[-1], *(w[:order] for w in piece[:-1]), np.array([START], U64)]))  # words before the piece, and start marks
+        if len(uniq) >> ID_BITS:  # too many different words to number them
+            for half in _pieces(piece, len(piece[-1]) // 2 + 1):
+                yield from counted(half)
+            return
+        ids, c = distinct_grams([np.searchsorted(uniq, w) for w in piece])
+        context, key = gram_keys([uniq[i] for i in ids])
+        yield _blobs(packed_grams(uniq, ids, c, context, key, heavy.value[order], parts), KIND_LEFT)
 
     return texts.mapInArrow(local, BLOBS)
 
@@ -441,7 +448,7 @@ def train(spark: SparkSession, texts: DataFrame, order: int = ORDER) -> dict:
     if order < 2:
         raise ValueError("order must be at least 2")
     about, hot = heavy_contexts(texts, order)
-    parts, path = max(shuffle_partitions(spark), -(-about // BUCKET_TOKENS)), new_path(spark, "lm")
+    parts, path = max(1, -(-about // BUCKET_TOKENS)), new_path(spark, "lm")
     heavy = spark.sparkContext.broadcast(hot)
     packed, held, words = first_grams(texts, parts, heavy, order), None, None
     d, sums = {}, {}
