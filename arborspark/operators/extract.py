@@ -43,6 +43,16 @@ def subtree_members(b: Bundle, targets: DataFrame, size: int, seed: int = 1, anc
     return out.distinct()
 
 
+def induced_each(b: Bundle, members: DataFrame) -> DataFrame:
+    """TR-13 for every subtree of ``members(subtree, node)`` at once: (subtree, node, parent)."""
+    members = members.select("subtree", "node").distinct()
+    paths = members.join(b.closure, "node").select("subtree", F.col("anc").alias("node")).distinct().join(b.node.select("node", "parent"), "node")
+    branching = paths.where("parent is not null").groupBy("subtree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("subtree", "node")
+    kept = materialize(branching.union(members).distinct(), "induced-each")
+    up = kept.join(b.closure.where("dist > 0"), "node").join(kept.select("subtree", F.col("node").alias("anc")), ["subtree", "anc"]).groupBy("subtree", "node").agg(F.min_by("anc", "dist").alias("parent"))
+    return kept.join(up, ["subtree", "node"], "left")
+
+
 def random_subtree(b: Bundle, samples: DataFrame, size: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """TR-28: one tree of the samples and seeded others up to ``size``."""
     return tree.induced(b.node, b.closure, b.event, select.fill(b, samples, size, seed))

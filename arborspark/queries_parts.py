@@ -239,16 +239,20 @@ def _normalized(b: Bundle) -> DataFrame:
     return source.normalized(alts, grid).select("pos", F.array_join("alts", ",").alias("alts"), F.md5(F.array_join("calls", ",").cast("binary")).alias("calls"))
 
 
-@on_bundle("sk10_subtrees", """, t AS (SELECT node AS target FROM leaf WHERE regexp_full_match(node, 'o1[0-9]*') ORDER BY dfs LIMIT 3) SELECT target AS subtree, target AS node FROM t""")
+_BY_TARGET = ", t AS (SELECT node AS target FROM leaf WHERE regexp_full_match(node, 'o1[0-9]*') ORDER BY dfs LIMIT 3)"
+
+
+@on_bundle("sk10_subtrees", f"{_BY_TARGET} SELECT target AS subtree, target AS node, 10 AS leaves FROM t")
 def _subtrees(b: Bundle) -> DataFrame:
-    """TR-28, SK-10: the bundle is written and its assignment read back; every target lies in its own subtree."""
+    """TR-28, SK-10: the subtrees of three samples are written; each one's newick text is read back and has ten leaves, the sample among them."""
     spark = b.node.sparkSession
     path = new_path(spark, "subtrees")
     targets = select.first(select.by_name(b, "o1[0-9]*").join(b.node, "node"), 3).select(F.col("node").alias("target"))
     members = materialize(extract.subtree_members(b, targets, 10), "members")
-    trees = members.select("subtree", F.col("node").alias("value")).groupBy("subtree").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value"))
-    sink.write_subtrees(b.node, b.event, members, trees, path)
-    return source.read_metadata(spark, f"{path}/assignments").where("node = subtree").select("subtree", "node")
+    sink.write_subtrees(b.event, members, sink.newick_each(extract.induced_each(b, members)), path)
+    assigned = source.read_metadata(spark, f"{path}/assignments").where("node = subtree").select("subtree", "node")
+    leaves = F.size(F.filter(F.split("value", r"[(),;]"), lambda x: x != "")).alias("leaves")
+    return assigned.join(spark.read.text(f"{path}/trees").where("value <> ''").select("subtree", leaves), "subtree")
 
 
 # recombinant trios

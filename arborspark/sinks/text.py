@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from arborspark.functions.nucleotides import letter, literal
 from arborspark.plans.scratch import materialize
+from arborspark.sources.text import levelled
 
 
 def vcf_lines(genotypes: DataFrame, chrom: str = "chr1", with_genotypes: bool = True) -> DataFrame:
@@ -73,6 +74,15 @@ def newick(node: DataFrame, lengths: str | None = None, inner_labels: bool = Fal
     return below.select(F.concat("value", F.lit(";")).alias("value"))
 
 
+def newick_each(edges: DataFrame) -> DataFrame:
+    """SK-10: ``edges(subtree, node, parent)`` -> (subtree, value): the newick text of each subtree, children by name; names hold no slash."""
+    name = lambda c: F.when(F.col(c).isNotNull(), F.concat("subtree", F.lit("/"), c)).alias(c)
+    rows = levelled(edges.select(name("node"), name("parent")))
+    order = F.row_number().over(W.partitionBy("parent").orderBy("node"))
+    text = newick(rows.withColumn("child_ord", F.when(F.col("parent").isNull(), 1).otherwise(order)))
+    return text.select(F.regexp_extract("value", r"([^(),:;/]+)/", 1).alias("subtree"), F.regexp_replace("value", r"[^(),:;/]+/", "").alias("value"))
+
+
 def sequences(reference: str, alleles: DataFrame) -> DataFrame:
     """SK-11: ``alleles(sample, pos, allele)`` (positions from 1) -> (name, seq): the reference with each sample's letters put in."""
     held = alleles.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("pos", letter(F.col("allele")).alias("c")))).alias("m"))
@@ -91,7 +101,7 @@ def renamed_fasta(seqs: DataFrame, condensed: DataFrame) -> DataFrame:
     return seqs.join(first, "name", "left").where("new is null or name = one").select(F.coalesce("new", "name").alias("name"), "seq")
 
 
-def write_subtrees(node: DataFrame, event: DataFrame, members: DataFrame, trees: DataFrame, path: str) -> None:
+def write_subtrees(event: DataFrame, members: DataFrame, trees: DataFrame, path: str) -> None:
     """SK-10: below ``path``, in folders by subtree: newick text of ``trees(subtree, value)``, the events on it, and which sample is in which subtree."""
     trees.write.partitionBy("subtree").text(f"{path}/trees")
     line = F.concat_ws("\t", "node", literal(F.col("par"), F.col("pos"), F.col("mut")))

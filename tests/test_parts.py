@@ -191,3 +191,16 @@ def test_enrichment_matches_an_exact_test_by_hand(spark):
         p = {k: comb(x + y, k) * comb(t + u, x + t - k) for k in range(max(0, x + t - t - u), min(x + y, x + t) + 1)}
         want = sum(v for v in p.values() if v <= p[x] * (1 + 1e-9)) / comb(x + y + t + u, x + t)
         assert abs(r["pvalue"] - want) < 1e-6 and abs(r["corrected_pvalue"] - want * tests) < 1e-4
+
+
+def test_subtrees_as_text(spark, small, tmp_path):
+    members = spark.createDataFrame([("A", "k1"), ("A", "k2"), ("A", "k5"), ("B", "k3"), ("B", "k6")], "subtree string, node string")
+    edges = extract.induced_each(small, members)
+    for name in "AB":
+        alone = tree.induced(small.node, small.closure, small.event, members.where(F.col("subtree") == name).select("node"))[0]
+        assert pairs(edges.where(F.col("subtree") == name), "node", "parent") == pairs(alone, "node", "parent")
+    texts = {r["subtree"]: r["value"] for r in sink.newick_each(edges).collect()}
+    assert texts == {"A": "(k5,(k1,k2));", "B": "(k6,k3);"} or texts == {"A": "(k5,(k1,k2));", "B": "(k3,k6);"}
+    sink.write_subtrees(small.event, members, sink.newick_each(edges), f"file://{tmp_path}/s")
+    assert {r["value"] for r in spark.read.text(f"{tmp_path}/s/trees/subtree=A").collect()} == {"(k5,(k1,k2));"}
+    assert spark.read.text(f"{tmp_path}/s/mutations").where("subtree = 'A'").count() == 4
