@@ -177,6 +177,7 @@ def test_within_radius(spark, small):
 
 
 def test_enrichment_matches_an_exact_test_by_hand(spark):
+    from fractions import Fraction
     from math import comb
 
     from arborspark.operators import report
@@ -189,7 +190,7 @@ def test_enrichment_matches_an_exact_test_by_hand(spark):
     for r in got[:20]:
         x, y, t, u = r["inside"], r["outside"], r["local_total"], total - r["local_total"]
         p = {k: comb(x + y, k) * comb(t + u, x + t - k) for k in range(max(0, x + t - t - u), min(x + y, x + t) + 1)}
-        want = sum(v for v in p.values() if v <= p[x] * (1 + 1e-9)) / comb(x + y + t + u, x + t)
+        want = float(Fraction(sum(v for v in p.values() if v <= p[x]), comb(x + y + t + u, x + t)))
         assert abs(r["pvalue"] - want) < 1e-6 and abs(r["corrected_pvalue"] - want * tests) < 1e-4
 
 
