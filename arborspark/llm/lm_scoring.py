@@ -2,7 +2,7 @@
 
 Counting runs in Spark over all training texts. Tokens are runs of bytes other than space and tab to
 carriage return, A-Z lower-cased, then one end per text; a text's first token follows order - 1 start
-marks, which are context only. Words are 48-bit hashes. Every task counts its grams of the highest
+marks, which are context only. Words are 48-bit hashes, taken of whole columns of texts, eight bytes at a time. Every task counts its grams of the highest
 order first and sends them packed with a word list of their own, dealt by context; grams of the few contexts that
 make up about 1/1000 of all tokens are dealt by the whole gram, so a frequent context fills no task. (Which
 contexts these are is guessed from every eighth text; that only steers the dealing.) The number of buckets follows
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import re
 from collections import OrderedDict
 from urllib.parse import urlparse
 
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from arborspark.llm.common import U64, WordHash, cut_by_bucket, lean, materialize, mix64, new_path, pack_records, release, run_sum, unpack_records, utf8_rows
+from arborspark.llm.common import U64, cut_by_bucket, lean, materialize, mix64, new_path, pack_records, release, unpack_records
 
 BITS = 48
 ORDER = 3
@@ -47,12 +48,71 @@ HEAVY_SHARE, HEAVY_STEP = 1000, 8
 #: Tokens of a chunk, of a scored block, and of a bucket; bits of a chunk's word number.
 COUNT_CHUNK, SCORE_CHUNK, BUCKET_TOKENS = 2_800_000, 600_000, 3_400_000
 ID_BITS = 21
+#: Bytes of text read at once; words of more than LONG_WORD bytes are hashed one by one.
+READ_BYTES, LONG_WORD = 1 << 20, 64
 HELD_BYTES = 1 << 29
 START = xxhash.xxh3_64_intdigest(b"\nstart") >> (64 - BITS)
 END = xxhash.xxh3_64_intdigest(b"\nend") >> (64 - BITS)
 WORD = np.dtype([("h", "<u8"), ("c", "<u8")])
 CONTEXT = np.dtype([("h", "<u8"), ("total", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8")])
 ADD = 0.1
+SPACE = re.compile(rb"[ \t-\r]")
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U64)
+_LENGTH = U64(0x9E3779B97F4A7C15)
+
+
+def sorting(key: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys) of 64-bit keys below 2 ** bits. Places stand in the low bits of the keys and plain numbers are
+    sorted, several times as fast as argsort; keys that differ only in the bits so lost are put in order after it."""
+    n, spare = len(key), 64 - bits
+    room = max(n - 1, 1).bit_length()
+    mask = U64((1 << room) - 1)
+    packed = key << U64(spare) if spare else key
+    packed = (packed & ~mask if room > spare else packed) | np.arange(n, dtype=U64)
+    packed.sort()
+    order = (packed & mask).view(np.int64)
+    k = key[order]
+    if room > spare:
+        down = np.flatnonzero(k[1:] < k[:-1])
+        if len(down):
+            packed &= ~mask
+            for head in np.unique(packed[down]):
+                run = slice(np.searchsorted(packed, head), np.searchsorted(packed, head, "right"))
+                order[run] = order[run][np.argsort(k[run], kind="stable")]
+            k = key[order]
+    return order, k
+
+
+def starts_of(k: np.ndarray) -> np.ndarray:
+    """Where each value of sorted keys begins."""
+    new = np.ones(len(k), bool)
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    return new
+
+
+def distinct(key: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, the first place of each, number of each key among them)."""
+    order, k = sorting(key, bits)
+    new = starts_of(k)
+    k, first, number = k[new], order[new], np.cumsum(new)
+    number -= 1
+    at = np.empty(len(key), np.int64)
+    at[order] = number
+    return k, first, at
+
+
+def key_sum(keys: np.ndarray, *values: np.ndarray, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the 64-bit sum of each value array (of numbers or flags) per key."""
+    if not len(keys):
+        return (keys, *(np.zeros(0, np.int64) for _ in values))
+    order, k = sorting(keys, bits)
+    first = np.flatnonzero(starts_of(k))
+    return (k[first], *(np.add.reduceat(v[order], first, dtype=np.int64) for v in values))
+
+
+def by_number(bucket: np.ndarray, parts: int) -> np.ndarray:
+    """Stable order of bucket numbers."""
+    return np.argsort(bucket.astype(np.uint16) if parts <= 1 << 16 else bucket, kind="stable")
 
 
 def word_bucket(h: np.ndarray, parts: int) -> np.ndarray:
@@ -69,9 +129,13 @@ def gram_keys(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), bool)
-    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
+    out = np.zeros(len(keys), bool)
+    if len(sorted_keys):
+        head = np.zeros(1 << 16, bool)
+        head[sorted_keys >> U64(48)] = True
+        some = np.flatnonzero(head[keys >> U64(48)])
+        out[some] = sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys[some]), len(sorted_keys) - 1)] == keys[some]
+    return out
 
 
 def gram_bucket(context: np.ndarray, key: np.ndarray, heavy: np.ndarray, parts: int) -> np.ndarray:
@@ -109,9 +173,9 @@ def unpack_grams(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def packed_grams(words: np.ndarray, ids: list[np.ndarray], c: np.ndarray, context: np.ndarray, key: np.ndarray, heavy: np.ndarray, parts: int):
-    """(bucket, packed grams); ``ids`` number the sorted distinct ``words``."""
+    """(bucket, packed grams); ``ids`` number the sorted distinct ``words``, and grams are sorted by the last but one."""
     bucket = gram_bucket(context, key, heavy, parts)
-    order = np.lexsort((ids[-2], bucket))
+    order = by_number(bucket, parts)
     ids, c, bucket = [x[order] for x in ids], c[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(parts + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -121,36 +185,102 @@ def packed_grams(words: np.ndarray, ids: list[np.ndarray], c: np.ndarray, contex
 
 def numbered(words: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted distinct words of all places, and their numbers in each place."""
-    uniq, at = np.unique(np.concatenate(words), return_inverse=True)
+    uniq, _, at = distinct(np.concatenate(words), BITS)
     return uniq, np.split(at, len(words))
 
 
 def distinct_grams(ids: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct grams of word numbers, and how often each occurs."""
-    code, spans = ids[0], [ids[0]]
-    for i, x in enumerate(ids[1:], 1):
+    """Distinct grams of word numbers, sorted by the last number but one, and how often each occurs."""
+    places = [len(ids) - 2, *range(len(ids) - 2), len(ids) - 1]
+    code = ids[places[0]]
+    for i, place in enumerate(places[1:], 1):
         if i % 3 == 0:  # three numbers fill a code: number the codes so far
-            _, first, code = np.unique(code, return_index=True, return_inverse=True)
-        code = (code << ID_BITS) | x
-        spans.append(x)
-    _, first, c = np.unique(code, return_index=True, return_counts=True)
-    return [x[first] for x in spans], c
+            _, _, code = distinct(code.astype(U64))
+        code = (code << ID_BITS) | ids[place]
+    if len(ids) <= 3:  # the code is the gram
+        code = np.sort(code)
+        first = np.flatnonzero(starts_of(code))
+        code, c = code[first], np.diff(first, append=len(code))
+        out = [None] * len(ids)
+        for place in reversed(places):
+            out[place] = code & ((1 << ID_BITS) - 1)
+            code = code >> ID_BITS
+        return out, c
+    order, code = sorting(code.astype(U64))
+    first = np.flatnonzero(starts_of(code))
+    return [x[order[first]] for x in ids], np.diff(first, append=len(code))
+
+
+def word_hashes(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """48-bit hashes of the words at ``starts`` of lower-case bytes (8 more follow the last): 8 bytes are mixed in at a time."""
+    eight = np.ndarray((len(low) - 7,), "<u8", low, 0, (1,))
+    h = mix64((eight[starts] & _HEAD[np.minimum(lengths, 8)]) + lengths.astype(U64) * _LENGTH)
+    rest, done = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD)), 8
+    while len(rest):
+        left = lengths[rest] - done
+        h[rest] = mix64(h[rest] ^ (eight[starts[rest] + done] & _HEAD[np.minimum(left, 8)]))
+        rest, done = rest[left > 8], done + 8
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(low[starts[i] : starts[i] + lengths[i]].tobytes())
+    return h >> U64(64 - BITS)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, number of words of each text) of texts that lie one after the other."""
+    n = len(data)
+    low = np.zeros(n + 8, np.uint8)
+    np.add(data, ((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5), out=low[:n])
+    word = (data != 32) & ((data - np.uint8(9)) > 4)
+    edge = np.zeros(n + 1, bool)  # texts begin and end here
+    edge[offsets] = True
+    turn = word[1:] != word[:-1]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= turn | edge[1:n]
+    ends[:-1] &= turn | edge[1:n]
+    starts = np.flatnonzero(begins)
+    return word_hashes(low, starts, np.flatnonzero(ends) + 1 - starts), np.diff(np.searchsorted(starts, offsets))
+
+
+def long_text(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``words_of`` one text, READ_BYTES at a time: cuts are at white space."""
+    out, at = [], 0
+    while at < len(data):
+        cut = SPACE.search(data, at + READ_BYTES)
+        end = cut.start() if cut else len(data)
+        out.append(words_of(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(out), np.array([sum(len(x) for x in out)])
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes, offsets of the texts) of a column, null as an empty text."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
 
 
 def token_blocks(frames, size: int):
     """(texts, tokens, lengths): whole texts as token hashes, each with its end; texts of one frame."""
-    cache = WordHash(BITS)
-    end = np.array([END], dtype=U64)
     for frame in frames:
-        held, total, first = [], 0, 0
-        for i, text in enumerate(utf8_rows(frame.column("text"))):
-            held.append(np.append(cache.array(text.lower().split()), end))
-            total += len(held[-1])
-            if total >= size:
-                yield frame, first, np.concatenate(held), np.array([len(x) for x in held])
-                held, total, first = [], 0, i + 1
-        if held:
-            yield frame, first, np.concatenate(held), np.array([len(x) for x in held])
+        data, offsets = text_bytes(frame.column("text"))
+        held, total, first, at = [], 0, 0, 0
+        while at < len(offsets) - 1:
+            last = max(at + 1, int(np.searchsorted(offsets, offsets[at] + READ_BYTES, "right")) - 1)
+            part, ends = data[offsets[at] : offsets[last]], offsets[at : last + 1] - offsets[at]
+            words, n = long_text(part) if len(part) > READ_BYTES else words_of(part, ends)
+            tokens = np.full(len(words) + len(n), END, dtype=U64)
+            tokens[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words
+            held.append((tokens, n + 1))
+            total, at = total + len(tokens), last
+            if total >= size or at == len(offsets) - 1:
+                yield frame, first, *(np.concatenate(x) for x in zip(*held))
+                held, total, first = [], 0, at
 
 
 def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -169,16 +299,17 @@ def grams(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarra
 
 
 def _gathered(frames, size: int):
-    """Blocks of several frames joined until they hold ``size`` tokens."""
+    """Texts of several frames joined until they hold ``size`` tokens; what is yielded is not held here."""
     held, total = [], 0
-    for _, _, tokens, lengths in token_blocks(frames, size):
-        held.append((tokens, lengths))
-        total += len(tokens)
+    for _, _, *block in token_blocks(frames, 1):
+        held.append(block)
+        total += len(block[0])
+        del block
         if total >= size:
-            yield tuple(np.concatenate(c) for c in zip(*held))
-            held, total = [], 0
+            yield tuple(np.concatenate(c) for c in zip(*(held.pop(0) for _ in range(len(held)))))
+            total = 0
     if held:
-        yield tuple(np.concatenate(c) for c in zip(*held))
+        yield tuple(np.concatenate(c) for c in zip(*(held.pop(0) for _ in range(len(held)))))
 
 
 def _blobs(rows, kind: int):
@@ -198,7 +329,9 @@ def heavy_contexts(texts: DataFrame, order: int) -> tuple[int, dict[int, np.ndar
             words = grams(tokens, lengths, order)
             rows = [(0, 0, len(tokens))]
             for n in range(2, order + 1):
-                h, c = np.unique(gram_keys(words[-n:])[0], return_counts=True)
+                h = np.sort(gram_keys(words[-n:])[0])
+                first = np.flatnonzero(starts_of(h))
+                h, c = h[first], np.diff(first, append=len(h))
                 often = c * HEAVY_SHARE >= len(tokens)
                 rows += zip([n] * int(often.sum()), h[often].view(np.int64).tolist(), c[often].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["order", "h", "c"])
@@ -321,16 +454,25 @@ def first_grams(texts: DataFrame, parts: int, heavy, order: int) -> DataFrame:
 
     def local(frames):
         for tokens, lengths in _gathered(frames, COUNT_CHUNK):
-            for piece in _pieces(grams(tokens, lengths, order), COUNT_CHUNK):  # a text of its own may be longer than a chunk
-                yield from counted(piece)
+            n = len(tokens)
+            pieces = list(_pieces(grams(tokens, lengths, order), -(-n // -(-n // (COUNT_CHUNK * 5 // 4)))))  # equal ones: a text of its own may be longer than a chunk
+            del tokens, lengths
+            while pieces:
+                yield from counted(pieces.pop(0))
 
     def counted(piece):
-        uniq = np.unique(np.concatenate([piece[-1], *(w[:order] for w in piece[:-1]), np.array([START], U64)]))  # words before the piece, and start marks
+        n = len(piece[-1])
+        before = [w[0] for w in piece[:-1]]  # words before the piece, and start marks
+        uniq, _, at = distinct(np.concatenate([piece[-1], np.array([*before, START], U64)]), BITS)
         if len(uniq) >> ID_BITS:  # too many different words to number them
-            for half in _pieces(piece, len(piece[-1]) // 2 + 1):
+            for half in _pieces(piece, n // 2 + 1):
                 yield from counted(half)
             return
-        ids, c = distinct_grams([np.searchsorted(uniq, w) for w in piece])
+        ids, start = [at[:n]], at[-1]
+        for w, x in zip(reversed(piece[:-1]), reversed(at[n:-1])):
+            ids.insert(0, np.where(w == U64(START), start, np.append(x, ids[0][:-1])))
+        del piece, at, w, x
+        ids, c = distinct_grams(ids)
         context, key = gram_keys([uniq[i] for i in ids])
         yield _blobs(packed_grams(uniq, ids, c, context, key, heavy.value[order], parts), KIND_LEFT)
 
@@ -346,14 +488,14 @@ def merge_grams(packed: DataFrame, parts: int, heavy, order: int, path: str, top
         if words is None:
             return
         context, key = gram_keys(words)
-        at = np.argsort(key)
-        key = key[at]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        at, key = sorting(key)
+        first = np.flatnonzero(starts_of(key))
         c = np.add.reduceat(counts[at], first)
+        del counts
         key, at = key[first], at[first]
         words, context = [w[at] for w in words], context[at]
         write_segment(f"{path}/grams-{order}-{bucket}", key, [c])
-        h, *sums = run_sum(context, c, *(x.astype(np.int64) for x in (c == 1, c == 2, c >= 3)))
+        h, *sums = key_sum(context, c, c == 1, c == 2, c >= 3)
         hot = among(heavy.value[order], h)
         write_segment(f"{path}/contexts-{order}-{bucket}", h[~hot], [x[~hot] for x in sums])
         if hot.any():
@@ -364,7 +506,7 @@ def merge_grams(packed: DataFrame, parts: int, heavy, order: int, path: str, top
         yield _blobs([(0, np.bincount(np.minimum(c, 5), minlength=6).astype(np.int64).tobytes())], KIND_COUNTS)
 
         def word_counts(n, kind):
-            h, n = run_sum(words[-1], n)
+            h, n = key_sum(words[-1], n, bits=BITS)
             out = np.zeros(len(h), WORD)
             out["h"], out["c"] = h, n
             return _blobs(cut_by_bucket(out, word_bucket(h, parts), parts), kind)
@@ -374,13 +516,17 @@ def merge_grams(packed: DataFrame, parts: int, heavy, order: int, path: str, top
         if order == 2:
             yield word_counts(np.ones(len(c), np.int64), KIND_LEFT)
         else:
-            n = np.where(words[1] == U64(START), c, 1)
-            context, key = gram_keys(words[1:])
-            at = np.argsort(key)
-            first = np.flatnonzero(np.append(True, key[at][1:] != key[at][:-1]))
-            n, at = np.add.reduceat(n[at], first), at[first]
-            uniq, ids = numbered([w[at] for w in words[1:]])
-            yield _blobs(packed_grams(uniq, ids, n, context[at], key[at], heavy.value[order - 1], parts), KIND_LEFT)
+            n, words = np.where(words[1] == U64(START), c, 1), words[1:]
+            del c, at, first
+            context, key = gram_keys(words)
+            at, key = sorting(key)
+            first = np.flatnonzero(starts_of(key))
+            n, at, key = np.add.reduceat(n[at], first), at[first], key[first]
+            words = [w[at] for w in words]
+            uniq, ids = numbered(words)
+            by, _ = sorting(ids[-2].astype(U64), 32)
+            ids, n, context, key = [x[by] for x in ids], n[by], context[at[by]], key[by]
+            yield _blobs(packed_grams(uniq, ids, n, context, key, heavy.value[order - 1], parts), KIND_LEFT)
 
     return packed.repartitionById(parts, "bucket").mapInArrow(lean(merge), BLOBS)
 
@@ -475,7 +621,7 @@ def train(spark: SparkSession, texts: DataFrame, order: int = ORDER) -> dict:
 
 def _by_bucket(bucket: np.ndarray, parts: int):
     """(bucket, its rows) in order."""
-    order = np.argsort(bucket, kind="stable")
+    order = by_number(bucket, parts)
     cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         yield b, order[cuts[b] : cuts[b + 1]]
@@ -548,14 +694,14 @@ def _segment_lookup(model: dict, kind: str, width: int, bucket: np.ndarray, key:
 
 def probabilities(model: dict, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(p(w | context), training count of w, base log10) for each position; ``words`` as of ``grams``."""
-    uniq, at_w = np.unique(words[-1], return_inverse=True)
+    uniq, _, at_w = distinct(words[-1], BITS)
     c, left = _word_lookup(model, uniq)
     p = ((discounted(left, model["d"][1])) / max(model["types"], 1) + model["low"] / (model["distinct"] + 1))[at_w]
     base = np.log10((c + ADD) / (model["tokens"] + ADD * (model["distinct"] + 1)))
     for n in range(2, model["order"] + 1):
         heavy, d = model["heavy"][n], model["d"][n]
         context, key = gram_keys(words[-n:])
-        u, at = np.unique(context, return_inverse=True)
+        u, _, at = distinct(context)
         sums = _segment_lookup(model, f"contexts-{n}", 4, word_bucket(u >> U64(64 - BITS), model["parts"]), u)
         hot, *known = model["sums"][n]
         hit = among(hot, u)
@@ -563,7 +709,7 @@ def probabilities(model: dict, words: list[np.ndarray]) -> tuple[np.ndarray, np.
             s[hit] = x[np.searchsorted(hot, u[hit])]
         total = sums[0][at]
         back = (sum(x * s for x, s in zip(d, sums[1:])) / np.maximum(sums[0], 1))[at]
-        k, first, at = np.unique(key, return_index=True, return_inverse=True)
+        k, first, at = distinct(key)
         (count,) = _segment_lookup(model, f"grams-{n}", 1, gram_bucket(context[first], k, heavy, model["parts"]), k)
         p = np.where(total > 0, discounted(count, d)[at] / np.maximum(total, 1) + back * p, p)
     return p, c[at_w], base[at_w]
