@@ -60,3 +60,33 @@ def test_tables_are_made_when_asked_for(spark, tmp_path):
     for df in (b.closure, b.state, b.event):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_placement_shuffles_no_row_of_a_sample_and_a_node(spark):
+    """Scores go through no exchange but those of the samples; samples of the same entries are searched once."""
+    from arborspark.operators import place, scan
+
+    b = bundle(spark, SF)
+    rows = [(f"s{i}{copy}", (7 * i + j) % 97, 1 << (7 * i + j) % 97 % 4, 1 << (j + i) % 4) for i in range(9) for j in range(4) for copy in "ab"]
+    samples = spark.createDataFrame(rows, "sample string, pos int, ref int, allele int")
+    for df in (place.scores(b, samples), place.per_node(b, samples)):
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not [line for line in plan if "hashpartitioning(" in line and "sample" in line.split("hashpartitioning(")[1]]
+    assert scan.profiles(samples)[1].count() == 9
+    found = {r["sample"]: (r["node"], r["score"], r["epp"]) for r in place.best(b, samples).collect()}
+    assert len(found) == 18 and all(found[f"s{i}a"] == found[f"s{i}b"] for i in range(9))
+
+
+def test_scores_by_blocks_equal_scores_at_once(spark, monkeypatch):
+    from arborspark.operators import place, scan
+
+    b = bundle(spark, SF)
+    rows = [(f"s{i}", (5 * i + j) % 97, 1 << (5 * i + j) % 97 % 4, (1, 2, 4, 8, 5, 15)[(i + j) % 6]) for i in range(7) for j in range(i % 3 + 1)]
+    samples = spark.createDataFrame(rows, "sample string, pos int, ref int, allele int")
+    at_once = {tuple(r) for r in place.minima(b, samples).collect()}, place.scores(b, samples).groupBy("sample").agg(F.sum("score"), F.sum("n_common"), F.count("node")).collect()
+    monkeypatch.setattr(scan, "BLOCK", 3)
+    monkeypatch.setattr(scan, "CELLS", 64)
+    monkeypatch.setattr(place, "NAMES", 2)
+    assert {tuple(r) for r in place.minima(b, samples).collect()} == at_once[0]
+    again = place.scores(b, samples).groupBy("sample").agg(F.sum("score"), F.sum("n_common"), F.count("node")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, at_once[1]))
