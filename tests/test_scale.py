@@ -90,3 +90,27 @@ def test_scores_by_blocks_equal_scores_at_once(spark, monkeypatch):
     assert {tuple(r) for r in place.minima(b, samples).collect()} == at_once[0]
     again = place.scores(b, samples).groupBy("sample").agg(F.sum("score"), F.sum("n_common"), F.count("node")).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, at_once[1]))
+
+
+def test_site_texts_equal_those_of_the_whole_grid(spark, tmp_path, monkeypatch):
+    """Chunks and range partitions of a few samples give the lines of the table of all calls, without that table."""
+    import hashlib
+
+    from arborspark.sinks import columns
+    from arborspark.sinks import text as sink
+
+    sites = {3: 8, 5: 2, 8: 1, 9: 2}
+    calls = {f"s{i}": {p: (1, 2, 4, 8, 15, 5)[(i * p) % 6] for p in sites if (i + p) % 3 and p != 9} for i in range(23)}
+    calls = {s: {p: a for p, a in c.items() if a != sites[p]} for s, c in calls.items()}
+    rows = [(s, 100 - i, [(p, a) for p, a in c.items()]) for i, (s, c) in enumerate(calls.items())]
+    samples = spark.createDataFrame(rows, "sample string, ord long, calls array<struct<pos:int,allele:int>>")
+    grid = spark.createDataFrame([(s, 100 - i, p, r, c.get(p, r)) for i, (s, c) in enumerate(calls.items()) for p, r in sites.items()], "sample string, ord long, pos int, ref int, allele int")
+    monkeypatch.setattr(columns, "CHUNK", 4)
+    monkeypatch.setattr(columns, "PART", 9)
+    sink.write_vcf(grid, str(tmp_path / "a"))
+    columns.write_vcf(samples, sites, str(tmp_path / "b"))
+    text = [[r["value"] for r in spark.read.text(str(tmp_path / d)).collect()] for d in "ab"]
+    assert sorted(text[0]) == sorted(text[1]) and len(text[1]) == 4  # site 8 has unknown calls alone, site 9 none
+    letter = lambda a: "?ACMGRSVTWYHKDBN"[a]
+    want = {p: hashlib.md5(",".join(f"{s}={letter(calls[s].get(p, r))}" for s in sorted(calls)).encode()).hexdigest() for p, r in sites.items() if p != 9}
+    assert {r["pos"]: r["calls"] for r in columns.digests(samples, sites).collect()} == want
